@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from syslumen.llm import _common as C
-from syslumen.llm import bpe
+from syslumen.llm import bpe, simhash
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +18,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digest(C.read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(C.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
+    "op10_simhash_bk": op10_simhash_bk,
 }
 
 ORACLES: dict[str, str] = {}
