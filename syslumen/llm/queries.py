@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syslumen.llm import _common as C
-from syslumen.llm import bpe, simhash
+from syslumen.llm import bpe, langid, quality, simhash
+
+
+def op2_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +22,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_digest(C.read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op4_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(C.read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(C.read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_fourier": op2_quality_fourier,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_language_kernel": op4_language_kernel,
     "op10_simhash_bk": op10_simhash_bk,
 }
 
