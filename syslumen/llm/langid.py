@@ -32,8 +32,8 @@ C.by_value(__name__)
 LONGEST = 4
 BUCKETS = 1 << 17
 #: Bounds of the sample that the model is fitted on, over all languages.
-LANDMARKS = 192
-TRAIN = 4000
+LANDMARKS = 128
+TRAIN = 2000
 #: Languages that are learned: those with the most rows, if there are more.
 LANGUAGES = 256
 RIDGE = 1e-2
@@ -121,8 +121,7 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         return [], np.zeros((BUCKETS, 0), np.float32)
     rows = _presence(picked).collect()
     rows.sort(key=lambda r: (r["lang"], r["bits"]))
-    bits = [np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows]
-    lists = [np.flatnonzero(b).astype(np.int32) for b in bits]
+    lists = [np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8))).astype(np.int32) for r in rows]
     own = np.array([max(1, len(x)) for x in lists], np.float64)
     target = np.array([[1.0 if r["lang"] == k else -1.0 for k in languages] for r in rows])
     each = max(1, LANDMARKS // len(languages))
@@ -130,7 +129,7 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     dense = np.zeros((BUCKETS, len(marks)), np.float32)
     for j, k in enumerate(marks):
         dense[lists[k], j] = 1.0 / np.sqrt(own[k])
-    kernel = product(np.concatenate(lists), np.array([len(x) for x in lists]), dense).astype(np.float64) / np.sqrt(own)[:, None]
+    kernel = np.stack([dense[x].sum(0) for x in lists]).astype(np.float64) / np.sqrt(own)[:, None]
     values, vectors = np.linalg.eigh((kernel[marks] + kernel[marks].T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
