@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syslumen.llm import _common as C
-from syslumen.llm import bpe, langid, quality, simhash
+from syslumen.llm import bpe, langid, quality, simhash, toxicity
 
 
 def op2_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(C.read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
+
+
 def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(C.read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_fourier": op2_quality_fourier,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_kernel": op4_language_kernel,
+    "op6_toxicity_gru": op6_toxicity_gru,
     "op10_simhash_bk": op10_simhash_bk,
 }
 
