@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syslumen.llm import _common as C
-from syslumen.llm import bpe, langid, neighbours, quality, simhash, toxicity
+from syslumen.llm import bpe, decontaminate, langid, neighbours, quality, simhash, toxicity
 
 
 def op2_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
 
 
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
+
+
 def op8_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = C.read(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
@@ -45,8 +49,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_kernel": op4_language_kernel,
     "op6_toxicity_gru": op6_toxicity_gru,
+    "op7_spaced_seeds": op7_spaced_seeds,
     "op8_multiprobe": op8_multiprobe,
     "op10_simhash_bk": op10_simhash_bk,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_spaced_seeds": decontaminate.ORACLE_SQL,
+}
