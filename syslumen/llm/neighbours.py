@@ -71,6 +71,10 @@ class Hasher:
 
     def probes(self, slots: np.ndarray, count: int) -> np.ndarray:
         """Buckets to visit for each row and table, the likeliest first: (rows, tables, 1 + count)."""
+        step = max(1, PAIRS // (4 * TABLES * count))
+        return np.concatenate([self._probes(slots[k : k + step], count) for k in range(0, len(slots), step)])
+
+    def _probes(self, slots: np.ndarray, count: int) -> np.ndarray:
         n = slots.shape[0] * TABLES
         own = np.floor(slots).reshape(n, self.m)
         part = slots.reshape(n, self.m) - own
@@ -207,9 +211,12 @@ def _fitted(hasher: Hasher, truth: DataFrame, asked: DataFrame, packed: DataFram
     near = {r["id"]: r["v"] for r in packed.select("v", F.explode("ids").alias("id")).join(F.broadcast(wanted), "id").collect()}
     unit = lambda rows: (lambda x: x / np.sqrt((x * x).sum(1, keepdims=True)))(np.array(rows, np.float64).reshape(-1, dim))
     seen = hasher.buckets(hasher.slots(unit([near[r["vec_id"]] for r in pairs])))
-    slots = hasher.slots(unit([vectors[r["query_id"]] for r in pairs]))
+    names = sorted(vectors)
+    of = np.searchsorted(names, [r["query_id"] for r in pairs])
+    slots = hasher.slots(unit([vectors[k] for k in names]))
     for count in PROBES:
-        if (hasher.probes(slots, count) == seen[:, :, None]).any((1, 2)).mean() >= RECALL:
+        probes = hasher.probes(slots, count)
+        if np.mean([(probes[q] == s[:, None]).any() for q, s in zip(of, seen, strict=True)]) >= RECALL:
             return count
     return PROBES[-1]
 
