@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syslumen.llm import _common as C
-from syslumen.llm import bpe, decontaminate, langid, neighbours, quality, simhash, toxicity
+from syslumen.llm import bpe, decontaminate, langid, linededup, neighbours, quality, simhash, toxicity
 
 
 def op2_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op8_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(C.read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.length("text").alias("chars_left"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+
+
 def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(C.read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity_gru": op6_toxicity_gru,
     "op7_spaced_seeds": op7_spaced_seeds,
     "op8_multiprobe": op8_multiprobe,
+    "op9_line_runs": op9_line_runs,
     "op10_simhash_bk": op10_simhash_bk,
 }
 
