@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syslumen.llm import _common as C
-from syslumen.llm import bpe, decontaminate, langid, linededup, neighbours, quality, simhash, toxicity
+from syslumen.llm import bpe, decontaminate, langid, linededup, neighbours, pii, quality, simhash, tokencount, toxicity
+
+
+def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(C.read(spark, sf_dir, "documents")).select("doc_id", "n_replaced", "text")
 
 
 def op2_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +30,13 @@ def op4_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(C.read(spark, sf_dir, "documents"))
 
 
+def op5_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = tokencount.pieces_of(C.file_bytes(public_tokenizers.path("piece_bpe_32k.model")))
+    return tokencount.count_tokens(C.read(spark, sf_dir, "documents"), pieces)
+
+
 def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
 
@@ -50,9 +61,11 @@ def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_pii": op1_feistel_pii,
     "op2_quality_fourier": op2_quality_fourier,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_kernel": op4_language_kernel,
+    "op5_trie_tokens": op5_trie_tokens,
     "op6_toxicity_gru": op6_toxicity_gru,
     "op7_spaced_seeds": op7_spaced_seeds,
     "op8_multiprobe": op8_multiprobe,
