@@ -4,8 +4,9 @@ Vectors are scaled to length one, so that the nearest by angle are the nearest b
 hashed in ``TABLES`` tables by ``m`` projections on normal vectors, each shifted and cut into slots of
 width ``WIDTH``. A query visits its own bucket and then those of the perturbation sets (steps to a next
 slot of some projections) of the least estimated cost, the sum of squared distances to the slots'
-borders. How many sets is fitted: the least of ``PROBES`` with which a sample of at most ``SAMPLE``
-queries finds the share ``RECALL`` of its true neighbours, which a scan of all rows gives. Candidates of all tables are merged and ranked by the exact cosine of the original
+borders. The number of projections and of sets is fitted: the most projections, and the least of
+``PROBES``, with which a sample of at most ``SAMPLE`` queries finds the share ``RECALL`` of its true
+neighbours, which a scan of all rows gives. So data without structure get larger buckets, not more visits. Candidates of all tables are merged and ranked by the exact cosine of the original
 vectors in double precision.
 
 Rows and probes meet by a hash of table and bucket in groups of about ``GROUP`` rows, so that a group
@@ -35,12 +36,12 @@ C.by_value(__name__)
 
 TABLES = 6
 #: Numbers of perturbation sets that fitting chooses from, and the recall that the choice is made for.
-PROBES = (10, 20, 40, 80, 120, 160, 240, 320, 640)
+PROBES = (5, 10, 20, 40, 80)
 RECALL = 0.96
 #: Queries of the sample that the number is chosen by.
 SAMPLE = 256
 WIDTH = 1.5
-#: Rows that a bucket holds on average, from which the number of projections follows.
+#: Rows that a bucket holds on average at least, from which the most projections follow.
 BUCKET = 24
 GROUP = 20_000
 BLOCK = 4096
@@ -51,9 +52,9 @@ PAIRS = 1 << 17
 class Hasher:
     """The projections of every table."""
 
-    def __init__(self, dim: int, count: int, seed: int = 17):
+    def __init__(self, dim: int, m: int, seed: int = 17):
         rng = np.random.default_rng(seed)
-        self.m = int(np.clip(np.ceil(np.log(max(count, 2) / BUCKET) / np.log(3.0)), 2, 24))
+        self.m = m
         self.a = rng.normal(size=(dim, TABLES * self.m))
         self.b = rng.uniform(0, WIDTH, TABLES * self.m)
         self.mix = rng.integers(1, 1 << 62, self.m, dtype=np.int64) | 1
@@ -201,24 +202,27 @@ class Best:
 _OUT = "query_id bigint, vec_id bigint, score double"
 
 
-def _fitted(hasher: Hasher, truth: DataFrame, asked: DataFrame, packed: DataFrame, dim: int) -> int:
-    """How many perturbation sets find ``RECALL`` of the true neighbours of the sample."""
+def _fitted(count: int, truth: DataFrame, asked: DataFrame, packed: DataFrame, dim: int) -> tuple[Hasher, int]:
+    """The projections, and how many perturbation sets to visit, that find ``RECALL`` of the sample's true neighbours."""
+    most = int(np.clip(np.ceil(np.log(max(count, 2) / BUCKET) / np.log(3.0)), 2, 24))
     pairs = truth.collect()
     if not pairs:
-        return PROBES[0]
+        return Hasher(dim, most), PROBES[0]
     vectors = {r["id"]: r["v"] for r in asked.collect()}
     wanted = asked.sparkSession.createDataFrame([(r["vec_id"],) for r in pairs], "id bigint").distinct()
     near = {r["id"]: r["v"] for r in packed.select("v", F.explode("ids").alias("id")).join(F.broadcast(wanted), "id").collect()}
     unit = lambda rows: (lambda x: x / np.sqrt((x * x).sum(1, keepdims=True)))(np.array(rows, np.float64).reshape(-1, dim))
-    seen = hasher.buckets(hasher.slots(unit([near[r["vec_id"]] for r in pairs])))
     names = sorted(vectors)
     of = np.searchsorted(names, [r["query_id"] for r in pairs])
-    slots = hasher.slots(unit([vectors[k] for k in names]))
-    for count in PROBES:
-        probes = hasher.probes(slots, count)
-        if np.mean([(probes[q] == s[:, None]).any() for q, s in zip(of, seen, strict=True)]) >= RECALL:
-            return count
-    return PROBES[-1]
+    x, y = unit([vectors[k] for k in names]), unit([near[r["vec_id"]] for r in pairs])
+    for m in range(most, 0, -1):
+        hasher = Hasher(dim, m)
+        slots, seen = hasher.slots(x), hasher.buckets(hasher.slots(y))
+        for sets in PROBES:
+            probes = hasher.probes(slots, sets)
+            if np.mean([(probes[q] == s[:, None]).any() for q, s in zip(of, seen, strict=True)]) >= RECALL:
+                return hasher, sets
+    return hasher, PROBES[-1]
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -236,10 +240,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
     asked, asked_dim = _clean(queries, key, vector)
     asked = shared.write(asked if asked_dim == dim else asked.limit(0), "queries")
     count = packed.count()
-    hasher = Hasher(dim, count)
     some = asked.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) <= F.lit(int(min(1.0, SAMPLE / max(asked.count(), 1)) * (1 << 20))))
     some = shared.write(some, "sample")
-    probes = _fitted(hasher, _scan(packed, some, dim, k), some, packed, dim)
+    hasher, probes = _fitted(count, _scan(packed, some, dim, k), some, packed, dim)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
