@@ -26,6 +26,8 @@ from syslumen.llm import _common as C
 
 WINDOW, MISMATCHES = 13, 2
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
+#: Words of a text that are looked at together.
+PIECE = 512
 #: Seeds of the benchmark that are broadcast at a time: with two numbers each, some tens of MB.
 SEEDS = 500_000
 
@@ -42,14 +44,43 @@ def _seed(coded: str, at: Column, mask: tuple[int, ...]) -> Column:
     return F.xxhash64(F.lit(mask[-1]), *(F.get(F.col(coded), at + k) for k in mask))
 
 
-def _positions(df: DataFrame, coded: str, name: str) -> DataFrame:
-    """A row for each place where a mask of the shortest span fits, and the seeds of all masks there."""
-    shortest = min(m[-1] for m in MASKS)
-    rows = df.where(F.size(coded) > shortest).withColumn(name, F.explode(F.sequence(F.lit(0), F.size(coded) - 1 - shortest)))
+def _seeds(df: DataFrame, coded: str, name: str, low: Column, high: Column) -> DataFrame:
+    """A row for each mask and each place from ``low`` to ``high`` (not included) of the words ``coded`` where it fits."""
+    places = F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
+    rows = df.withColumn(name, F.explode(places))
     fits = [F.when(F.col(name) + m[-1] < F.size(coded), _seed(coded, F.col(name), m)) for m in MASKS]
     return rows.withColumn("seed", F.explode(F.array(*fits))).where("seed is not null")
 
 
+def _pieces(docs: DataFrame, key: str, text: str, margin: int) -> DataFrame:
+    """Texts in pieces of ``PIECE`` words with ``margin`` words on either side, so that no row carries a whole long text.
+
+    ``doc_id``, ``words``, ``base`` (the place of the first of them), ``low`` and ``high`` (the piece without margins, from the base), ``n``.
+    """
+    words = docs.select(F.col(f"`{key}`").alias("doc_id"), _coded(F.col(f"`{text}`")).alias("all"))
+
+    def piece(at: Column) -> Column:
+        base = F.greatest(at - margin, F.lit(0))
+        return F.struct(base.alias("base"), (at - base).alias("low"), F.size("all").alias("n"), F.slice("all", base + 1, PIECE + 2 * margin).alias("words"))
+
+    # no filter on the number of words: it would be pushed below the cutting and cut the text again
+    starts = F.when(F.size("all") >= WINDOW, F.sequence(F.lit(0), F.size("all") - 1, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
+    rows = words.select("doc_id", F.explode(F.transform(starts, piece)).alias("p")).select("doc_id", "p.*")
+    return rows.withColumn("high", F.least(F.col("low") + PIECE, F.size("words")))
+
+
+def _close_by() -> Column:
+    """Whether one of the stretches that hold a hit's picked words differs in few enough places; written out, so that it compiles."""
+    same = lambda k: F.when(F.get("words", F.col("i") + k) == F.get("item", F.col("j") + k), 1).otherwise(0)
+    out = F.lit(False)
+    for start in range(min(m[-1] for m in MASKS) - WINDOW + 1, 1):
+        total = same(start)
+        for k in range(start + 1, start + WINDOW):
+            total = total + same(k)
+        out = out | (total >= WINDOW - MISMATCHES)
+    return out
+
+
 def items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """``item_id`` (the smallest of equal items) and ``item``, its words as numbers."""
     rows = benchmark.select(F.col(f"`{key}`").alias("item_id"), _coded(F.col(f"`{text}`")).alias("item"))
@@ -60,20 +91,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """``doc_id, item_id, matched, item_words``: leaks with the most words in line that agree, over any one alignment."""
     shared = C.Shared(docs.sparkSession)
     known = shared.write(items(benchmark), "items")
-    blocks = max(1, -(-known.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)) * len(MASKS)).head()[0] // SEEDS))
-    texts = docs.select(F.col(f"`{key}`").alias("doc_id"), _coded(F.col(f"`{text}`")).alias("words")).where(F.size("words") >= WINDOW)
+    total, longest = known.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)) * len(MASKS), F.coalesce(F.max(F.size("item")), F.lit(WINDOW))).head()
+    blocks = max(1, -(-total // SEEDS))
+    pieces = _pieces(docs, key, text, longest)
     found = None
     for block in range(blocks):
         own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        seeds = _positions(own, "item", "j").select("seed", "j", "item_id", "item")
-        hits = _positions(texts, "words", "i").join(F.broadcast(seeds), "seed")
-        shift = F.col("i") - F.col("j")
+        seeds = _seeds(own, "item", "j", F.lit(0), F.size("item")).select("seed", "j", "item_id", "item")
+        hits = _seeds(pieces, "words", "i", F.col("low"), F.col("high")).join(F.broadcast(seeds), "seed")
+        shift = F.col("i") + F.col("base") - F.col("j")
         start = F.greatest(-shift, F.lit(0))
-        long = F.least(F.size("item"), F.size("words") - shift) - start
-        agree = F.zip_with(F.slice("item", start + 1, long), F.slice("words", start + shift + 1, long), lambda a, b: F.when(a == b, "1").otherwise("0"))
-        part = hits.where(long >= WINDOW).select("doc_id", "item_id", shift.alias("shift"), F.size("item").alias("item_words"), F.array_join(agree, "").alias("agree"))
-        part = part.groupBy("doc_id", "item_id", "shift", "item_words").agg(F.max("agree").alias("agree"))
+        long = F.least(F.size("item"), F.col("n") - shift) - start
+        # the words in line go along, and no others
+        line = F.slice("words", start + shift - F.col("base") + 1, long)
+        part = hits.where((long >= WINDOW) & _close_by()).select("doc_id", "item_id", shift.alias("shift"), F.size("item").alias("item_words"), F.slice("item", start + 1, long).alias("x"), line.alias("y")).distinct()
         found = part if found is None else found.union(part)
+    agree = F.array_join(F.zip_with("x", "y", lambda a, b: F.when(a == b, "1").otherwise("0")), "")
+    found = found.select("doc_id", "item_id", "item_words", agree.alias("agree"))
     ones = lambda s: F.length(F.translate(s, "0", ""))
     close = F.exists(F.sequence(F.lit(1), F.length("agree") - (WINDOW - 1)), lambda s: ones(F.substr(F.col("agree"), s, F.lit(WINDOW))) >= WINDOW - MISMATCHES)
     return found.where(close).groupBy("doc_id", "item_id", "item_words").agg(F.max(ones(F.col("agree"))).alias("matched"))
