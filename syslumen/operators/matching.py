@@ -45,7 +45,7 @@ def head(text: Column) -> Column:
 
 def candidate_family(versions: Column, text: Column) -> Column:
     """A known product's family, else what the entry's words tell."""
-    named = F.get(F.filter(F.transform(versions, lambda v: S.product_family(v["product_type"])), lambda x: x != "UNKNOWN"), F.lit(0))
+    named = F.get(F.filter(F.transform(versions, lambda v: v["family"]), lambda x: x != "UNKNOWN"), F.lit(0))
     up = F.upper(text)
     has = lambda *words: up.rlike("|".join(words))
     return F.coalesce(named, F.when(has("WLAN", "ACMAC", "APMAC", "SSID"), "WLAN").when(has("WIREDUSERINFO", "WIRED_USER_INFO"), "CLOUDENGINE").when(has("USER_INFO_", "USERINFO", "DEVICEMAC"), "CAMPUS").otherwise("UNKNOWN"))
@@ -53,10 +53,12 @@ def candidate_family(versions: Column, text: Column) -> Column:
 
 def prepare(knowledge: DataFrame, versions: DataFrame) -> DataFrame:
     """Entries with their version mappings nested and all that matching needs precomputed."""
-    nested = versions.groupBy("knowledge_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("mapping_id"), "document_id", "product_type", "product_version"))).alias("versions"))
-    kind = "array<struct<mapping_id:bigint,document_id:bigint,product_type:string,product_version:string>>"
+    plain = lambda c: F.upper(F.trim(F.coalesce(c, F.lit(""))))
+    told = versions.select("knowledge_id", "id", "document_id", "product_type", plain(F.col("product_type")).alias("product_u"), plain(F.col("product_version")).alias("version_u"), S.product_family(F.coalesce("product_type", F.lit(""))).alias("family"))
+    nested = told.groupBy("knowledge_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("mapping_id"), "document_id", "product_type", "product_u", "version_u", "family"))).alias("versions"))
+    kind = "array<struct<mapping_id:bigint,document_id:bigint,product_type:string,product_u:string,version_u:string,family:string>>"
     own = knowledge.join(nested, knowledge["id"] == nested["knowledge_id"], "left").drop("knowledge_id").withColumn("versions", F.coalesce("versions", F.array().cast(kind)))
-    newest = F.array_max(F.transform("versions", lambda v: S.version_numbers(v["product_version"])))
+    newest = F.array_max(F.transform("versions", lambda v: S.version_numbers(v["version_u"])))
     return own.select(
         F.col("id").alias("k_id"), F.upper("module").alias("k_module"), F.upper(F.trim("brief")).alias("k_brief"), F.col("severity").alias("k_severity"), F.col("message").alias("k_message"),
         stem(F.trim("brief")).alias("k_stem"), polarity(F.trim("brief")).alias("k_polarity"), F.when(F.trim("message") != "", template_pattern(F.col("message"))).alias("k_pattern"), head(F.col("message")).alias("k_head"),
@@ -69,10 +71,15 @@ def conflicts(family: Column, wireless: Column, wired: Column) -> Column:
     return (wired & (family == "WLAN")) | (wireless & family.isin("CLOUDENGINE", "CAMPUS", "NETENGINE", "HISECENGINE"))
 
 
+def _score(v: Column) -> Column:
+    """150 same product and version, 120 same product, 50 same family, 10 otherwise."""
+    same = (F.col("product_u") != "") & (v["product_u"] == F.col("product_u"))
+    return F.when(same, F.when((F.col("version_u") != "") & (v["version_u"] == F.col("version_u")), 150).otherwise(120)).when((F.col("family_t") != "UNKNOWN") & (v["family"] == F.col("family_t")), 50).otherwise(10)
+
+
 def _fit() -> Column:
     """How well an entry fits the product: its best mapping's score (5 without any)."""
-    best = F.array_max(F.transform("versions", lambda v: S.version_score(v["product_type"], v["product_version"], F.col("product"), F.col("version"))))
-    return F.when(F.size("versions") == 0, 5).otherwise(best)
+    return F.when(F.size("versions") == 0, 5).otherwise(F.array_max(F.transform("versions", _score)))
 
 
 def _feature() -> Column:
@@ -81,25 +88,29 @@ def _feature() -> Column:
     return F.when(F.col("wired") & (F.col("k_family") == "WLAN"), -20).when(F.col("wireless") & (F.col("k_family") == "WLAN"), 30).when(F.col("wireless") & wired_family, F.when(told, -20).otherwise(-10)).otherwise(0)
 
 
-def best(candidates: DataFrame, key: list[str]) -> DataFrame:
-    """Of every key's candidates the one that fits best.
+def _rank(key: list[str], *first: Column) -> Column:
+    """Place of a candidate among its key's: those of a contradicted family last, then by score, for a known version not newer than it and the newest, by id."""
+    known = F.col("version_u") != ""
+    newest = F.transform("k_newest", lambda x: x)
+    older = F.when(known, F.coalesce(F.col("k_newest"), F.array().cast("array<bigint>")) <= F.col("version_n")).otherwise(F.lit(False))
+    w = Window.partitionBy(*key).orderBy(*first, F.asc("conflict"), F.desc("total"), older.desc(), F.when(known, newest).desc_nulls_last(), F.asc("k_id"))
+    return F.row_number().over(w)
 
-    Candidates of a family that the body contradicts go if the key has others. Then: score, for a known version
-    not newer than it and the newest, id.
-    """
-    conflict = conflicts(F.col("k_family"), F.col("wireless"), F.col("wired"))
-    rows = candidates.withColumn("conflict", conflict).withColumn("total", _fit() + _feature())
-    known = F.col("version") != ""
-    older = F.when(known, F.when(S.compare_versions(F.array_join(F.transform("k_newest", lambda x: x.cast("string")), "."), F.col("version")) <= 0, 1).otherwise(0)).otherwise(0)
-    w = Window.partitionBy(*key).orderBy(F.asc("conflict"), F.desc("total"), older.desc(), F.when(known, F.col("k_newest")).desc_nulls_last(), F.asc("k_id"))
-    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r")
+
+def _judged(candidates: DataFrame) -> DataFrame:
+    return candidates.withColumn("conflict", conflicts(F.col("k_family"), F.col("wireless"), F.col("wired"))).withColumn("total", _fit() + _feature())
+
+
+def best(candidates: DataFrame, key: list[str], *first: Column) -> DataFrame:
+    """Of every key's candidates the one that fits best."""
+    return _judged(candidates).withColumn("__r", _rank(key, *first)).where(F.col("__r") == 1).drop("__r")
 
 
 def consistency() -> Column:
     """1 less a tenth for each step of severity (up to .4) and a quarter if the body isn't like the template."""
     both = F.col("severity").between(1, 8) & F.col("k_severity").between(1, 8)
     gap = F.when(both, F.least(F.lit(0.4), F.abs(F.col("severity") - F.col("k_severity")) * 0.1)).otherwise(0.0)
-    unlike = F.when(F.col("k_pattern").isNotNull() & (F.trim("message_body") != "") & ~F.col("message_body").rlike(F.col("k_pattern")), 0.25).otherwise(0.0)
+    unlike = F.when(F.col("k_pattern").isNotNull() & (F.trim("message_body") != "") & ~F.rlike("message_body", "k_pattern"), 0.25).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.lit(1.0) - gap - unlike)
 
 
@@ -113,54 +124,68 @@ def signatures(logs: DataFrame) -> DataFrame:
     for name, value in (("product", "Huawei-VRP"), ("version", "")):
         if name not in own.columns:
             own = own.withColumn(name, F.lit(value))
-    own = own.withColumns({"module_u": F.upper(F.trim("module")), "brief_u": F.upper(F.trim("brief")), "wireless": S.is_wireless(F.col("message_body")), "wired": S.is_wired(F.col("message_body"))})
+    own = own.withColumns({"product": F.trim("product"), "version": F.trim("version"), "module_u": F.upper(F.trim("module")), "brief_u": F.upper(F.trim("brief")), "wireless": S.is_wireless(F.col("message_body")), "wired": S.is_wired(F.col("message_body"))})
     return own.where(~F.col("module_u").isin("UNKNOWN", "COMMENT") & (F.col("brief_u") != "UNPARSED"))
 
 
+def _target(sigs: DataFrame) -> DataFrame:
+    return sigs.withColumns({"product_u": F.upper("product"), "version_u": F.upper("version"), "version_n": S.version_numbers(F.col("version")), "family_t": S.product_family(F.col("product"))})
+
+
+_TARGET = ["product_u", "version_u", "version_n", "family_t"]
+
+
 def match(logs: DataFrame, knowledge: DataFrame, overrides: DataFrame | None = None, with_search: bool = True) -> DataFrame:
-    """``logs`` (with id) with ``knowledge_id, match_tier, match_confidence, matched_document_id``; ``knowledge`` comes from ``prepare``."""
+    """``logs`` (with id) with ``knowledge_id, match_tier, match_confidence, matched_document_id``; ``knowledge`` comes from ``prepare``.
+
+    Each tier is one left join that adds its answer beside those of the tiers before it; a row that has one
+    joins with nothing more, as its key is null then.
+    """
     known = broadcast_if_small(knowledge.drop("description", "cause", "action"))
     own = signatures(logs)
     bodies = own.select(*_BODY).distinct()
-    sigs = own.select(*_SIG).distinct()
-    hit = lambda df, tier, conf: df.select(*_BODY, F.col("k_id").alias("knowledge_id"), F.lit(tier).alias("tier"), conf.alias("conf"), F.col("k_family").alias("family"), "versions")
-    rest = lambda df, done: df.join(done.select(*_BODY), _BODY, "left_anti")
-    # tier 0: overrides, then local entries
-    done = hit(bodies.join(known.where("k_local"), (F.col("module_u") == F.col("k_module")) & (F.col("brief_u") == F.col("k_brief"))).withColumn("__r", F.row_number().over(Window.partitionBy(*_BODY).orderBy("k_id"))).where("__r = 1"), "LOCAL_EXACT", F.lit(LOCAL_EXACT))
+    sigs = _target(bodies.select(*_SIG).distinct())
+    same_name = (F.col("module_u") == F.col("k_module")) & (F.col("brief_u") == F.col("k_brief"))
+    answer = lambda name, *more: F.struct("k_id", F.col("k_family").alias("family"), F.col("versions").alias("v"), *more).alias(name)
+    # tier 0: overrides and local entries
+    tier0 = known.where("k_local").groupBy(F.col("k_module").alias("module_u"), F.col("k_brief").alias("brief_u")).agg(F.min_by(answer("x"), "k_id").alias("t_local"))
+    rows = bodies.join(tier0, ["module_u", "brief_u"], "left")
     if overrides is not None:
-        bound = overrides.where("enabled").groupBy(F.upper("module").alias("o_module"), F.upper("brief").alias("o_brief")).agg(F.max("knowledge_id").alias("k_id")).join(known, "k_id")
-        mapped = hit(bodies.join(bound, (F.col("module_u") == F.col("o_module")) & (F.col("brief_u") == F.col("o_brief"))), "LOCAL_MAPPING", F.lit(LOCAL_MAPPING))
-        done = mapped.union(rest(done, mapped))
-    left = rest(bodies, done)
+        bound = overrides.where("enabled").groupBy(F.upper("module").alias("module_u"), F.upper("brief").alias("brief_u")).agg(F.max("knowledge_id").alias("k_id")).join(known, "k_id").select("module_u", "brief_u", answer("t_bound"))
+        rows = rows.join(bound, ["module_u", "brief_u"], "left")
+    else:
+        rows = rows.withColumn("t_bound", F.when(F.lit(False), F.col("t_local")))
     # tier 1: the best entry of the same name, if it is consistent with the body
-    exact = best(sigs.join(known, (F.col("module_u") == F.col("k_module")) & (F.col("brief_u") == F.col("k_brief"))), _SIG).select(*_SIG, "k_id", "k_severity", "k_pattern", "k_family", "versions")
-    named = left.join(exact, _SIG).withColumn("consistency", consistency())
-    tier1 = hit(named.where(F.col("consistency") >= LEAST_EXACT), "EXACT", F.col("consistency"))
-    fallback = hit(named.where(F.col("consistency") < LEAST_EXACT), "EXACT", F.col("consistency"))
-    left = rest(left, tier1)
-    # tier 2: the same event under another suffix
-    stems = left.select(*_SIG).distinct().withColumns({"stem": stem(F.col("brief_u")), "polarity": polarity(F.col("brief_u"))})
+    exact = best(sigs.join(known, same_name), _SIG).select(*_SIG, answer("t_exact", "k_severity", "k_pattern"))
+    # tier 2: the same event under another suffix, the bare one first
+    stems = sigs.withColumns({"stem": stem(F.col("brief_u")), "polarity": polarity(F.col("brief_u"))})
     akin = stems.join(known, (F.col("module_u") == F.col("k_module")) & (F.col("stem") == F.col("k_stem")) & (F.col("brief_u") != F.col("k_brief")) & (F.col("polarity") * F.col("k_polarity") >= 0))
-    # the bare stem comes before other suffixes
-    bare = best(akin.where(F.col("k_brief") == F.col("stem")), _SIG)
-    other = best(akin.where(F.col("k_brief") != F.col("stem")), _SIG).join(bare.select(*_SIG), _SIG, "left_anti")
-    same = bare.unionByName(other).select(*_SIG, "k_id", "k_family", "versions")
-    tier2 = hit(left.join(same, _SIG), "MNEMONIC", F.lit(MNEMONIC))
-    left = rest(left, tier2)
-    # tier 3: a template of the module that the body is like; the first word narrows it, places first match any
-    like = left.withColumn("head", head(F.col("message_body"))).withColumn("h", F.explode(F.array_distinct(F.array("head", F.lit("")))))
-    tried = like.join(known.where("k_pattern is not null"), (F.col("module_u") == F.col("k_module")) & (F.col("h") == F.col("k_head"))).where(F.col("message_body").rlike(F.col("k_pattern")))
-    tier3 = hit(best(tried, _BODY), "TEMPLATE", F.lit(TEMPLATE))
-    left = rest(left, tier3)
-    found = done.union(tier1).union(tier2).union(tier3)
+    akin = best(akin, _SIG, (F.col("k_brief") == F.col("stem")).desc()).select(*_SIG, answer("t_akin"))
+    rows = rows.join(exact, _SIG, "left").join(akin, _SIG, "left")
+    rows = rows.withColumns({"k_severity": F.col("t_exact.k_severity"), "k_pattern": F.col("t_exact.k_pattern")}).withColumn("consistency", F.when(F.col("t_exact").isNotNull(), consistency())).drop("k_severity", "k_pattern")
+    open_ = F.col("t_local").isNull() & F.col("t_bound").isNull() & F.col("t_akin").isNull() & (F.coalesce("consistency", F.lit(0.0)) < LEAST_EXACT)
+    # tier 3: a template of the module that the body is like; the first word narrows it, templates that begin with a place are tried too
+    heads = F.when(open_, F.array_distinct(F.array(head(F.col("message_body")), F.lit("")))).otherwise(F.array(F.lit(None).cast("string")))
+    tried = _target(rows).withColumn("h", F.explode(heads)).join(known.where("k_pattern is not null").drop("k_stem", "k_polarity"), (F.col("h") == F.col("k_head")) & (F.col("module_u") == F.col("k_module")) & F.rlike("message_body", "k_pattern"), "left")
+    rows = best(tried, _BODY, F.col("k_id").isNull().asc()).withColumn("t_like", F.when(F.col("k_id").isNotNull(), answer("x"))).select(*rows.columns, "t_like")
     if with_search:
-        tier4 = _searched(left, knowledge, known, hit)
-        found, left = found.union(tier4), rest(left, tier4)
-    found = found.union(fallback.join(left, _BODY, "left_semi"))
-    suspect = conflicts(F.col("family"), F.col("wireless"), F.col("wired")) & ~F.col("tier").startswith("LOCAL")
-    scored = F.transform("versions", lambda v: F.struct((-S.version_score(v["product_type"], v["product_version"], F.col("product"), F.col("version"))).alias("s"), v["mapping_id"].alias("m"), v["document_id"].alias("d")))
-    found = found.select(*_BODY, "knowledge_id", F.when(suspect, "FAMILY_SUSPECT").otherwise(F.col("tier")).alias("match_tier"), F.when(suspect, F.least("conf", F.lit(SUSPECT))).otherwise(F.col("conf")).cast("double").alias("match_confidence"), F.coalesce(F.array_min(scored)["d"], F.lit(0)).alias("matched_document_id"))
-    matched = own.select("id", *_BODY).join(found, _BODY).select("id", "knowledge_id", "match_tier", "match_confidence", "matched_document_id")
+        found = _searched(_target(rows.where(open_ & F.col("t_like").isNull())), knowledge, known, answer)
+        rows = rows.join(found, _BODY, "left")
+    else:
+        rows = rows.withColumns({"t_found": F.when(F.lit(False), F.col("t_akin")), "found_conf": F.lit(None).cast("double")})
+    tier = lambda c, name, conf: F.when(c, F.struct(F.lit(name).alias("tier"), conf.cast("double").alias("conf")))
+    sure = F.col("consistency") >= LEAST_EXACT
+    choice = F.coalesce(
+        tier(F.col("t_bound").isNotNull(), "LOCAL_MAPPING", F.lit(LOCAL_MAPPING)), tier(F.col("t_local").isNotNull(), "LOCAL_EXACT", F.lit(LOCAL_EXACT)), tier(sure, "EXACT", F.col("consistency")), tier(F.col("t_akin").isNotNull(), "MNEMONIC", F.lit(MNEMONIC)),
+        tier(F.col("t_like").isNotNull(), "TEMPLATE", F.lit(TEMPLATE)), tier(F.col("t_found").isNotNull(), "BLEVE", F.col("found_conf")), tier(F.col("t_exact").isNotNull(), "EXACT", F.col("consistency")),
+    )
+    short = lambda c: F.struct(F.col(f"{c}.k_id").alias("k_id"), F.col(f"{c}.family").alias("family"), F.col(f"{c}.v").alias("v"))
+    at = F.when(F.col("t_bound").isNotNull(), short("t_bound")).when(F.col("t_local").isNotNull(), short("t_local")).when(sure, short("t_exact")).when(F.col("t_akin").isNotNull(), short("t_akin")).when(F.col("t_like").isNotNull(), short("t_like")).when(F.col("t_found").isNotNull(), short("t_found")).otherwise(short("t_exact"))
+    won = _target(rows).withColumns({"c": choice, "w": at}).where(F.col("c").isNotNull())
+    suspect = conflicts(F.col("w.family"), F.col("wireless"), F.col("wired")) & ~F.col("c.tier").startswith("LOCAL")
+    scored = F.array_min(F.transform("w.v", lambda v: F.struct((-_score(v)).alias("s"), v["mapping_id"].alias("m"), v["document_id"].alias("d"))))
+    won = won.select(*_BODY, F.col("w.k_id").alias("knowledge_id"), F.when(suspect, "FAMILY_SUSPECT").otherwise(F.col("c.tier")).alias("match_tier"), F.when(suspect, F.least("c.conf", F.lit(SUSPECT))).otherwise(F.col("c.conf")).alias("match_confidence"), F.coalesce(scored["d"], F.lit(0)).alias("matched_document_id"))
+    matched = own.select("id", *_BODY).join(won, _BODY).select("id", "knowledge_id", "match_tier", "match_confidence", "matched_document_id")
     out = logs.drop("knowledge_id", "match_tier", "match_confidence", "matched_document_id").join(matched, "id", "left")
     return out.withColumns({"knowledge_id": F.coalesce("knowledge_id", F.lit(0)).cast("bigint"), "match_tier": F.coalesce("match_tier", F.lit("UNMATCHED")), "match_confidence": F.coalesce("match_confidence", F.lit(0.0)), "matched_document_id": F.coalesce("matched_document_id", F.lit(0)).cast("bigint")})
 
@@ -171,8 +196,8 @@ def worth_searching(brief: Column, body: Column) -> Column:
     return enough(brief, 2) | enough(body, 3)
 
 
-def _searched(left: DataFrame, knowledge: DataFrame, known: DataFrame, hit) -> DataFrame:
-    asked = left.where(worth_searching(F.col("brief_u"), F.col("message_body"))).withColumn("query", F.xxhash64(*_BODY))
+def _searched(left: DataFrame, knowledge: DataFrame, known: DataFrame, answer) -> DataFrame:
+    asked = left.where(worth_searching(F.col("brief_u"), F.col("message_body"))).select(*_BODY, *_TARGET).withColumn("query", F.xxhash64(*_BODY))
     text = F.concat_ws(" ", "brief_u", F.substring("message_body", 1, 256))
     postings = search.index(knowledge.withColumn("doc", F.col("k_id")), "doc", "k_brief", "k_message", "description", "cause", "action")
     ranked = search.scores(postings, asked.select("query", text.alias("text")), None)
@@ -182,7 +207,7 @@ def _searched(left: DataFrame, knowledge: DataFrame, known: DataFrame, hit) -> D
     pairs = pairs.withColumn("share", S.relevance(F.col("score"))).withColumn("blend", F.lit(0.6) * F.col("share") + F.lit(0.4) * _fit() / 150)
     w = Window.partitionBy("query").orderBy(F.desc("blend"), "k_id")
     won = pairs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1)
-    return hit(won, "BLEVE", F.lit(SEARCH_LOW) + (SEARCH_HIGH - SEARCH_LOW) * F.col("share"))
+    return won.select(*_BODY, answer("t_found"), (F.lit(SEARCH_LOW) + (SEARCH_HIGH - SEARCH_LOW) * F.col("share")).alias("found_conf"))
 
 
 def with_context(logs: DataFrame, devices: DataFrame, override: str = "") -> DataFrame:
