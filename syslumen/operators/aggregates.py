@@ -179,3 +179,26 @@ def knowledge_facets(knowledge: DataFrame, versions: DataFrame, module: str = ""
     product = mapped.groupBy(F.col("product_type").alias("value")).agg(F.countDistinct("knowledge_id").alias("n")).orderBy(F.desc("n"), "value").limit(30)
     version = mapped.where("product_version <> ''").groupBy(F.col("product_version").alias("value")).agg(F.countDistinct("knowledge_id").alias("n")).orderBy(F.desc("n"), "value").limit(50)
     return plain("severity").union(plain("entry_type")).union(product.select(F.lit("product").alias("kind"), "value", "n")).union(version.select(F.lit("version").alias("kind"), "value", "n"))
+
+
+def summary(logs: DataFrame) -> DataFrame:
+    """The whole diagnosis summary from one pass over the logs: ``section, key, key2, n, first_us, last_us, low, high, sample_id``.
+
+    Sections are total, matched, unparsed, unassigned, severity, tier, module (5) and hotspot (10). The logs are
+    grouped once by all that sections need, which leaves few rows; sections are grouping sets of those.
+    """
+    us = micros("timestamp")
+    kind = F.when(F.coalesce(F.col("knowledge_id"), F.lit(0)) > 0, True).otherwise(False)
+    small = logs.groupBy("module", "brief", "severity", "match_tier", kind.alias("matched"), (F.coalesce(F.col("device_id"), F.lit(0)) == 0).alias("unassigned")).agg(F.count("*").alias("n"), F.min(us).alias("a"), F.max(us).alias("b"), F.min("id").alias("sample_id"))
+    event = F.col("module").isNotNull() & (F.col("module") != "") & (F.col("module") != "COMMENT")
+    own = lambda s, key, key2=None: F.struct(F.lit(s).alias("section"), key.cast("string").alias("key"), (key2 if key2 is not None else F.lit(None)).cast("string").alias("key2"))
+    nothing = F.lit(None)
+    parts = F.array(
+        own("total", nothing), F.when(F.col("matched"), own("matched", nothing)), F.when((F.col("module") == "UNKNOWN") & (F.col("brief") == "UNPARSED"), own("unparsed", nothing)), F.when(F.col("unassigned"), own("unassigned", nothing)),
+        own("severity", F.col("severity")), own("tier", F.col("match_tier")), F.when(event, own("module", F.col("module"))), F.when(event & ~F.col("matched"), own("hotspot", F.col("module"), F.col("brief"))),
+    )
+    rows = small.select(F.explode(F.filter(parts, lambda p: p.isNotNull())).alias("p"), "n", "a", "b", "severity", "sample_id")
+    made = rows.groupBy("p.section", "p.key", "p.key2").agg(F.sum("n").alias("n"), F.min("a").alias("first_us"), F.max("b").alias("last_us"), F.min("severity").alias("low"), F.max("severity").alias("high"), F.min("sample_id").alias("sample_id"))
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "key", "key2"))
+    most = F.when(F.col("section") == "module", 5).when(F.col("section") == "hotspot", 10).otherwise(1 << 30)
+    return made.withColumn("place", place).where(F.col("place") <= most).drop("place")

@@ -51,6 +51,22 @@ def agg05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.unmatched_hotspots(L.logs(spark, sf_dir))
 
 
+_SECTION = "SELECT '{0}' AS section, {1} AS key, {2} AS key2, count(*) AS n, min(us) AS first_us, max(us) AS last_us, min(severity) AS low, max(severity) AS high, min(id) AS sample_id FROM t WHERE {3} GROUP BY ALL{4}"
+_NO = "CAST(NULL AS STRING)"
+_SUMMARY = " UNION ALL ".join(
+    f"({_SECTION.format(*x)})"
+    for x in [
+        ("total", _NO, _NO, "TRUE", ""), ("matched", _NO, _NO, "knowledge_id > 0", ""), ("unparsed", _NO, _NO, "module = 'UNKNOWN' AND brief = 'UNPARSED'", ""), ("unassigned", _NO, _NO, "coalesce(device_id, 0) = 0", ""),
+        ("severity", "CAST(severity AS STRING)", _NO, "TRUE", ""), ("tier", "match_tier", _NO, "TRUE", ""), ("module", "module", _NO, _EVENTS, " ORDER BY n DESC, key LIMIT 5"), ("hotspot", "module", "brief", f"{_EVENTS} AND coalesce(knowledge_id, 0) = 0", " ORDER BY n DESC, key, key2 LIMIT 10"),
+    ]
+)
+
+
+@query("agg_summary_in_one_pass", f"{WITH}, t AS (SELECT *, {US} AS us FROM logs) {_SUMMARY}")
+def agg_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.summary(L.logs(spark, sf_dir))
+
+
 _HISTOGRAM = f"""{WITH}, t AS (SELECT {US} AS us, severity FROM logs WHERE "timestamp" IS NOT NULL), b AS (SELECT min(us) AS low, CAST(floor((max(us) - min(us)) / (1000000.0 * 60)) + 1 AS BIGINT) AS width FROM t),
 c AS (SELECT least((us - low) // 1000000 // width, 59) AS bucket, count(*) AS total, count(*) FILTER (severity <= 2) AS severe, count(*) FILTER (severity IN (3, 4)) AS error, count(*) FILTER (severity = 5) AS warning, count(*) FILTER (severity > 5) AS info FROM t, b GROUP BY ALL)
 SELECT CAST(r.bucket AS INT) AS bucket, low + r.bucket * width * 1000000 AS start_us, coalesce(total, 0) AS total, coalesce(severe, 0) AS severe, coalesce(error, 0) AS error, coalesce(warning, 0) AS warning, coalesce(info, 0) AS info FROM b, (SELECT unnest(range(60)) AS bucket) r LEFT JOIN c ON c.bucket = r.bucket"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from syslumen.functions.parameters import parameters
 from syslumen.session import micros
 
 LONGEST_LINE = 1 << 20
+#: Bytes of a file that tell its encoding.
+PROBE = 1 << 16
 LINES_PER_SECOND = 25_000
 
 # Headers of a device's line, comment lines, modules that security devices log under.
@@ -37,10 +40,11 @@ def read_lines(spark: SparkSession, paths: list[str], extensions: str = "*", rec
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 raw = bytes(content).removeprefix(b"\xef\xbb\xbf")
                 try:
-                    text = raw.decode("utf-8")
+                    # a character that the probe's end cuts is no error
+                    codecs.getincrementaldecoder("utf-8")().decode(raw[:PROBE])
+                    text = raw.decode("utf-8", "replace")
                 except UnicodeDecodeError:
-                    good = raw[: 1 << 16].decode("utf-8", "ignore").encode()
-                    text = raw.decode("utf-8", "replace") if len(good) >= min(len(raw), 1 << 16) - 3 else raw.decode("gb18030", "replace")
+                    text = raw.decode("gb18030", "replace")
                 lines = text.split("\n")
                 for at in range(0, len(lines), 50_000):
                     part = lines[at : at + 50_000]
