@@ -71,18 +71,31 @@ class Codec:
         self.chars = byte_characters()
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self.memo: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
 
-    def packed(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+    def _known(self, text: str) -> list[str]:
+        """The pre-tokens of a text, all of them in the memo."""
         pieces = self.cut(text)
         if new := {p for p in pieces if p not in self.memo}:
             if len(self.memo) + len(new) > MEMO:
                 self.memo.clear()
+                self.plain.clear()
                 new = set(pieces)
             new = list(new)
             coded = self.processor.encode([p.encode("utf-8").decode("latin-1").translate(self.table) for p in new], num_threads=1)
-            self.memo.update((p, np.asarray(ids, dtype="<u4").tobytes()) for p, ids in zip(new, coded, strict=True))
-        return b"".join(map(self.memo.__getitem__, pieces))
+            for p, ids in zip(new, coded, strict=True):
+                self.memo[p] = np.asarray(ids, dtype="<u4").tobytes()
+                self.plain[p] = b"".join(map(self.tokens.__getitem__, ids))
+        return pieces
+
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.memo.__getitem__, self._known(text)))
+
+    def both(self, text: str) -> tuple[bytes, bytes]:
+        """The packed ids, and the bytes that they decode to: those of each pre-token's ids, one after the other."""
+        pieces = self._known(text)
+        return b"".join(map(self.memo.__getitem__, pieces)), b"".join(map(self.plain.__getitem__, pieces))
 
     @property
     def table(self) -> dict[int, str]:
@@ -101,8 +114,7 @@ def _mapper(ranks: bytes, pattern: str, text: str, keep: list[str], ids: bool):
         for batch in C.small_batches(batches, text):
             counts, lists, hashes, decoded, back = [], [], [], [], []
             for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                packed = codec.packed(value or "")
-                plain = codec.decode(packed)
+                packed, plain = codec.both(value or "")
                 counts.append(len(packed) // 4)
                 if ids:
                     lists.append(np.frombuffer(packed, dtype="<u4").astype(np.int32))
