@@ -27,7 +27,7 @@ from syslumen.llm import _common as C
 C.by_value(__name__)
 
 #: Distinct pre-tokens that a worker remembers; beyond it the memo starts anew.
-MEMO = 400_000
+MEMO = 300_000
 
 
 def parse_ranks(data: bytes) -> list[bytes]:

@@ -186,7 +186,7 @@ class Best:
         qi, ids, score = (np.concatenate([a, b[other]]) for a, b in zip(self.found, (qi, ids, score), strict=True))
         order = np.lexsort((ids, qi))
         again = np.append(False, (qi[order][1:] == qi[order][:-1]) & (ids[order][1:] == ids[order][:-1]))
-        once = order[~again]
+        once = order[~again[: len(order)]]
         best = once[_topk(qi[once], ids[once], score[once], self.k)]
         self.found = (qi[best], ids[best], score[best])
         full = np.bincount(qi[best], minlength=len(self.q)) >= self.k
@@ -284,7 +284,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
         visits, of = visits[by], of[by]
         start = np.flatnonzero(np.append(True, visits[1:] != visits[:-1])) if len(visits) else np.zeros(0, np.int64)
         low, high = (np.searchsorted(bucket, visits[start], side=s) for s in ("left", "right"))
-        for a, b, lo, hi in zip(start, np.append(start[1:], len(visits)), low, high, strict=True):
+        for a, b, lo, hi in zip(start, np.append(start[1:], len(visits))[: len(start)], low, high, strict=True):
             if lo < hi:
                 best.look(of[a:b], order[lo:hi])
         return best.table()

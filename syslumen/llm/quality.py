@@ -56,8 +56,8 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     size = np.diff(offsets)
     kind = _classes()[raw]
-    whose = np.repeat(np.arange(n), size)
-    shares = np.bincount(whose * _KINDS + kind, minlength=n * _KINDS).reshape(n, _KINDS).astype(np.float64)
+    whose = np.repeat(np.arange(n, dtype=np.int32), size)
+    shares = np.bincount(whose * np.int32(_KINDS) + kind, minlength=n * _KINDS).reshape(n, _KINDS).astype(np.float64)
     total = np.maximum(size, 1)[:, None]
 
     def pieces(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,8 +73,9 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             after[offsets[1:][size > 0] - 1] = False
         return start, np.flatnonzero(inside & ~after) + 1, whose[start]
 
-    mixed = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    place = np.arange(len(raw), dtype=np.uint64)
+    # arrays as long as the text are kept to 32 bits, as they are what memory goes into
+    mixed = ((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)).astype(np.uint32)[raw]
+    place = np.arange(len(raw), dtype=np.uint32)
 
     def runs(inside: np.ndarray) -> tuple[np.ndarray, ...]:
         start, end, owner = pieces(inside)
@@ -83,9 +84,14 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         mean = np.bincount(owner, length, n) / np.maximum(count, 1)
         spread = np.sqrt(np.maximum(np.bincount(owner, length**2, n) / np.maximum(count, 1) - mean**2, 0))
         # a piece's value: its bytes mixed with their place in it, summed
-        inner = (place - np.repeat(start, end - start).astype(np.uint64)[np.cumsum(inside) - 1]) if len(start) else place
-        part = np.where(inside, mixed ^ (mixed >> np.uint64(29)) * (np.uint64(2) * inner + np.uint64(1)), np.uint64(0))
-        value = (np.add.reduceat(part, start) if len(start) else np.zeros(0, np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+        inner = place[inside] - np.repeat(start.astype(np.uint32), end - start)
+        inner *= np.uint32(2)
+        inner += np.uint32(1)
+        part = mixed[inside] * inner
+        del inner
+        part ^= part >> np.uint32(15)
+        length_ = (end - start).astype(np.int64)
+        value = (np.add.reduceat(part, np.cumsum(length_) - length_) if len(start) else np.zeros(0, np.uint32)) * np.uint32(0xD6E8FEB9)
         order = np.lexsort((value, owner))
         v, o = value[order], owner[order]
         fresh = np.ones(len(v), bool)
@@ -104,9 +110,8 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     # words whose last byte is a symbol, whose first is upper case, that are all upper case, without a letter
     start, end, owner, count = words[:4]
     per = np.maximum(count, 1)
-    letters = np.cumsum(np.append(0, (kind <= 1) | (kind == 9)))
-    lower = np.cumsum(np.append(0, kind == 0))
-    upper = np.cumsum(np.append(0, kind == 1))
+    summed = lambda flag: np.cumsum(np.append(False, flag), dtype=np.int32)
+    letters, lower, upper = summed((kind <= 1) | (kind == 9)), summed(kind == 0), summed(kind == 1)
     of = lambda flag: np.bincount(owner[flag], minlength=n) / per
     marks = [
         of(kind[end - 1] == 8), of(kind[start] == 1), of((upper[end] - upper[start] > 1) & (lower[end] == lower[start])),
@@ -123,7 +128,7 @@ def statistics_of(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """``doc_id`` and ``stats``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.small_batches(batches, most=2 << 20):
+        for batch in C.small_batches(batches, most=1 << 20):
             made = statistics(*C.utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(made), pa.list_(pa.float32()))], names=["doc_id", "stats"])
 

@@ -71,7 +71,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = np.flatnonzero(inside)
     first = np.flatnonzero(start[at])
     letters = lower[raw[at]]
-    last = np.append(first[1:], len(at))
+    last = np.append(first[1:], len(at))[: len(first)]
     place = np.minimum(np.arange(len(at)) - np.repeat(first, last - first), 255)
     rng = np.random.default_rng(11)
     turn, mark = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1), rng.integers(1, 1 << 63, 256, dtype=np.uint64)
