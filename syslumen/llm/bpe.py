@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from syslumen.llm import _common as C
 
 C.by_value(__name__)
 
-#: Distinct pre-tokens that a worker remembers; beyond it the memo starts anew.
-MEMO = 300_000
+#: Distinct pre-tokens of a generation; a worker remembers two.
+MEMO = 250_000
 
 
 def parse_ranks(data: bytes) -> list[bytes]:
@@ -72,25 +73,30 @@ class Codec:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self.memo: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _known(self, text: str) -> list[str]:
         """The pre-tokens of a text, all of them in the memo."""
         pieces = self.cut(text)
-        if new := {p for p in pieces if p not in self.memo}:
+        new = set(pieces).difference(self.memo)
+        if new:
             if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                self.plain.clear()
+                # the generation before the last is forgotten; what is still in use comes back from the last
+                self.old, self.memo, self.plain = (self.memo, self.plain), {}, {}
                 new = set(pieces)
-            new = list(new)
+            memo, plain = self.old
+            for p in new & memo.keys():
+                self.memo[p], self.plain[p] = memo[p], plain[p]
+            new = list(new.difference(memo))
             coded = self.processor.encode([p.encode("utf-8").decode("latin-1").translate(self.table) for p in new], num_threads=1)
             for p, ids in zip(new, coded, strict=True):
-                self.memo[p] = np.asarray(ids, dtype="<u4").tobytes()
-                self.plain[p] = b"".join(map(self.tokens.__getitem__, ids))
+                self.memo[p] = struct.pack(f"<{len(ids)}I", *ids)
+                self.plain[p] = b"".join([self.tokens[k] for k in ids])
         return pieces
 
     def packed(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.memo.__getitem__, self._known(text)))
+        return self.both(text)[0]
 
     def both(self, text: str) -> tuple[bytes, bytes]:
         """The packed ids, and the bytes that they decode to: those of each pre-token's ids, one after the other."""
