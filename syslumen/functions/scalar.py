@@ -224,6 +224,13 @@ def product_family(c: Column) -> Column:
     return out.otherwise("UNKNOWN")
 
 
+def model_or_family(c: Column) -> Column:
+    """A model number in a name, else the family that it tells, else nothing."""
+    own = F.upper(F.trim(c))
+    found = [F.nullif(F.regexp_extract(own, rf"(?:^|[^A-Z0-9])({'|'.join(x for x in (*forms, *names) if any(ch.isdigit() for ch in x) or '\\d' in x)})(?:$|[^A-Z0-9])", 1), F.lit("")) for _, names, forms in FAMILIES]
+    return F.coalesce(*found, F.nullif(product_family(c), F.lit("UNKNOWN")), F.lit(""))
+
+
 def version_score(product: Column, version: Column, target_product: Column, target_version: Column) -> Column:
     """150 same product and version, 120 same product, 50 same family, 10 otherwise."""
     t, v = F.upper(F.trim(F.coalesce(target_product, F.lit("")))), F.upper(F.trim(F.coalesce(product, F.lit(""))))

@@ -88,6 +88,18 @@ def starts(edge: Edge, module: str, brief: str) -> bool:
     return module in edge.from_modules and any(w in brief for w in edge.from_briefs)
 
 
+def is_root(rules: list[Edge] | None = None) -> Column:
+    """Whether a log can be a root: some head edge starts from its module and a word of its brief."""
+    heads = [e for e in (RULES if rules is None else rules) if e.head]
+    out = F.lit(False)
+    for e in heads:
+        words = F.lit(False)
+        for w in e.from_briefs:
+            words = words | F.upper("brief").contains(w)
+        out = out | (F.upper("module").isin(*e.from_modules) & words)
+    return out
+
+
 def entities(parameters: str | None) -> dict[str, str]:
     try:
         own = json.loads(parameters) if parameters else {}
