@@ -8,16 +8,27 @@ from pyspark.sql import functions as F
 from syslumen.session import micros
 
 
+#: Places of a file that are sorted together.
+BLOCK = 1_000_000
+
+
 def align_times(lines: DataFrame, file: str = "source_file", seq: str = "seq", time: str = "timestamp") -> DataFrame:
     """Rows without a time take that of the last row before in the file that has one, or the first one after it.
 
-    ``lines`` with ``time`` filled; both windows share one sort by file and place.
+    Files are cut into blocks of ``BLOCK`` places, so that a very large one isn't sorted in one task; what blocks
+    hand on to later ones comes from one row for each.
     """
-    w = Window.partitionBy(file).orderBy(seq)
-    before = F.last(time, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    # the earliest time of a file by place, for the rows before it
-    first = F.min_by(time, F.when(F.col(time).isNotNull(), F.col(seq))).over(Window.partitionBy(file))
-    return lines.withColumn(time, F.coalesce(before, first))
+    cut = lines.withColumn("__block", F.floor(F.col(seq) / BLOCK))
+    known = F.when(F.col(time).isNotNull(), F.col(seq))
+    blocks = cut.groupBy(file, "__block").agg(F.max_by(time, known).alias("__last"), F.min_by(time, known).alias("__first"))
+    order = Window.partitionBy(file).orderBy("__block")
+    blocks = blocks.select(
+        file, "__block", F.last("__last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.first("__first", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__first"),
+    )
+    within = F.last(time, ignorenulls=True).over(Window.partitionBy(file, "__block").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
+    filled = cut.withColumn("__within", within).join(blocks, [file, "__block"])
+    return filled.withColumn(time, F.coalesce("__within", "__before", "__first")).select(*lines.columns)
 
 
 def correlated_clusters(logs: DataFrame, gap_s: int = 60, timeline_limit: int | None = 500) -> DataFrame:
@@ -55,7 +66,8 @@ def overlapping_windows(stamps: DataFrame, length_s: int = 300, overlap_s: int =
     """``window, start_us, end_us``: windows of ``length_s`` (end included) that begin at the first time and then at the
     first time at or after the last start plus ``length_s - overlap_s``; with no overlap, after the last window.
 
-    The starts form a chain, each found from the one before: only distinct seconds' first times take part in it.
+    The starts form a chain, each found from the one before, and so one task follows it: what it gets are the
+    distinct times of the rows that root causes are looked for in, which ``rca.sample`` bounds.
     """
     length, step = length_s * 1_000_000, (length_s - overlap_s) * 1_000_000
 

@@ -162,6 +162,7 @@ def clean_lines(text: str) -> str:
     return "\n".join(x for x in map(clean, text.split("\n")) if x)
 
 
+# Headings of a page's sections, by what they hold.
 _HEADINGS = {"message": ("日志信息", "告警信息", "message", "log message"), "description": ("日志含义", "告警解释", "meaning", "description"), "impact": ("对系统的影响", "impact"), "cause": ("可能原因", "possible causes", "cause"), "action": ("处理步骤", "procedure", "action")}
 
 

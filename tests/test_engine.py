@@ -158,6 +158,14 @@ def test_windows_that_overlap(spark):
     assert [r["start_us"] // 1_000_000 for r in windows.overlapping_windows(stamps).orderBy("window").collect()] == [0, 240, 500, 2000]
 
 
+def test_time_alignment_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK", 3)
+    known = {2: 20, 3: 30, 8: 80}
+    rows = spark.createDataFrame([("a", s, known.get(s)) for s in range(12)] + [("b", 0, None)], "source_file string, seq bigint, timestamp bigint")
+    got = {(r["source_file"], r["seq"]): r["timestamp"] for r in windows.align_times(rows).collect()}
+    assert [got["a", s] for s in range(12)] == [20, 20, 20, 30, 30, 30, 30, 30, 80, 80, 80, 80] and got["b", 0] is None
+
+
 def test_sessions_go_on_over_midnight(spark):
     rows = [(k, 1, f"2026-01-0{1 + s // 86400} {s % 86400 // 3600:02d}:{s % 3600 // 60:02d}:{s % 60:02d}", "h", "f", "M", "B", 4, "{}") for k, s in enumerate([86390, 86395, 86405, 86466, 86470, 86472, 172799, 172800, 172801])]
     found = windows.correlated_clusters(_logs(spark, rows), timeline_limit=None).orderBy("start_us").collect()
