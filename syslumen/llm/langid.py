@@ -110,7 +110,8 @@ def sample(labelled: DataFrame, most: int) -> tuple[DataFrame, list[str]]:
     cuts = [(k, min(1.0, share / n)) for k, n in sorted(sizes.items())]
     table = labelled.sparkSession.createDataFrame(cuts, "lang string, cut double")
     at = F.pmod(F.xxhash64("key", "text", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return labelled.join(F.broadcast(table), "lang").where(at < F.col("cut")).drop("cut"), [k for k, _ in cuts]
+    # rows that are alike in all of it count once, so that their number doesn't matter
+    return labelled.join(F.broadcast(table), "lang").where(at < F.col("cut")).drop("cut").distinct(), [k for k, _ in cuts]
 
 
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:

@@ -121,6 +121,23 @@ def deletions(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key
     return gone.groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
+#: ``doc_id, n_lines, n_deleted, chars_left, text_sha256`` in DuckDB, by comparing runs' whole texts; doc_id must be unique.
+ORACLE_SQL = rf"""
+WITH l AS (SELECT doc_id AS d, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+p AS (SELECT d, pos, len(list_filter(string_split_regex(line, '\s+'), lambda x: x <> '')) AS w FROM (SELECT d, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l)),
+u AS (SELECT *, sum(w) OVER (PARTITION BY d ORDER BY pos) AS upto FROM p),
+r AS (SELECT a.d, a.pos AS low, min(b.pos) AS high FROM u a JOIN u b ON a.d = b.d AND b.pos >= a.pos AND b.upto >= a.upto - a.w + {MIN_WORDS} GROUP BY a.d, a.pos
+      UNION SELECT b.d, max(a.pos), b.pos FROM u a JOIN u b ON a.d = b.d AND b.pos >= a.pos AND a.upto - a.w <= b.upto - {MIN_WORDS} GROUP BY b.d, b.pos),
+k AS (SELECT d, low, high, md5(array_to_string(ls[low:high], chr(10))) AS run FROM r JOIN l USING (d)),
+f AS (SELECT *, first_value({{'d': d, 'low': low}}) OVER (PARTITION BY high - low, run ORDER BY d, low) AS first FROM k),
+g AS (SELECT DISTINCT d, unnest(range(low, high + 1)) AS pos FROM f WHERE {{'d': d, 'low': low}} <> first),
+n AS (SELECT d, list(pos) AS gone FROM g GROUP BY d),
+o AS (SELECT l.d, ls, coalesce(gone, []) AS gone FROM l LEFT JOIN n USING (d)),
+t AS (SELECT d, ls, gone, array_to_string(list_filter(ls, lambda x, i: NOT list_contains(gone, i)), chr(10)) AS text FROM o)
+SELECT d AS doc_id, CAST(len(ls) AS INT) AS n_lines, CAST(len(gone) AS INT) AS n_deleted, CAST(length(text) AS INT) AS chars_left, sha256(text) AS text_sha256 FROM t
+"""
+
+
 def dedup(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` with later copies of repeated runs taken out of ``text``; adds ``n_lines`` and ``n_deleted``."""
     gone = deletions(df, min_words, text, key)

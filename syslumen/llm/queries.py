@@ -75,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op7_spaced_seeds": decontaminate.ORACLE_SQL,
+    "op9_line_runs": linededup.ORACLE_SQL,
 }

@@ -328,7 +328,9 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "tex
     picked = one.where(fold < cut)
     docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.lower(F.col(f"`{text}`")).cast("binary").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
     # the sample has about TRAIN + TRAIN_CLEAN rows of two numbers
-    rows = sorted(docs.join(F.broadcast(picked), "doc_id").collect(), key=lambda r: (r["doc_id"], r["text"]))
+    # a doc_id that many rows share gives one
+    picked = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = sorted(picked.collect(), key=lambda r: (r["doc_id"], r["text"]))
     if len({r["y"] for r in rows}) < 2:
         return share
     return train([bytes(r["text"]) for r in rows], np.array([float(r["y"] == 1) for r in rows]), share)
