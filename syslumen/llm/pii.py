@@ -14,6 +14,9 @@ Separators and brackets stay in place. E-mail addresses and secrets get keyed di
 Each text is handled in its own row: matches are cut out, replaced one by one and joined with what lay
 between, so that a pseudonym is never looked at again.
 
+DuckDB's regular expressions know neither look-around nor possessive quantifiers, so SQL can't express it;
+tests compare it with the same in plain Python.
+
 Defined cases: a null text stays null with no replacements; an empty one stays empty; repeated rows get the
 same result; all other columns are kept (but ``n_replaced`` must not be among them); an empty table gives none.
 """
