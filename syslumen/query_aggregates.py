@@ -210,7 +210,6 @@ def join10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.assign_devices(L.logs(spark, sf_dir), named).select("id", "device_id")
 
 
-_FILES = "SELECT * FROM (VALUES ('[a]_x.log'), ('x.log'), ('y.log'), ('b'), ('b')) AS t(name)"
 
 
 @query("join18_file_conflicts", "SELECT * FROM (VALUES ('[a]_x.log', '[a]_x_2.log', 'rename'), ('x.log', 'x_3.log', 'rename'), ('y.log', 'y.log', 'import')) AS t(name, stored_as, action)")
