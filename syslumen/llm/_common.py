@@ -99,8 +99,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text", most: i
             at = to
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def map_whole(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: str = "") -> DataFrame:
+    """``f`` over batches of all columns, which it finds by place as c0, c1, ... and gives back with those of ``more`` after them.
+
+    Names go around ``mapInArrow``, which can't take those with dots.
+    """
+    names = [f"c{k}" for k in range(len(df.columns))]
+    plain = df.toDF(*names)
+    schema = ", ".join([*(f"{n} {x.dataType.simpleString()}" for n, x in zip(names, df.schema, strict=True)), *([more] if more else [])])
+    made = plain.mapInArrow(f, schema)
+    return made.toDF(*df.columns, *made.columns[len(names) :])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

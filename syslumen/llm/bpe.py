@@ -156,12 +156,13 @@ def with_digest(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", k
 def decode(df: DataFrame, ranks: bytes, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes that a column of ids stands for; a null list gives none. An id outside the vocabulary fails."""
 
+    at = df.columns.index(ids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = parse_ranks(ranks)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
+            lists = batch.column(at).to_pylist()
             made = pa.array([b"".join(tokens[k] for k in x or ()) for x in lists], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{schema}, `{out}` binary")
+    return C.map_whole(df, run, f"`{out}` binary")

@@ -266,16 +266,33 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
-def classify(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Fits on labelled rows whose fold (crc32 of the key modulo 3) isn't 1 and scores every row."""
+def fitted(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id") -> tuple[Model, DataFrame]:
+    """The model that labelled rows whose fold (crc32 of the key modulo 3) isn't 1 give, and the statistics of all rows."""
     shared = C.Shared(df.sparkSession)
     stats = shared.write(statistics_of(df, text, key), "statistics")
     learn = labels.where(C.remainder("doc_id", 3) != 1).select("doc_id", F.col(label).alias("label"))
-    found = score(stats, fit(stats, learn, "label"))
-    return found.select("doc_id", (C.remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return fit(stats, learn, "label"), stats
+
+
+def classify(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Scores every row with the model that ``fitted`` gives."""
+    model, stats = fitted(df, labels, label, text, key)
+    return score(stats, model).select("doc_id", (C.remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
 def keep_good(df: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` that aren't predicted to be of low quality; all columns stay. Rows with a null key stay."""
-    bad = classify(df, labels, label, text, key).where("predicted = 0").select(F.col("doc_id").alias(key)).distinct()
-    return df.join(bad, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    """The rows of ``df`` that aren't predicted to be of low quality; all columns stay.
+
+    A row's score needs nothing but its text, so that rows are judged where they are read: their texts aren't
+    shuffled to meet a list of ids. Rows with a null key are judged like any other.
+    """
+    model, _ = fitted(df, labels, label, text, key)
+
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.small_batches(batches, f"c{at}", most=1 << 20):
+            stats = statistics(*C.utf8(batch.column(at)))
+            yield batch.filter(pa.array(model.score(stats.astype(np.float64)) >= 0.5))
+
+    return C.map_whole(df, run)

@@ -65,5 +65,9 @@ def test_awkward_rows_and_missing_labels(spark):
     _, some = labelled(spark, 60)
     docs, _ = labelled(spark, 60)
     assert Q.classify(empty(spark), some).count() == 0
-    kept = Q.keep_good(awkward(spark).unionByName(docs, allowMissingColumns=True), some)
-    assert kept.columns == awkward(spark).columns and kept.where("doc_id is null").count() == 1
+    mixed = awkward(spark).where("doc_id is null or doc_id > 3").unionByName(docs.selectExpr("doc_id + 100 as doc_id", "text"), allowMissingColumns=True)
+    shifted = some.selectExpr("doc_id + 100 as doc_id", "quality")
+    kept = Q.keep_good(mixed, shifted)
+    good = Q.classify(mixed, shifted).where("predicted = 1")
+    ids = lambda df: sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in df.collect())
+    assert kept.dtypes == mixed.dtypes and ids(kept) == ids(good)
