@@ -81,7 +81,7 @@ def src17_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.local_rows(spark.createDataFrame(_CSV, _CSV_SCHEMA))[1].select("brief", "error")
 
 
-@query("src17_local_counts", "SELECT 1 AS created, 1 AS updated")
+@query("src17_local_counts", "SELECT CAST(1 AS BIGINT) AS created, CAST(1 AS BIGINT) AS updated")
 def src17_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([("ifnet", "if_down"), ("IFNET", "NEW"), ("IFNET", "new")], "module string, brief string")
     return cases.local_changes(knowledge(spark), rows)
@@ -216,7 +216,7 @@ _table("tim03_years", "t string", [("Feb 29 10:00:00",), ("Jun  2 10:00:00",)],
 _table("tim04_offsets", "t string", [("2026-04-15 14:23:10+0530",), ("UTC-3 2026-04-15 14:23:10",), ("2026-04-15 14:23:10Z",)], lambda t: S.normalized_time(t), [("2026-04-15 14:23:10+0530", "2026-04-15 14:23:10+05:30"), ("UTC-3 2026-04-15 14:23:10", "2026-04-15 14:23:10-03:00"), ("2026-04-15 14:23:10Z", "2026-04-15 14:23:10+00:00")])
 
 
-@query("mth01_confidence", "SELECT * FROM (VALUES (1, 1, 0.77), (3, 3, 0.98), (9, 9, 0.98)) AS t(depth, evidence, confidence)")
+@query("mth01_confidence", "SELECT depth, evidence, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES (1, 1, 0.77), (3, 3, 0.98), (9, 9, 0.98)) AS t(depth, evidence, confidence)")
 def mth01(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(d, e, rca.confidence(d, e, s, False, True)) for d, e, s in ((1, 1, 0), (3, 3, 15), (9, 9, 0))]
     return spark.createDataFrame(rows, "depth int, evidence int, confidence double")
@@ -227,7 +227,7 @@ def rca10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, s, rca.impact_level(n, s)) for n, s in ((3, 5), (1, 2), (2, 4), (1, 4), (1, 5))], "n int, severity int, level string")
 
 
-@query("rca01_rules", "SELECT * FROM (VALUES ('LINK_ROUTING_CASCADE', 4, 2), ('OPTICAL_CRC_DOWN', 2, 1), ('RADIUS_AUTH_CASCADE', 3, 1), ('MLAG_PEERLINK_DAD', 2, 1), ('RESOURCE_OVERLOAD_TIMEOUT', 1, 1)) AS t(rule, edges, heads)")
+@query("rca01_rules", "SELECT rule, CAST(edges AS BIGINT) AS edges, CAST(heads AS BIGINT) AS heads FROM (VALUES ('LINK_ROUTING_CASCADE', 4, 2), ('OPTICAL_CRC_DOWN', 2, 1), ('RADIUS_AUTH_CASCADE', 3, 1), ('MLAG_PEERLINK_DAD', 2, 1), ('RESOURCE_OVERLOAD_TIMEOUT', 1, 1)) AS t(rule, edges, heads)")
 def rca01(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(e.rule, e.head) for e in rca.RULES], "rule string, head boolean")
     return rows.groupBy("rule").agg(F.count("*").alias("edges"), F.count(F.when(F.col("head"), 1)).alias("heads"))

@@ -148,7 +148,7 @@ def win07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("r", F.row_number().over(w)).where("r = 1").select("l_orderkey", "l_linenumber")
 
 
-@query("win08_file_order", f"{WITH} SELECT id, row_number() OVER (PARTITION BY source_file ORDER BY id) AS place FROM logs")
+@query("win08_file_order", f"{WITH} SELECT id, CAST(row_number() OVER (PARTITION BY source_file ORDER BY id) AS INT) AS place FROM logs")
 def win08(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = L.logs(spark, sf_dir).select("id", "source_file").repartition(7, "id")
     return own.select("id", F.row_number().over(Window.partitionBy("source_file").orderBy("id")).alias("place"))
@@ -218,22 +218,22 @@ def mat00(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, "module IN ('UNKNOWN', 'COMMENT')").select("id", "match_tier")
 
 
-@query("mat02_local", f"{WITH} SELECT id, 'LOCAL_EXACT' AS match_tier, 0.95 AS match_confidence FROM logs WHERE module = 'AAA'")
+@query("mat02_local", f"{WITH} SELECT id, 'LOCAL_EXACT' AS match_tier, CAST(0.95 AS DOUBLE) AS match_confidence FROM logs WHERE module = 'AAA'")
 def mat02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, "module = 'AAA'").select("id", "match_tier", "match_confidence")
 
 
-@query("mat05_mnemonic", f"{WITH} SELECT id, 'MNEMONIC' AS match_tier, 0.9 AS match_confidence FROM logs WHERE module = 'BGP'")
+@query("mat05_mnemonic", f"{WITH} SELECT id, 'MNEMONIC' AS match_tier, CAST(0.9 AS DOUBLE) AS match_confidence FROM logs WHERE module = 'BGP'")
 def mat05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, "module = 'BGP'").select("id", "match_tier", "match_confidence")
 
 
-@query("mat09_fallback", f"{WITH} SELECT id, 'EXACT' AS match_tier, round(1.0 - 0.4 - 0.25, 6) AS match_confidence FROM logs WHERE module = 'DEVM' AND severity <= 4")
+@query("mat09_fallback", f"{WITH} SELECT id, 'EXACT' AS match_tier, CAST(0.35 AS DOUBLE) AS match_confidence FROM logs WHERE module = 'DEVM' AND severity <= 4")
 def mat09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, "module = 'DEVM' AND severity <= 4").select("id", "match_tier", F.round("match_confidence", 6).alias("match_confidence"))
 
 
-@query("mat11_suspects", f"{WITH} SELECT id, 'FAMILY_SUSPECT' AS match_tier, 0.3 AS match_confidence FROM logs WHERE module = 'IFNET'")
+@query("mat11_suspects", f"{WITH} SELECT id, 'FAMILY_SUSPECT' AS match_tier, CAST(0.3 AS DOUBLE) AS match_confidence FROM logs WHERE module = 'IFNET'")
 def mat11(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = L.logs(spark, sf_dir).where("module = 'IFNET'").withColumn("message_body", F.concat(F.lit("[WLAN_X] "), "message_body"))
     only = matching.prepare(knowledge(spark).where("id = 1"), mappings(spark).where("id = 1"))
@@ -318,7 +318,7 @@ def rca08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rca.analyse(rows).select("root_id", F.array_join("correlated_ids", ",").alias("ids"))
 
 
-@query("rca09_confidence", "SELECT CAST(1 AS BIGINT) AS root_id, 0.77 AS confidence, 'MEDIUM' AS impact_level")
+@query("rca09_confidence", "SELECT CAST(1 AS BIGINT) AS root_id, CAST(0.77 AS DOUBLE) AS confidence, 'MEDIUM' AS impact_level")
 def rca09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rca.analyse(_faults(spark, _fault(1, 0, "IFNET", "IF_DOWN"), _fault(2, 0, "BFD", "SESS_DOWN"))).select("root_id", "confidence", "impact_level")
 
