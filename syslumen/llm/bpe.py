@@ -27,8 +27,8 @@ from syslumen.llm import _common as C
 
 C.by_value(__name__)
 
-#: Distinct pre-tokens of a generation; a worker remembers two.
-MEMO = 250_000
+#: Distinct pre-tokens that a worker remembers; beyond it the memo starts anew.
+MEMO = 400_000
 
 
 def parse_ranks(data: bytes) -> list[bytes]:
@@ -72,36 +72,19 @@ class Codec:
         self.chars = byte_characters()
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self.memo: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def _known(self, text: str) -> list[str]:
-        """The pre-tokens of a text, all of them in the memo."""
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         pieces = self.cut(text)
         new = set(pieces).difference(self.memo)
         if new:
             if len(self.memo) + len(new) > MEMO:
-                # the generation before the last is forgotten; what is still in use comes back from the last
-                self.old, self.memo, self.plain = (self.memo, self.plain), {}, {}
+                self.memo.clear()
                 new = set(pieces)
-            memo, plain = self.old
-            for p in new & memo.keys():
-                self.memo[p], self.plain[p] = memo[p], plain[p]
-            new = list(new.difference(memo))
+            new = list(new)
             coded = self.processor.encode([p.encode("utf-8").decode("latin-1").translate(self.table) for p in new], num_threads=1)
-            for p, ids in zip(new, coded, strict=True):
-                self.memo[p] = struct.pack(f"<{len(ids)}I", *ids)
-                self.plain[p] = b"".join([self.tokens[k] for k in ids])
-        return pieces
-
-    def packed(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return self.both(text)[0]
-
-    def both(self, text: str) -> tuple[bytes, bytes]:
-        """The packed ids, and the bytes that they decode to: those of each pre-token's ids, one after the other."""
-        pieces = self._known(text)
-        return b"".join(map(self.memo.__getitem__, pieces)), b"".join(map(self.plain.__getitem__, pieces))
+            self.memo.update((p, struct.pack(f"<{len(ids)}I", *ids)) for p, ids in zip(new, coded, strict=True))
+        return b"".join(map(self.memo.__getitem__, pieces))
 
     @property
     def table(self) -> dict[int, str]:
@@ -120,7 +103,8 @@ def _mapper(ranks: bytes, pattern: str, text: str, keep: list[str], ids: bool):
         for batch in C.small_batches(batches, text):
             counts, lists, hashes, decoded, back = [], [], [], [], []
             for value in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                packed, plain = codec.both(value or "")
+                packed = codec.packed(value or "")
+                plain = codec.decode(packed)
                 counts.append(len(packed) // 4)
                 if ids:
                     lists.append(np.frombuffer(packed, dtype="<u4").astype(np.int32))
