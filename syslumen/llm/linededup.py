@@ -140,12 +140,13 @@ SELECT d AS doc_id, CAST(len(ls) AS INT) AS n_lines, CAST(len(gone) AS INT) AS n
 
 def dedup(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``df`` with later copies of repeated runs taken out of ``text``; adds ``n_lines`` and ``n_deleted``."""
-    gone = deletions(df, min_words, text, key)
+    # names that no column of df has
+    gone = deletions(df, min_words, text, key).withColumnsRenamed({"d": "__d", "t": "__h", "gone": "__gone"})
     own = F.col(f"`{text}`")
     lines = F.split(own, "\n")
-    left = df.withColumn("__t", F.xxhash64(f"`{text}`")).join(gone, F.col(f"`{key}`").eqNullSafe(F.col("d")) & (F.col("__t") == F.col("t")), "left")
-    rest = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i)), "\n")
+    left = df.withColumn("__t", F.xxhash64(f"`{text}`")).join(gone, F.col(f"`{key}`").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")), "left")
+    rest = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i)), "\n")
     return left.select(
-        *(F.when(F.col("gone").isNull(), own).otherwise(rest).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns),
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_deleted"),
+        *(F.when(F.col("__gone").isNull(), own).otherwise(rest).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns),
+        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_deleted"),
     )

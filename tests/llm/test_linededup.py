@@ -56,6 +56,13 @@ def test_suffix_levels_rank_in_order(spark):
             assert (a["rank"] < b["rank"]) == (stretch(a) < stretch(b))
 
 
+def test_columns_with_inner_names(spark):
+    rows = [(1, "one two three four five six seven eight", "x", "y", "z", 1), (2, "one two three four five six seven eight\nmore", "x", "y", "z", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, d string, t string, gone string, pos int")
+    made = linededup.dedup(df).orderBy("doc_id")
+    assert made.columns == [*df.columns, "n_lines", "n_deleted"] and [(r["text"], r["d"]) for r in made.collect()] == [(rows[0][1], "x"), ("more", "x")]
+
+
 def test_awkward_rows(spark):
     df = awkward(spark)
     made = linededup.dedup(df)
