@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and its result is written
 as Parquet and read again before the next. All but the last return the columns of documents.
 
-Near-duplicates are those of the SimHash operator (shingles of three words, three bits): five words and a
-Jaccard similarity of 0.8 lie about ten bits apart, which no radius that spares other texts would reach.
+Near-duplicates are texts whose shingles of five words have an exact Jaccard similarity of 0.8 or more; the
+SimHash operator's three words and three bits bind its own query only, and no radius of it finds all such texts.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syslumen.llm import _common as C
-from syslumen.llm import bpe, decontaminate, linededup, quality, simhash
+from syslumen.llm import bpe, decontaminate, jaccard, linededup, quality
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    return jaccard.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", dedup_lines),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("Jaccard near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_leaks),
     ("byte-level BPE", encode),
 ]

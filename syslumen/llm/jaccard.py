@@ -1,0 +1,188 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles, with no pair left out.
+
+Words and shingles are those of the SimHash operator (``width`` words, XXH64 with seed 42; a text with fewer
+words is one shingle), but each text is the set of its hashes. Two texts are linked if their sets have a
+similarity of 4/5 at least; groups are what links reach.
+
+Candidates come from a prefix filter, which loses none: put all sets in one common order; of a set of n hashes,
+one that is as similar shares at least t = ceil(4n/5), so the first n - t + 1 of both have a hash in common.
+Any common order is right; this one puts hashes that a sample of the texts finds common last, so that these
+make few pairs. Texts that share a hash form a bucket. First each is compared with one set, that which is most often the
+smallest of its buckets that may be similar by size; this joins large groups without looking at all their pairs.
+Then all pairs of a bucket that are still in different groups and may be similar by size are compared. Every pair is verified on whole sets.
+
+SimHash within a radius isn't taken here: at a similarity of 0.8 two fingerprints are about ten bits apart, with
+a spread of three, so a radius of 12 loses some, while its search compares a share of all pairs.
+
+Defined cases: a null text counts as empty, and texts without words are one group; rows with a null doc_id stay
+and are nobody's representative; repeated rows stay together; an empty table gives none.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from syslumen.llm import _common as C
+from syslumen.llm.components import components
+
+C.by_value(__name__)
+
+#: Rows of prefixes in a shard, on average.
+SHARD = 400_000
+#: Of the sets, one in so many shows which hashes are common: those in at least COMMON of them, the MOST commonest. Only the order depends on it.
+SAMPLE, COMMON, MOST = 16, 4, 100_000
+
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+
+
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    from xxhash import xxh64_intdigest
+
+    words = text.translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(line, 42)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts, ends = (ends - sizes)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+
+
+def texts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id``, ``tid`` (a digest of the text) and ``text``."""
+    kept = df.select(F.col(f"`{key}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    return kept.select("doc_id", F.xxhash64("text").alias("tid"), "text")
+
+
+def sets(own: DataFrame, width: int = 5, last: np.ndarray | None = None) -> DataFrame:
+    """``doc_id``, ``tid``, ``sid`` (a digest of the set), ``n`` (its size) and ``hashes``: the whole set or, given the hashes
+    that come after all others, the part by which it is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in C.small_batches(batches, most=2 << 20):
+            raw, offsets = C.utf8(batch.column(2))
+            made = [shingles(raw[a:b].tobytes(), width) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            sid = np.array([xxh64_intdigest(x.tobytes(), 42) for x in made], np.uint64).view(np.int64)
+            n = np.array([len(x) for x in made], np.int64)
+            size, hashes = n, np.concatenate(made).view(np.int64)
+            if last is not None:
+                size = n - (4 * n + 4) // 5 + (n > 0)
+                row, place = np.repeat(np.arange(len(n)), n), np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n)
+                hashes = hashes[np.lexsort((hashes, np.isin(hashes, last), row))][place < size[row]]
+            ends = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+            columns = [batch.column(0), batch.column(1), pa.array(sid), pa.array(n), pa.ListArray.from_arrays(ends, pa.array(hashes))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tid", "sid", "n", "hashes"])
+
+    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, tid bigint, sid bigint, n bigint, hashes array<bigint>")
+
+
+def common(own: DataFrame, width: int = 5) -> np.ndarray:
+    """The hashes that come last."""
+    seen = sets(own.where(F.pmod("tid", F.lit(SAMPLE)) == 0), width).select(F.explode("hashes").alias("token"))
+    counts = seen.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST)
+    return np.sort(np.array([r["token"] for r in counts.collect()], np.int64))
+
+
+def _runs(token: np.ndarray) -> np.ndarray:
+    """The number of its run for each of the sorted tokens."""
+    new = np.zeros(len(token), np.int64)
+    new[1:] = token[1:] != token[:-1]
+    return np.cumsum(new)
+
+
+def buckets(table: pa.Table) -> pa.Table:
+    """The rows whose token other sets have too, with ``center``, the smallest set there that may be similar by size."""
+    token, sid, n = (table.column(c).to_numpy() for c in ("token", "sid", "n"))
+    order = np.lexsort((sid, n, token))
+    token, sid, n = token[order], sid[order], n[order]
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+    token, sid, n = token[fresh], sid[fresh], n[fresh]
+    run = _runs(token)
+    shared = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
+    token, sid, n, run = token[shared], sid[shared], n[shared], run[shared]
+    center, left = np.arange(len(sid)), np.arange(len(sid))
+    while len(left):
+        first = np.ones(len(left), bool)
+        first[1:] = run[left[1:]] != run[left[:-1]]
+        heads = left[first][np.cumsum(first) - 1]
+        near = 5 * n[heads] >= 4 * n[left]
+        center[left[near]] = heads[near]
+        left = left[~near]
+    return pa.table({"token": token, "sid": sid, "n": n, "center": sid[center]})
+
+
+def other_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of a bucket in different groups that may be similar by size; those with a set's ``center`` were compared."""
+    token, sid, n, center, label = (table.column(c).to_numpy() for c in ("token", "sid", "n", "center", "label"))
+    order = np.lexsort((n, token))
+    token, sid, n, center, label = token[order], sid[order], n[order], center[order], label[order]
+    found, held, i, k = [], 0, np.arange(len(token)), 0
+    while True:
+        k += 1
+        i = i[i + k < len(token)]
+        j = i + k
+        near = (token[i] == token[j]) & (5 * n[i] >= 4 * n[j])
+        i, j = i[near], j[near]
+        if not len(i):
+            break
+        new = (label[i] != label[j]) & (center[i] != sid[j]) & (center[j] != sid[i])
+        found.append(np.stack([np.minimum(sid[i], sid[j])[new], np.maximum(sid[i], sid[j])[new]], 1))
+        held += int(new.sum())
+        if held > 1 << 20:
+            found = [np.unique(np.concatenate(found), axis=0)]
+            held = 0
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, own: DataFrame, width: int, shared: C.Shared, name: str) -> DataFrame:
+    """The pairs ``(a, b)`` of which the whole sets, made again from one text of each, are similar."""
+    pairs = shared.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-pairs")
+    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    ids = shared.write(own.join(ids, "sid", "left_semi").groupBy("sid").agg(F.min("tid").alias("tid")).select("tid"), f"{name}-ids")
+    asked = shared.write(sets(docs.join(ids, "tid", "left_semi").select("doc_id", "tid", "text").dropDuplicates(["tid"]), width), f"{name}-sets")
+    side = lambda c: asked.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return shared.write(both.where(9 * F.size(F.array_intersect("h_a", "h_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), f"{name}-links")
+
+
+def near_duplicates(df: DataFrame, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id``, ``sid`` and ``component_id``, the smallest doc_id that links reach."""
+    spark = df.sparkSession
+    shared, docs = C.Shared(spark), texts(df, text, key)
+    own = shared.write(sets(docs, width, common(docs, width)), "prefixes")
+    rows = own.agg(F.sum(F.size("hashes"))).head()[0] or 0
+    shards = max(1, -(-rows // SHARD), int(spark.conf.get("spark.sql.shuffle.partitions")) if rows > 100_000 else 1)
+    shard = F.pmod(F.xxhash64("token"), F.lit(shards)).alias("shard")
+    found = own.select("sid", "n", F.explode("hashes").alias("token")).groupBy(shard).applyInArrow(buckets, "token bigint, sid bigint, n bigint, center bigint")
+    found = shared.write(found, "buckets")
+    votes = found.where("sid <> center").groupBy("sid", "center").count()
+    first = shared.write(votes.groupBy("sid").agg(F.max_by("center", F.struct("count", "center")).alias("center")), "first")
+    roots = components(_verified(first.select(F.col("sid").alias("a"), F.col("center").alias("b")), docs, own, width, shared, "first"), shared, "groups")
+    named = found.select("token", "sid", "n").join(first, "sid", "left").join(roots.select(F.col("a").alias("sid"), F.col("b").alias("label")), "sid", "left")
+    named = named.select("token", "sid", "n", F.coalesce("center", "sid").alias("center"), F.coalesce("label", "sid").alias("label"))
+    more = named.groupBy(shard).applyInArrow(other_pairs, "a bigint, b bigint")
+    roots = components(roots.union(_verified(more, docs, own, width, shared, "others")), shared, "all")
+    least = own.groupBy("sid").agg(F.min("doc_id").alias("least"))
+    grouped = least.join(roots.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    lowest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    where = grouped.join(lowest, "root").select("sid", "component_id")
+    return own.select("doc_id", "sid").join(where, "sid").select("doc_id", "sid", "component_id")
+
+
+def keep_one(df: DataFrame, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` without those whose group has a smaller doc_id; all columns stay. Rows with a null key stay."""
+    gone = near_duplicates(df, width, text, key).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    gone = C.Shared(df.sparkSession).write(gone, "gone")
+    return df.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))

@@ -1,0 +1,75 @@
+import random
+import re
+
+import pytest
+from helpers import awkward, empty
+
+import corpus_pipeline as cp
+from syslumen.llm import jaccard, simhash
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def brute(texts):
+    """Least index that links reach, by comparing all pairs."""
+    own, label = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(own)):
+        for j in range(i):
+            if similar(own[i], own[j]) or own[i] == own[j]:
+                a, b = sorted((top(i), top(j)))
+                label[b] = a
+    return [top(i) for i in range(len(own))]
+
+
+@pytest.mark.parametrize("common", [1, 1000])
+def test_all_pairs_are_found(spark, monkeypatch, common):
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    passage = " ".join(rng.choice(words) for _ in range(15))
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(250))) for _ in range(60)]
+    texts += [f"{t} {passage}" for t in texts[:30]]
+    for _ in range(160):
+        own = rng.choice(texts).split()
+        for _ in range(rng.randrange(6)):
+            if own:
+                own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join(own[: len(own) - rng.randrange(4)]).upper())
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_stage_drops_a_pair_that_simhash_keeps(spark):
+    rng = random.Random(5)
+    a = [f"w{rng.randrange(10_000)}" for _ in range(248)]
+    b = list(a)
+    for k in (40, 90, 140, 190):
+        b[k] = "other"
+    texts = [" ".join(a), " ".join(b)]
+    assert similar(*map(shingles, texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert simhash.keep_one(docs).count() == 2
+    assert [r["doc_id"] for r in cp.drop_near_duplicates(spark, docs, "").collect()] == [0]
+
+
+def test_awkward_rows(spark):
+    kept = jaccard.keep_one(awkward(spark))
+    assert kept.columns == awkward(spark).columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 4, 5, 5, 6, None]
+    assert jaccard.keep_one(empty(spark)).count() == 0
