@@ -255,6 +255,16 @@ def win04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.overlapping_windows(own.select(micros("timestamp").alias("us")), overlap_s=0)
 
 
+@query("win03_whole_overlapping_windows")
+def win03_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.overlapping_windows(L.logs(spark, sf_dir).select(micros("timestamp").alias("us")))
+
+
+@query("win04_whole_tumbling_windows")
+def win04_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.overlapping_windows(L.logs(spark, sf_dir).select(micros("timestamp").alias("us")), overlap_s=0)
+
+
 @query("win09_recent_views", "WITH v AS (SELECT user_id, value AS viewed, CAST(event_id % 90 AS BIGINT) AS knowledge_id FROM events), l AS (SELECT user_id, knowledge_id, max(viewed) AS viewed FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY viewed DESC, knowledge_id) AS r FROM l) SELECT user_id, knowledge_id, viewed FROM r WHERE r <= 50")
 def win09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.recent(read(spark, sf_dir, "events").selectExpr("user_id", "event_id % 90 AS knowledge_id", "value AS viewed"))
