@@ -182,6 +182,13 @@ def fts03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "doc", F.round("score", 6).alias("score"), "hits")
 
 
+@query("fts03_whole_bm25", _BM25.replace(" WHERE item_id < 10", ""))
+def fts03_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "benchmark")
+    found = search.scores(search.index(items, "item_id", "text"), items.select(F.col("item_id").alias("query"), "text"), 3)
+    return found.select("query", "doc", F.round("score", 6).alias("score"), "hits")
+
+
 @query("fts03_filtered_search", f"{KB} SELECT id FROM k WHERE regexp_matches(lower(concat_ws(' ', brief, message, description, cause, action)), '(^|[^a-z0-9])(interface|peer)([^a-z0-9]|$)') AND entry_type = 'LOG'")
 def fts03_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(knowledge(spark), "Interface peer", entry_type="log").select("id")

@@ -122,6 +122,12 @@ def join14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.scores(search.index(items, "item_id", "text"), items.where("item_id < 3").select(F.col("item_id").alias("query"), "text"), None).select("query", "doc", "hits")
 
 
+@query("join14_whole_search_candidates", "WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ts FROM benchmark) SELECT a.item_id AS query, b.item_id AS doc, len(list_intersect(a.ts, b.ts)) AS hits FROM t a, t b WHERE len(list_intersect(a.ts, b.ts)) > 0")
+def join14_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return search.scores(search.index(items, "item_id", "text"), items.select(F.col("item_id").alias("query"), "text"), None).select("query", "doc", "hits")
+
+
 @query("join15_local_lookup", f"{KB} SELECT l.id FROM logs l JOIN k ON k.source = 'local' AND upper(l.module) = upper(k.module) AND upper(l.brief) = upper(k.brief)")
 def join15(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.broadcast(prepared(spark).where("k_local").select("k_module", "k_brief"))

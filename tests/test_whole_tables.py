@@ -25,3 +25,9 @@ def test_windows_of_all_logs(spark, name, step, end):
         k = end(times, times[k] + step * 1_000_000)
     found = sorted((r["window"], r["start_us"], r["end_us"]) for r in QUERIES[name](spark, SF).collect())
     assert found == [(i, s, s + 300_000_000) for i, s in enumerate(starts)]
+
+
+@pytest.mark.parametrize("name", ["fts03_whole_bm25", "join14_whole_search_candidates"])
+def test_every_item_is_a_query(spark, name):
+    items = {r[0] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id").collect()}
+    assert {r["query"] for r in QUERIES[name](spark, SF).collect()} == items
