@@ -1,14 +1,15 @@
 """Operator 1: format-preserving pseudonyms for personal data, in DataFrame functions only.
 
 Found and replaced, whatever the language: e-mail addresses, hexadecimal secrets of 32 digits or more,
-IPv4 addresses (octets up to 255), dates (yyyy-MM-dd, dd/MM/yyyy, dd.MM.yyyy; that exist, 1800 to 2199),
-telephone numbers with a country code, US social security numbers (areas, groups and serials that are
+IPv4 addresses (octets up to 255), dates (yyyy-MM-dd, dd/MM/yyyy, dd.MM.yyyy, and MM/dd/yyyy where dd/MM doesn't exist;
+that exist, 1800 to 2199), telephone numbers with + and 8 to 15 digits in any grouping (the country code stays), US social security numbers (areas, groups and serials that are
 issued) and payment cards (13 to 19 digits, Luhn). What doesn't pass its check stays as it is.
 
 Numbers and dates are permuted by a keyed Feistel network over exactly the numbers that are valid in
 their format: halves in mixed radix, round values from SHA-256 of key, kind, round and half. So distinct
 values stay distinct, equal values get equal pseudonyms in every document, and pseudonyms pass the same
-checks (a card's check digit is made anew; dates permute within a 400-year cycle of 189 x 773 days).
+checks (a card's check digit is made anew; dates permute within a 400-year cycle of 189 x 773 days, those with the month
+first among its 9 x 9833 days after the 12th of a month).
 Separators and brackets stay in place. E-mail addresses and secrets get keyed digests instead.
 
 Each text is handled in its own row: matches are cut out, replaced one by one and joined with what lay
@@ -33,7 +34,11 @@ EMAIL = r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z
 SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
-PHONE = r"(?<![\d+])\+\d{1,3}[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]\d{4}(?!\d)"
+#: A country code and ten digits, whose place tells the code; and any grouping, whose code is that of the numbering plan.
+PHONE_TEN = r"(?<![\d+])\+\d{1,3}[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]\d{4}(?!\d)"
+PHONE_ANY = r"(?<![\d+])\+[1-9](?:[ ./()-]{0,2}\d){7,14}(?!\d)"
+PHONE = f"{PHONE_TEN}|{PHONE_ANY}"
+_TWO_DIGITS = "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
 ANY = "|".join((EMAIL, SECRET, IPV4, DATE, PHONE, SSN, CARD))
@@ -99,8 +104,9 @@ def _card(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     digits = _digits(m)
-    country = F.length(digits) - 10
-    return _filled(m, F.concat(F.substr(digits, F.lit(1), country), permuted_digits(F.substr(digits, country + 1, F.lit(10)), key, "phone")))
+    plan = F.when(digits.rlike("^[17]"), 1).when(digits.rlike(_TWO_DIGITS), 2).otherwise(3)
+    country = F.when(m.rlike(f"^(?:{PHONE_TEN})$"), F.length(digits) - 10).otherwise(plan)
+    return _filled(m, F.concat(F.substr(digits, F.lit(1), country), permuted_digits(F.substr(digits, country + 1, F.length(digits) - country), key, "phone")))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -128,6 +134,25 @@ def _date(m: Column, form: str, key: str) -> Column:
     return F.when((number >= 0) & (number < 189 * 773), made).otherwise(m)
 
 
+def _month_first(m: Column, key: str) -> Column:
+    """A date that exists with the month first only: a permutation of those, the days after the 12th of a month."""
+    first = F.lit("1800-01-01").cast("date")
+    day = F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).cast("date")
+    month = (F.year(day) - 1800) * 12 + F.month(day) - 1
+    number = (F.datediff(day, first) - 12 * (month + 1)).cast("bigint")
+    before = lambda k: F.datediff(F.add_months(first, k), first) - 12 * k
+    made = feistel(number, 9, 9833, key, "month first")
+
+    def date_of(x: Column) -> Column:
+        # months have 16 to 19 such days, so that the mean gives the month or a neighbour
+        guess = _div(x * 4800, 88_497).cast("int")
+        k = F.when(before(guess + 1) <= x, guess + 1).when(before(guess) <= x, guess).otherwise(guess - 1)
+        return F.date_format(F.date_add(F.add_months(first, k), (x - before(k) + 12).cast("int")), "MM/dd/yyyy")
+
+    text = F.get(F.transform(F.array(made), date_of), F.lit(0))
+    return F.when(F.year(day).between(1800, 2199), text).otherwise(m)
+
+
 def _secret(m: Column, key: str) -> Column:
     # as many digests as the length asks for, in the case of the original
     made = F.substr(F.array_join(F.transform(F.sequence(F.lit(0), _div(F.length(m) - 1, 64).cast("int")), lambda i: _digest(key, "secret", i, F.lower(m))), ""), F.lit(1), F.length(m))
@@ -147,7 +172,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         .when(like(r"[0-9A-Fa-f]{32,}"), _secret(m, key))
         .when(like(r"\d{1,3}(?:\.\d{1,3}){3}"), _ipv4(m, key))
         .when(like(r"\d{4}-\d{2}-\d{2}"), _date(m, "yyyy-MM-dd", key))
-        .when(like(r"\d{2}/\d{2}/\d{4}"), _date(m, "dd/MM/yyyy", key))
+        .when(like(r"\d{2}/\d{2}/\d{4}"), F.when(F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).isNull(), _month_first(m, key)).otherwise(_date(m, "dd/MM/yyyy", key)))
         .when(like(r"\d{2}\.\d{2}\.\d{4}"), _date(m, "dd.MM.yyyy", key))
         .when(m.startswith("+"), _phone(m, key))
         .when(like(r"\d{3}-\d{2}-\d{4}"), _ssn(m, key))

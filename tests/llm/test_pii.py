@@ -147,3 +147,28 @@ def test_equals_plain_python_on_whole_texts(spark):
     for r in pii.pseudonymise(docs).join(docs.withColumnRenamed("text", "own"), "doc_id").collect():
         assert r["text"] == pattern.sub(lambda m: plain(m[0]), r["own"])
         assert r["n_replaced"] == sum(plain(m) != m for m in pattern.findall(r["own"]))
+
+
+def test_phones_in_any_grouping(spark):
+    for own, code in {"+14155550100": "+1", "+44 20 7946 0958": "+44", "+33 6 12 34 56 78": "+33", "+33.6.12.34.56.78": "+33", "+353 1 234 5678": "+353", "+49 (0)30 1234567": "+49"}.items():
+        (text, n), = made(spark, f"call {own}, now")
+        found = text.removeprefix("call ").removesuffix(", now")
+        assert n == 1 and found != own and found.startswith(code) and re.sub(r"\d", "0", found) == re.sub(r"\d", "0", own)
+    a, b = (re.sub(r"\D", "", t) for t, _ in made(spark, "+14155550100", "+1 (415) 555-0100"))
+    assert a == b
+    for own in ("+1234567", "+1234567890123456"):
+        assert made(spark, own) == [(own, 0)]
+
+
+def test_dates_with_the_month_first(spark):
+    from datetime import timedelta
+
+    days = [date(1800, 1, 1) + timedelta(k) for k in range(146_097)]
+    own = {d.strftime("%m/%d/") + f"{d.year:04}" for d in days if d.day > 12 and d.year == 2000 and d.month in (1, 2, 12)}
+    found = made(spark, *sorted(own))
+    assert len({t for t, _ in found}) == len(own) and sum(n for _, n in found) >= len(own) - 2
+    for t, _ in found:
+        month, day, year = map(int, t.split("/"))
+        assert day > 12 and 1800 <= year < 2200 and date(year, month, day)
+    (text, n), = made(spark, "on 12/31/2020 and 13/13/2020")
+    assert n == 1 and text.endswith(" and 13/13/2020")
