@@ -24,9 +24,17 @@ def by_value(name: str) -> None:
 by_value(__name__)
 
 
+#: Rows of one key from which it counts as hot, and the most keys that can be: their rows are joined where they lie.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+#: Rows of an id list that is broadcast, and the most bytes of an id there; longer lists are shuffled.
+LISTED, ID_BYTES = 500_000, 64
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one on a local master where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='syslumen-')}"
         spark.sparkContext.setCheckpointDir(found)
@@ -68,6 +76,46 @@ class Shared:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``keyed``, which has each key once, and in ``weight`` the rows of it (``total`` together).
+
+    Keys of more than ``HOT_ROWS`` rows, and more than a share of 1 / ``HOT_KEYS``, go to where their rows lie, so that these
+    don't meet in one task; by their weight there are fewer than ``HOT_KEYS``. ``keyed`` should be a written table.
+    """
+    floor = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = keyed.where(F.col(weight) > floor).drop(weight), keyed.where(F.col(weight) <= floor).drop(weight)
+    if not hot.limit(1).count():
+        return rows.join(cold, on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
+def listed(shared: Shared, ids: DataFrame, name: str) -> DataFrame:
+    """``ids`` (a first column of ids, others of fixed size) written; marked for broadcast if its size is bounded."""
+    ids = shared.write(ids, name)
+    count, longest = ids.agg(F.count("*"), F.max(F.octet_length(ids[ids.columns[0]].cast("string")))).head()
+    return F.broadcast(ids) if count <= LISTED and (longest or 0) <= ID_BYTES else ids
+
+
+def of_list(df: DataFrame, ids: DataFrame, key: str, text: str, how: str) -> DataFrame:
+    """``left_semi`` or ``left_anti`` join of whole rows with a list of ``doc_id`` and ``h``, the hash of the text; nulls are equal."""
+    id_, h = fresh(df, "doc_id_", "h_")
+    ids = ids.select(F.col("doc_id").alias(id_), F.col("h").alias(h))
+    return df.join(ids, F.col(f"`{key}`").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(h)), how)
+
+
 def remainder(doc_id: str | Column, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``: what the hold-out folds are made from."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")), F.lit(divisor))

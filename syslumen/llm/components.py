@@ -2,7 +2,7 @@
 
 Each round is a pair of aggregations and joins over the edges alone; what a round made is written to the
 shared folder and read back, so that neither lineage nor the driver grows. Rounds go as the logarithm of
-a component's diameter.
+a component's diameter. The edges of a hub are joined where they lie, so that they don't meet in one task.
 """
 
 from __future__ import annotations
@@ -10,18 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from syslumen.llm._common import Shared
+from syslumen.llm._common import Shared, hot_join
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _lowest(edges: DataFrame, shared: Shared, name: str) -> tuple[DataFrame, int]:
+    """``a, m, n``: the least neighbour of each node and the number of its edges; and that of all edges."""
+    low = shared.write(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
+    return low, low.agg(F.sum("n")).head()[0] or 0
+
+
+def _large_star(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    low, total = _lowest(both, shared, f"{name}-large-low")
+    low = low.select("a", F.least("a", "m").alias("m"), "n")
+    return hot_join(both.where("b > a"), low, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
+    low, total = _lowest(edges, shared, f"{name}-small-low")
+    moved = hot_join(edges, low, ["a"], "n", total).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -41,6 +48,8 @@ def components(edges: DataFrame, shared: Shared, name: str = "components") -> Da
     done = 0
     while not _is_forest_of_stars(now):
         done += 1
-        now = shared.write(_small_star(_large_star(now)), f"{name}-{done}")
-        shared.drop(f"{name}-{done - 1}")
+        large = shared.write(_large_star(now, shared, f"{name}-{done}"), f"{name}-{done}-large")
+        now = shared.write(_small_star(large, shared, f"{name}-{done}"), f"{name}-{done}")
+        for old in (f"{name}-{done - 1}", f"{name}-{done}-large", f"{name}-{done}-large-low", f"{name}-{done}-small-low"):
+            shared.drop(old)
     return now

@@ -7,21 +7,32 @@ fingerprint zero.
 
 Links: two distinct fingerprints that differ in at most ``radius`` bits agree on all but ``radius`` of
 the blocks that the 64 bits are cut into. So each fingerprint is dealt to one tree for every choice of
-agreeing blocks, and each tree holds just the fingerprints that share those blocks. The trees of a shard
+agreeing blocks, and each tree holds just the fingerprints that share those blocks. Members of trees
+larger than ``TREE`` are dealt anew by more and smaller blocks (``FINER``); what is still larger is cut
+into pieces of ``TREE`` members, and every piece is searched for all. The trees of a shard
 are built together (children keyed by Hamming distance to the parent) and searched together, following
-only edges within ``radius`` of the distance to a node. A tree larger than ``TREE`` is broadcast within
-the shuffle: every split of its searches gets the whole tree and a share of the searches. No tree goes
+only edges within ``radius`` of the distance to a node. No tree goes
 through the driver, as the total has no bound. Each shard returns a spanning forest of its links, not
 the pairs; alternating stars then join them.
 
+Texts by similarity (``similar``): a text is the set of its hashes, and two are linked if their sets have an
+exact Jaccard similarity of 4/5 at least, or another asked for. As two such fingerprints may differ in any bits, trees
+hold the texts that share a band of min-hashes (``BANDS`` of ``BAND`` each: at a similarity of 0.8 one in 30,000 pairs
+shares none), and are searched within ``WIDE`` bits (such pairs are 10 bits apart on average, with a spread of 3).
+First each text is compared with one member that most of its trees have; this joins large groups without looking
+at all their pairs. Then trees that still hold several groups are searched for pairs of different groups. Every
+link is verified on the whole sets of both texts, so that none is wrong.
+
 Defined cases: a null text counts as empty and is linked with the other texts without words; a null
 doc_id gets a fingerprint and its group's component but is nobody's component_id; repeated rows are kept,
-each with its result; an empty table gives none; other columns are not looked at.
+each with its result; an empty table gives none; other columns are not looked at. Of a group, ``keep_one`` keeps
+one row: that with the smallest doc_id (null comes last) and hash of its text; of rows alike in both, any one.
+Rows that share a doc_id but not the text are told apart. Sets and texts are named by 64-bit digests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,57 +45,127 @@ from syslumen.llm.components import components
 
 C.by_value(__name__)
 
-#: Searches of one tree in one task; more are split, each split with the whole tree.
+#: Members of a tree, and searches of one, that a task takes together.
 TREE = 4096
+#: Numbers of blocks that members of larger trees are dealt by, one after the other.
+FINER = (8, 12)
 #: Rows that a shard of trees holds, on average.
 SHARD = 200_000
 #: Members of a tree, on average, up to which fewer and longer trees are taken.
 MEMBERS = 512
 #: Pairs of search and node that are looked at together.
 FRONT = 1 << 19
+#: Bands of min-hashes by which similar texts meet, min-hashes of a band, and the radius of the search among them.
+BANDS, BAND, WIDE = 20, 4, 20
+#: Pairs of one text that a task verifies together, on average.
+SALT = 1000
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
+def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, in blocks."""
     from xxhash import xxh64_intdigest
 
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     if len(words) <= width:
-        return xxh64_intdigest(line, 42)
+        yield np.array([xxh64_intdigest(line, 42)], np.uint64)
+        return
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts, ends = (ends - sizes)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    counts, step = np.zeros(64, np.int64), 1 << 15
+    step = 1 << 15
     for at in range(0, len(starts), step):
-        hashes = np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[at : at + step], ends[at : at + step], strict=True)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
-    return sum(1 << k for k in np.flatnonzero(2 * counts > len(starts)).tolist())
+        yield np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[at : at + step], ends[at : at + step], strict=True)], np.uint64)
+
+
+def _majority(blocks: Iterable[np.ndarray]) -> int:
+    counts, total = np.zeros(64, np.int64), 0
+    for hashes in blocks:
+        counts += np.unpackbits(hashes.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+        total += len(hashes)
+    return sum(1 << k for k in np.flatnonzero(2 * counts > total).tolist())
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    return _majority(shingle_hashes(text, width))
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+
+
+def _texts(df: DataFrame, text: str, key: str) -> DataFrame:
+    """``doc_id``, ``h`` (a hash of the text, as in ``of_list``) and ``text``."""
+    own = F.col(f"`{text}`")
+    return df.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64(own).alias("h"), F.coalesce(own.cast("string"), F.lit("")).alias("text"))
 
 
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit integer."""
+    """``doc_id``, ``h`` and ``fp``, the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.small_batches(batches):
-            raw, offsets = C.utf8(batch.column(1))
+            raw, offsets = C.utf8(batch.column(2))
             made = np.array([fingerprint(raw[a:b].tobytes(), width) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], names=["doc_id", "h", "fp"])
+
+    kept = _texts(df, text, key)
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, h bigint, fp bigint")
+
+
+def bands(own: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """A number for each band of min-hashes of a set; none for an empty one."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    least = np.full(len(by), np.iinfo(np.uint64).max, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(own), 4096):
+            mixed = (own[at : at + 4096, None] ^ (own[at : at + 4096, None] >> np.uint64(31))) * by[None, :]
+            np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(0), out=least)
+        odd = np.arange(1, 2 * BAND, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out = (least.reshape(BANDS, BAND) * odd).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return out.view(np.int64)
+
+
+def sketches(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5) -> DataFrame:
+    """``doc_id``, ``h``, and of the text's set: ``sid`` (a digest), ``n`` (its size), ``fp`` and the numbers of its ``bands``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
 
-    kept = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp bigint")
+        by = np.random.default_rng(10).integers(1, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in C.small_batches(batches, most=2 << 20):
+            raw, offsets = C.utf8(batch.column(2))
+            sid, n, fp, keys = [], [], [], []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                own = shingle_set(raw[a:b].tobytes(), width)
+                sid.append(xxh64_intdigest(own.tobytes(), 42))
+                n.append(len(own))
+                fp.append(_majority([own]))
+                keys.append(bands(own, by))
+            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(sid), pa.array(n, pa.int64()), signed(fp), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "sid", "n", "fp", "bands"])
+
+    kept = _texts(df, text, key)
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, h bigint, sid bigint, n bigint, fp bigint, bands array<bigint>")
+
+
+def block_masks(blocks: int, radius: int) -> list[int]:
+    """Of the masks, each over all but ``radius`` of so many blocks of bits, any two fingerprints within the radius agree on one."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    return [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in combinations(range(blocks), blocks - radius)]
 
 
 def masks(radius: int, count: int) -> list[int]:
-    """The bit masks of which any two fingerprints within ``radius`` bits agree on one at least, for ``count`` fingerprints."""
+    """The bit masks that ``count`` fingerprints are dealt by at first."""
     for blocks in range(radius + 1, radius + 4):
-        edges = [64 * k // blocks for k in range(blocks + 1)]
-        shared = blocks - radius
-        if count <= MEMBERS << (64 * shared // blocks) or blocks == radius + 3:
-            return [sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen) for chosen in combinations(range(blocks), shared)]
+        if count <= MEMBERS << (64 * (blocks - radius) // blocks) or blocks == radius + 3:
+            return block_masks(blocks, radius)
     raise AssertionError
 
 
@@ -121,13 +202,17 @@ class Forest:
         self.keys, self.children = self.keys[by], self.children[by]
 
     def links(self, searches: np.ndarray, groups: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (search, node) of the same group within the radius, as indices into the values, in blocks."""
-        at = self.roots[np.searchsorted(self.ids, groups)]
-        waiting = [(searches[k : k + FRONT], at[k : k + FRONT]) for k in range(0, len(searches), FRONT)]
+        """Pairs of a search and a node of the same group within the radius, as indices, in blocks; ``visits`` counts the nodes looked at."""
+        at = np.minimum(np.searchsorted(self.ids, groups), max(len(self.ids) - 1, 0))
+        known = np.flatnonzero(self.ids[at] == groups) if len(self.ids) else np.zeros(0, np.int64)
+        root = self.roots[at[known]] if len(known) else known
+        waiting = [(known[k : k + FRONT], root[k : k + FRONT]) for k in range(0, len(known), FRONT)]
+        self.visits = 0
         while waiting:
             q, n = waiting.pop()
-            d = np.bitwise_count(self.values[q] ^ self.values[n]).astype(np.int64)
-            found = (d <= radius) & (q != n)
+            self.visits += len(q)
+            d = np.bitwise_count(searches[q] ^ self.values[n]).astype(np.int64)
+            found = d <= radius
             if found.any():
                 yield q[found], n[found]
             low = np.searchsorted(self.keys, n * 128 + np.maximum(d - radius, 0))
@@ -163,59 +248,201 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shard_links(table: pa.Table, radius: int) -> pa.Table:
-    """A spanning forest of the links in one shard with columns ``tree``, ``fp`` and ``search``."""
-    tree = table.column("tree").to_numpy()
-    stored = table.column("fp").to_numpy()
-    search = table.column("search").to_numpy(zero_copy_only=False)
-    forest = Forest(stored.view(np.uint64), tree)
-    values, which = np.unique(stored, return_inverse=True)
+    """A spanning forest of the links in one shard with columns ``unit``, ``fp``, ``stored`` and ``search``."""
+    unit, fp = table.column("unit").to_numpy(), table.column("fp").to_numpy()
+    stored, search = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("stored", "search"))
+    forest = Forest(fp[stored].view(np.uint64), unit[stored])
+    values, which = np.unique(fp, return_inverse=True)
     label = np.arange(len(values))
-    own = np.flatnonzero(search)
-    for q, n in forest.links(own, tree[own], radius):
-        label = merge(label, which[q], which[n])
+    for q, n in forest.links(fp[search].view(np.uint64), unit[search], radius):
+        label = merge(label, which[search[q]], which[stored[n]])
     tied = np.flatnonzero(label != np.arange(len(values)))
     return pa.table({"a": values[tied], "b": values[label[tied]]})
 
 
-def _tree_rows(fps: DataFrame, radius: int, count: int) -> DataFrame:
-    """Every fingerprint once for each of its trees, and once for each split of a large one."""
-    cut = [m - (1 << 64) if m >= 1 << 63 else m for m in masks(radius, count)]
-    tree = lambda k, m: F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")))
-    rows = fps.select("fp", F.explode(F.array(*(tree(k, m) for k, m in enumerate(cut)))).alias("tree"))
-    sizes = rows.groupBy("tree").agg(F.count("*").alias("n")).where("n > 1").select("tree", F.ceil(F.col("n") / F.lit(TREE)).cast("int").alias("splits"))
-    rows = rows.join(sizes, "tree")
-    return rows.select("tree", "fp", "splits", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split")).select(
-        F.xxhash64("tree", "split").alias("tree"), "fp", (F.pmod(F.xxhash64("fp"), F.col("splits")) == F.col("split")).alias("search")
-    )
+def shard_pairs(table: pa.Table, radius: int) -> pa.Table:
+    """Pairs of texts in different groups within the radius; columns as above, and ``sid`` and ``label``, the group."""
+    unit, fp, sid, label = (table.column(c).to_numpy() for c in ("unit", "fp", "sid", "label"))
+    stored, search = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("stored", "search"))
+    forest = Forest(fp[stored].view(np.uint64), unit[stored])
+    found, held = [np.zeros((0, 2), np.int64)], 0
+    for q, n in forest.links(fp[search].view(np.uint64), unit[search], radius):
+        x, y = search[q], stored[n]
+        new = label[x] != label[y]
+        found.append(np.stack([np.maximum(sid[x], sid[y])[new], np.minimum(sid[x], sid[y])[new]], 1))
+        held += int(new.sum())
+        if held > 1 << 20:
+            found, held = [np.unique(np.concatenate(found), axis=0)], 0
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _units(rows: DataFrame, extra: list[str]) -> DataFrame:
+    """What a task takes together: a piece of a tree, and a part of its searches; rows ``tree, members, searches, search`` and others."""
+    piece, part = (F.ceil(F.col(c) / F.lit(TREE)).cast("int") for c in ("members", "searches"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("fp", *extra), n)
+    small = (F.col("members") <= TREE) & (F.col("searches") <= TREE)
+    rest = ["tree", "fp", *extra]
+    whole = rows.where(small).select(F.xxhash64("tree").alias("unit"), "fp", *extra, F.lit(True).alias("stored"), "search")
+    kept = rows.where(~small).select(*rest, own(piece).alias("p"), all_of(part).alias("q")).withColumns({"stored": F.lit(True), "search": F.lit(False)})
+    asked = rows.where(~small & F.col("search")).select(*rest, own(part).alias("q"), all_of(piece).alias("p")).withColumns({"stored": F.lit(False), "search": F.lit(True)})
+    return whole.union(kept.unionByName(asked).select(F.xxhash64("tree", "p", "q").alias("unit"), "fp", *extra, "stored", "search"))
+
+
+def _in_shards(units: DataFrame, shards: int):
+    return units.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "unit"), F.lit(shards))).groupBy("shard")
+
+
+def _shards(spark, rows: int) -> int:
+    return max(1, -(-rows // SHARD), int(spark.conf.get("spark.sql.shuffle.partitions")) if rows > 50_000 else 1)
 
 
 def fingerprint_links(fps: DataFrame, radius: int, count: int) -> DataFrame:
     """Links ``(a, b)`` that connect all of the distinct fingerprints ``fp`` within ``radius`` bits of one another."""
-    shards = max(1, -(-count * len(masks(radius, count)) // SHARD), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")) if count > 10_000 else 1)
-    rows = _tree_rows(fps, radius, count).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "tree"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(lambda t: shard_links(t, radius), "a bigint, b bigint")
+    spark, shared = fps.sparkSession, C.Shared(fps.sparkSession)
+    left, out = fps.select("fp"), spark.createDataFrame([], "a bigint, b bigint")
+    levels = [masks(radius, count), *(block_masks(n, radius) for n in FINER if n > radius + 3)]
+    for k, cut in enumerate(levels):
+        signed = [m - (1 << 64) if m >= 1 << 63 else m for m in cut]
+        tree = lambda j, m: F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")))
+        rows = left.select("fp", F.explode(F.array(*(tree(j, m) for j, m in enumerate(signed)))).alias("tree"))
+        sizes = shared.write(rows.groupBy("tree").agg(F.count("*").alias("members")).where("members > 1"), f"sizes-{k}")
+        total, largest = sizes.agg(F.coalesce(F.sum("members"), F.lit(0)), F.max("members")).head()
+        last = k + 1 == len(levels)
+        now = sizes if last else sizes.where(F.col("members") <= TREE)
+        now = now.withColumn("weight", F.col("members"))
+        found = hot_rows(rows, now, total).withColumn("searches", F.col("members")).withColumn("search", F.lit(True))
+        out = out.union(shared.write(_in_shards(_units(found, []), _shards(spark, total)).applyInArrow(lambda t: shard_links(t, radius), "a bigint, b bigint"), f"links-{k}"))
+        if last or (largest or 0) <= TREE:
+            break
+        large = sizes.where(F.col("members") > TREE).withColumn("weight", F.col("members"))
+        left = shared.write(hot_rows(rows, large, total).select("fp").distinct(), f"left-{k}")
+    return out
+
+
+def hot_rows(rows: DataFrame, trees: DataFrame, total: int) -> DataFrame:
+    return C.hot_join(rows, trees, ["tree"], "weight", total)
+
+
+def _representatives(own: DataFrame, roots: DataFrame, shared: C.Shared) -> DataFrame:
+    """For each ``node``: ``copies`` (rows of ``own`` with it), ``component_id`` (the least doc_id of its group) and ``first``, its first row's place."""
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
+    nodes = own.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(place).alias("own_first"))
+    nodes = nodes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = shared.write(nodes, "nodes")
+    groups = shared.write(nodes.groupBy("root").agg(F.count("*").alias("size"), F.min("least").alias("component_id"), F.min("own_first").alias("first")), "roots")
+    return shared.write(C.hot_join(nodes, groups, ["root"], "size", nodes.count()).select("node", "copies", "component_id", "first"), "placed")
+
+
+def _by_fingerprint(df: DataFrame, radius: int, width: int, text: str, key: str, shared: C.Shared) -> tuple[DataFrame, DataFrame]:
+    own = shared.write(fingerprints(df, text, key, width).withColumnRenamed("fp", "node"), "fingerprints")
+    least = shared.write(own.select(F.col("node").alias("fp")).distinct(), "distinct")
+    return own, components(fingerprint_links(least, radius, least.count()), shared)
 
 
 def near_duplicates(df: DataFrame, radius: int = 3, width: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id``, ``fp`` (signed) and ``component_id``, the smallest doc_id that links reach."""
     shared = C.Shared(df.sparkSession)
-    docs = shared.write(fingerprints(df, text, key, width), "fingerprints")
-    least = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    least = shared.write(least, "distinct")
-    roots = components(fingerprint_links(least.select("fp"), radius, least.count()), shared)
-    members = roots.select(F.col("a").alias("fp"), F.col("b").alias("root")).union(roots.select(F.col("b"), F.col("b")).distinct())
-    members = members.join(least, "fp")
-    lowest = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    tied = members.join(lowest, "root").select("fp", "component_id")
-    where = least.join(tied, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.join(where, "fp").select("doc_id", "fp", "component_id")
+    own, roots = _by_fingerprint(df, radius, width, text, key, shared)
+    placed = _representatives(own, roots, shared)
+    return C.hot_join(own.select("doc_id", "node"), placed, ["node"], "copies", own.count()).select("doc_id", F.col("node").alias("fp"), "component_id")
+
+
+def _with_text(pairs: DataFrame, texts: DataFrame, side: str, shared: C.Shared, name: str) -> DataFrame:
+    """``pairs`` with the text of ``side``. A text of many pairs is dealt out with shares of them."""
+    counts = shared.write(pairs.groupBy(side).agg(F.count("*").alias("weight")).withColumn("salts", F.ceil(F.col("weight") / F.lit(SALT)).cast("int")), f"{name}-{side}")
+    total = counts.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
+    dealt = C.hot_join(pairs, counts, [side], "weight", total).withColumn("salt", F.pmod(F.xxhash64(*pairs.columns), F.col("salts")).cast("int"))
+    copies = texts.select(F.col("sid").alias(side), F.col("text").alias(f"text_{side}")).join(counts.select(side, "salts"), side)
+    copies = copies.select(side, f"text_{side}", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return dealt.drop("salts").join(copies, [side, "salt"]).drop("salt")
+
+
+def verified(pairs: DataFrame, df: DataFrame, own: DataFrame, similarity: float, width: int, text: str, key: str, shared: C.Shared, name: str) -> DataFrame:
+    """The pairs ``(a, b)`` of sets that are similar, by whole sets made anew from one text of each."""
+    pairs = shared.write(pairs.select("a", "b").distinct(), f"{name}-pairs")
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
+    asked = own.join(ids, "node", "left_semi").groupBy("node").agg(F.min(place).alias("p")).select("p.doc_id", "p.h", F.col("node").alias("sid"))
+    asked = C.listed(shared, asked, f"{name}-ids")
+    rows = _texts(df, text, key).withColumnsRenamed({"doc_id": "d", "h": "g"})
+    texts = rows.join(asked, rows["d"].eqNullSafe(asked["doc_id"]) & (rows["g"] == asked["h"])).select("sid", "text")
+    texts = shared.write(texts.groupBy("sid").agg(F.min("text").alias("text")), f"{name}-texts")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+        for batch in batches:
+            a, b, left, right = (batch.column(k) for k in range(4))
+            keep = []
+            for x, y in zip(left, right, strict=True):
+                y = y.as_py().encode()
+                if y != last[0]:
+                    last = (y, shingle_set(y, width))
+                one, two = shingle_set(x.as_py().encode(), width), last[1]
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(two) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = _with_text(_with_text(pairs, texts, "a", shared, name), texts, "b", shared, f"{name}-two").select("a", "b", "text_a", "text_b")
+    found = shared.write(both.mapInArrow(run, "a bigint, b bigint"), f"{name}-links")
+    shared.drop(f"{name}-texts")
+    return found
+
+
+def _similar(df: DataFrame, similarity: float, width: int, text: str, key: str, shared: C.Shared) -> tuple[DataFrame, DataFrame]:
+    """The documents with the digest of their set as ``node``, and links between sets as ``components`` gives them."""
+    spark = df.sparkSession
+    own = shared.write(sketches(df, text, key, width).withColumnRenamed("sid", "node"), "sketches")
+    rows = shared.write(own.select(F.col("node").alias("sid"), "n", "fp", F.explode("bands").alias("tree")).distinct(), "trees")
+    trees = shared.write(rows.groupBy("tree").agg(F.count("*").alias("weight"), F.min("sid").alias("center")).where("weight > 1"), "centers")
+    total = trees.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
+    votes = hot_rows(rows.select("sid", "tree"), trees, total).where("sid <> center").groupBy("sid", "center").count()
+    first = votes.groupBy("sid").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
+    check = lambda pairs, name: verified(pairs, df, own, similarity, width, text, key, shared, name)
+    roots = components(check(first.select(F.col("sid").alias("a"), F.col("center").alias("b")), "first"), shared, "groups")
+    named = rows.join(roots.select(F.col("a").alias("sid"), F.col("b").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    named = shared.write(named, "named")
+    # in a tree of several groups, that of its least label needn't be searched for: all others search it
+    mixed = named.groupBy("tree").agg(F.count("*").alias("members"), F.min("label").alias("main"), F.max("label").alias("other")).where("main < other").drop("other")
+    mixed = shared.write(mixed.withColumn("weight", F.col("members")), "mixed")
+    inside = hot_rows(named, mixed, total)
+    asked = shared.write(inside.where(F.col("label") != F.col("main")).groupBy("tree").agg(F.count("*").alias("searches")), "asked")
+    mixed = shared.write(mixed.join(asked, "tree"), "open")
+    inside = hot_rows(named, mixed, total).withColumn("search", F.col("label") != F.col("main"))
+    units = _units(inside.select("tree", "members", "searches", "search", "fp", "sid", "label"), ["sid", "label"])
+    more = _in_shards(units, _shards(spark, total)).applyInArrow(lambda t: shard_pairs(t, WIDE), "a bigint, b bigint")
+    return own, components(roots.union(check(more, "others")), shared, "all")
+
+
+def similar(df: DataFrame, similarity: float = 0.8, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id``, ``sid`` (a digest of the text's set) and ``component_id``, the smallest doc_id that links reach."""
+    shared = C.Shared(df.sparkSession)
+    own, roots = _similar(df, similarity, width, text, key, shared)
+    placed = _representatives(own, roots, shared)
+    return C.hot_join(own.select("doc_id", "node"), placed, ["node"], "copies", own.count()).select("doc_id", F.col("node").alias("sid"), "component_id")
 
-def hex64(c: Column) -> Column:
-    return F.lower(F.lpad(F.hex(c), 16, "0"))
 
+def keep_one(df: DataFrame, similarity: float | None = 0.8, radius: int = 3, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` that come first in their group; all columns stay.
 
-def keep_one(df: DataFrame, radius: int = 3, width: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` without those whose group has a smaller doc_id; all columns stay. Rows with a null key stay."""
-    gone = near_duplicates(df, radius, width, text, key).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return df.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    Groups are those of ``similar``, or without a similarity those of ``near_duplicates`` within ``radius`` bits.
+    """
+    shared = C.Shared(df.sparkSession)
+    own, roots = _by_fingerprint(df, radius, width, text, key, shared) if similarity is None else _similar(df, similarity, width, text, key, shared)
+    placed = _representatives(own, roots, shared)
+    here = C.hot_join(own.select("doc_id", "h", "node"), placed, ["node"], "copies", own.count())
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    here = shared.write(here.groupBy("doc_id", "h", stays.alias("stays")).agg(F.count("*").alias("rows")), "here")
+    left = C.of_list(df, C.listed(shared, here.where("not stays").select("doc_id", "h"), "gone"), key, text, "left_anti")
+    twice = here.where("stays and rows > 1").select("doc_id", "h")
+    if not twice.limit(1).count():
+        return left
+    twice = C.listed(shared, twice, "twice")
+    (again,) = C.fresh(df, "h_")
+    once = C.of_list(left, twice, key, text, "left_semi").withColumn(again, F.xxhash64(F.col(f"`{text}`"))).dropDuplicates([key, again]).drop(again)
+    return C.of_list(left, twice, key, text, "left_anti").union(once)
+
+
+def hex64(c: Column) -> Column:
+    return F.lower(F.lpad(F.hex(c), 16, "0"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from helpers import awkward, empty
 
@@ -52,8 +53,10 @@ def test_fingerprints_and_components_equal_brute_force(spark):
     assert [found[i]["component_id"] for i, _ in rows] == linked(fps)
 
 
-def test_dense_clusters_and_split_trees(spark, monkeypatch):
+@pytest.mark.parametrize("finer", [(8, 12), ()])
+def test_dense_clusters_and_split_trees(spark, monkeypatch, finer):
     monkeypatch.setattr(simhash, "TREE", 8)
+    monkeypatch.setattr(simhash, "FINER", finer)
     rng, values = random.Random(2), set()
     for _ in range(4):
         centre = rng.getrandbits(64)
@@ -87,9 +90,6 @@ def test_awkward_rows(spark):
     assert by[1] == by[2] == by[3] == {(0, 1)}
     assert len(by[5]) == 1 and {c for _, c in by[5]} == {5}
     assert simhash.near_duplicates(empty(spark)).count() == 0
-    kept = simhash.keep_one(awkward(spark))
-    assert kept.columns == awkward(spark).columns
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 5, 6]
 
 
 def test_components_of_a_chain(spark):
