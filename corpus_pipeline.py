@@ -3,8 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and its result is written
 as Parquet and read again before the next. All but the last return the columns of documents.
 
-Near-duplicates are texts whose shingles of five words have an exact Jaccard similarity of 0.8 or more; the
-SimHash operator's three words and three bits bind its own query only, and no radius of it finds all such texts.
+Near-duplicates are texts whose shingles of five words have an exact Jaccard similarity of 0.8 or more, found by the
+SimHash operator's trees; the three words and three bits of its own query bind that query only.
+
+Every stage bears null texts and ids, empty texts, repeated rows, empty tables and further columns, as the docstrings of
+the operators say: rows are told apart by id and text, so that what one row loses no other row of the same id does.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syslumen.llm import _common as C
-from syslumen.llm import bpe, decontaminate, jaccard, linededup, quality
+from syslumen.llm import bpe, decontaminate, linededup, quality, simhash
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    return jaccard.keep_one(docs)
+    return simhash.keep_one(docs, similarity=0.8, width=5)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +51,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", keep_quality),
     ("line dedup", dedup_lines),
-    ("Jaccard near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_leaks),
     ("byte-level BPE", encode),
 ]
