@@ -19,9 +19,11 @@ Texts by similarity (``similar``): a text is the set of its hashes, and two are
 exact Jaccard similarity of 4/5 at least, or another asked for. As two such fingerprints may differ in any bits, trees
 hold the texts that share a band of min-hashes (``BANDS`` of ``BAND`` each: at a similarity of 0.8 one in 30,000 pairs
 shares none), and are searched within ``WIDE`` bits (such pairs are 10 bits apart on average, with a spread of 3).
-First each text is compared with one member that most of its trees have; this joins large groups without looking
-at all their pairs. Then trees that still hold several groups are searched for pairs of different groups. Every
-link is verified on the whole sets of both texts, so that none is wrong.
+First each text is compared with that member of its trees which shares bands with the most texts; this joins large groups
+without looking at all their pairs. Then trees that still hold several groups are searched for pairs of different groups, at
+first for the likeliest of each text and then, as far as groups still differ, for all,
+of which those stay whose sketches (``HASHES`` min-hashes, of each 8 bits) agree in no less than the similarity asked for, less
+three times its spread. Every link is verified on the whole sets of both texts, so that none is wrong.
 
 Defined cases: a null text counts as empty and is linked with the other texts without words; a null
 doc_id gets a fingerprint and its group's component but is nobody's component_id; repeated rows are kept,
@@ -57,6 +59,8 @@ MEMBERS = 512
 FRONT = 1 << 19
 #: Bands of min-hashes by which similar texts meet, min-hashes of a band, and the radius of the search among them.
 BANDS, BAND, WIDE = 20, 4, 20
+#: Min-hashes of a sketch; the bands are made of the first.
+HASHES = 256
 #: Pairs of one text that a task verifies together, on average.
 SALT = 1000
 
@@ -118,41 +122,41 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", width:
     return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, h bigint, fp bigint")
 
 
-def bands(own: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """A number for each band of min-hashes of a set; none for an empty one."""
+def min_hashes(own: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A number for each band of min-hashes of a set (none for an empty one), and its sketch."""
     if not len(own):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), b""
     least = np.full(len(by), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(own), 4096):
-            mixed = (own[at : at + 4096, None] ^ (own[at : at + 4096, None] >> np.uint64(31))) * by[None, :]
-            np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(0), out=least)
+        for at in range(0, len(own), 1024):
+            np.minimum(least, (own[at : at + 1024, None] * by[None, :]).min(0), out=least)
         odd = np.arange(1, 2 * BAND, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        out = (least.reshape(BANDS, BAND) * odd).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return out.view(np.int64)
+        out = (least[: BANDS * BAND].reshape(BANDS, BAND) * odd).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return out.view(np.int64), ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def sketches(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5) -> DataFrame:
-    """``doc_id``, ``h``, and of the text's set: ``sid`` (a digest), ``n`` (its size), ``fp`` and the numbers of its ``bands``."""
+    """``doc_id``, ``h``, and of the text's set: ``sid`` (a digest), ``fp``, the numbers of its ``bands`` and its ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        by = np.random.default_rng(10).integers(1, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        by = np.random.default_rng(10).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in C.small_batches(batches, most=2 << 20):
             raw, offsets = C.utf8(batch.column(2))
-            sid, n, fp, keys = [], [], [], []
+            sid, fp, keys, made = [], [], [], []
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 own = shingle_set(raw[a:b].tobytes(), width)
                 sid.append(xxh64_intdigest(own.tobytes(), 42))
-                n.append(len(own))
                 fp.append(_majority([own]))
-                keys.append(bands(own, by))
+                key, sketch = min_hashes(own, by)
+                keys.append(key)
+                made.append(sketch)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(sid), pa.array(n, pa.int64()), signed(fp), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "sid", "n", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(sid), signed(fp), pa.array(keys, pa.list_(pa.int64())), pa.array(made, pa.binary())], names=["doc_id", "h", "sid", "fp", "bands", "sketch"])
 
     kept = _texts(df, text, key)
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, h bigint, sid bigint, n bigint, fp bigint, bands array<bigint>")
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, h bigint, sid bigint, fp bigint, bands array<bigint>, sketch binary")
 
 
 def block_masks(blocks: int, radius: int) -> list[int]:
@@ -260,28 +264,45 @@ def shard_links(table: pa.Table, radius: int) -> pa.Table:
     return pa.table({"a": values[tied], "b": values[label[tied]]})
 
 
-def shard_pairs(table: pa.Table, radius: int) -> pa.Table:
-    """Pairs of texts in different groups within the radius; columns as above, and ``sid`` and ``label``, the group."""
+def shard_pairs(table: pa.Table, radius: int, least: float, every: bool) -> pa.Table:
+    """Pairs of texts in different groups within the radius whose sketches agree in ``least`` or more, and how much; columns as above, ``sid``, ``label`` (the group) and ``sketch``.
+
+    Unless every pair is asked for, that of each search that agrees most.
+    """
     unit, fp, sid, label = (table.column(c).to_numpy() for c in ("unit", "fp", "sid", "label"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
     stored, search = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("stored", "search"))
     forest = Forest(fp[stored].view(np.uint64), unit[stored])
-    found, held = [np.zeros((0, 2), np.int64)], 0
+    found, held = [np.zeros((0, 3), np.int64)], 0
+
+    def settled() -> np.ndarray:
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if every or not len(pairs):
+            return pairs
+        pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 0]))]
+        return pairs[np.append(pairs[1:, 0] != pairs[:-1, 0], True)]
+
     for q, n in forest.links(fp[search].view(np.uint64), unit[search], radius):
         x, y = search[q], stored[n]
         new = label[x] != label[y]
-        found.append(np.stack([np.maximum(sid[x], sid[y])[new], np.minimum(sid[x], sid[y])[new]], 1))
-        held += int(new.sum())
-        if held > 1 << 20:
-            found, held = [np.unique(np.concatenate(found), axis=0)], 0
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        x, y = x[new], y[new]
+        for at in range(0, len(x), 1 << 15):
+            i, j = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
+            agree = np.count_nonzero(sketch[i] == sketch[j], axis=1)
+            near = agree >= least * HASHES
+            found.append(np.stack([sid[i], sid[j], agree], 1)[near])
+            held += int(near.sum())
+            if held > 1 << 20:
+                found, held = [settled()], 0
+    pairs = settled()
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "agree": pairs[:, 2]})
 
 
 def _units(rows: DataFrame, extra: list[str]) -> DataFrame:
     """What a task takes together: a piece of a tree, and a part of its searches; rows ``tree, members, searches, search`` and others."""
     piece, part = (F.ceil(F.col(c) / F.lit(TREE)).cast("int") for c in ("members", "searches"))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    own = lambda n: F.pmod(F.xxhash64("fp", *extra), n)
+    own = lambda n: F.pmod(F.xxhash64("fp", *extra), n).cast("int")
     small = (F.col("members") <= TREE) & (F.col("searches") <= TREE)
     rest = ["tree", "fp", *extra]
     whole = rows.where(small).select(F.xxhash64("tree").alias("unit"), "fp", *extra, F.lit(True).alias("stored"), "search")
@@ -325,27 +346,30 @@ def hot_rows(rows: DataFrame, trees: DataFrame, total: int) -> DataFrame:
     return C.hot_join(rows, trees, ["tree"], "weight", total)
 
 
-def _representatives(own: DataFrame, roots: DataFrame, shared: C.Shared) -> DataFrame:
-    """For each ``node``: ``copies`` (rows of ``own`` with it), ``component_id`` (the least doc_id of its group) and ``first``, its first row's place."""
+def _nodes(own: DataFrame, shared: C.Shared, *more: Column) -> DataFrame:
+    """For each ``node``: ``copies`` (rows of ``own`` with it), ``least`` (doc_id) and ``own_first``, its first row's place."""
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
-    nodes = own.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(place).alias("own_first"))
-    nodes = nodes.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    nodes = shared.write(nodes, "nodes")
-    groups = shared.write(nodes.groupBy("root").agg(F.count("*").alias("size"), F.min("least").alias("component_id"), F.min("own_first").alias("first")), "roots")
-    return shared.write(C.hot_join(nodes, groups, ["root"], "size", nodes.count()).select("node", "copies", "component_id", "first"), "placed")
+    return shared.write(own.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(place).alias("own_first"), *more), "nodes")
+
+
+def _placed(nodes: DataFrame, roots: DataFrame, shared: C.Shared) -> DataFrame:
+    """For each ``node``: ``copies``, ``component_id`` (the least doc_id of its group) and ``first``, the place of the group's first row."""
+    tied = nodes.select("node", "copies", "least", "own_first").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tied = shared.write(tied, "tied")
+    groups = shared.write(tied.groupBy("root").agg(F.count("*").alias("size"), F.min("least").alias("component_id"), F.min("own_first").alias("first")), "roots")
+    return shared.write(C.hot_join(tied, groups, ["root"], "size", tied.count()).select("node", "copies", "component_id", "first"), "placed")
 
 
 def _by_fingerprint(df: DataFrame, radius: int, width: int, text: str, key: str, shared: C.Shared) -> tuple[DataFrame, DataFrame]:
+    """The documents with their fingerprint as ``node``, and the nodes with their groups."""
     own = shared.write(fingerprints(df, text, key, width).withColumnRenamed("fp", "node"), "fingerprints")
-    least = shared.write(own.select(F.col("node").alias("fp")).distinct(), "distinct")
-    return own, components(fingerprint_links(least, radius, least.count()), shared)
+    nodes = _nodes(own, shared)
+    return own, _placed(nodes, components(fingerprint_links(nodes.select(F.col("node").alias("fp")), radius, nodes.count()), shared), shared)
 
 
 def near_duplicates(df: DataFrame, radius: int = 3, width: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id``, ``fp`` (signed) and ``component_id``, the smallest doc_id that links reach."""
-    shared = C.Shared(df.sparkSession)
-    own, roots = _by_fingerprint(df, radius, width, text, key, shared)
-    placed = _representatives(own, roots, shared)
+    own, placed = _by_fingerprint(df, radius, width, text, key, C.Shared(df.sparkSession))
     return C.hot_join(own.select("doc_id", "node"), placed, ["node"], "copies", own.count()).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
@@ -359,12 +383,11 @@ def _with_text(pairs: DataFrame, texts: DataFrame, side: str, shared: C.Shared,
     return dealt.drop("salts").join(copies, [side, "salt"]).drop("salt")
 
 
-def verified(pairs: DataFrame, df: DataFrame, own: DataFrame, similarity: float, width: int, text: str, key: str, shared: C.Shared, name: str) -> DataFrame:
+def verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, similarity: float, width: int, text: str, key: str, shared: C.Shared, name: str) -> DataFrame:
     """The pairs ``(a, b)`` of sets that are similar, by whole sets made anew from one text of each."""
     pairs = shared.write(pairs.select("a", "b").distinct(), f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")
-    asked = own.join(ids, "node", "left_semi").groupBy("node").agg(F.min(place).alias("p")).select("p.doc_id", "p.h", F.col("node").alias("sid"))
+    asked = nodes.join(ids, "node", "left_semi").select("own_first.doc_id", "own_first.h", F.col("node").alias("sid"))
     asked = C.listed(shared, asked, f"{name}-ids")
     rows = _texts(df, text, key).withColumnsRenamed({"doc_id": "d", "h": "g"})
     texts = rows.join(asked, rows["d"].eqNullSafe(asked["doc_id"]) & (rows["g"] == asked["h"])).select("sid", "text")
@@ -391,35 +414,49 @@ def verified(pairs: DataFrame, df: DataFrame, own: DataFrame, similarity: float,
 
 
 def _similar(df: DataFrame, similarity: float, width: int, text: str, key: str, shared: C.Shared) -> tuple[DataFrame, DataFrame]:
-    """The documents with the digest of their set as ``node``, and links between sets as ``components`` gives them."""
-    spark = df.sparkSession
+    """The documents with the digest of their set as ``node``, and the nodes with their groups."""
     own = shared.write(sketches(df, text, key, width).withColumnRenamed("sid", "node"), "sketches")
-    rows = shared.write(own.select(F.col("node").alias("sid"), "n", "fp", F.explode("bands").alias("tree")).distinct(), "trees")
-    trees = shared.write(rows.groupBy("tree").agg(F.count("*").alias("weight"), F.min("sid").alias("center")).where("weight > 1"), "centers")
+    nodes = _nodes(own, shared, F.min("sketch").alias("sketch"))
+    rows = shared.write(own.select(F.col("node").alias("sid"), "fp", F.explode("bands").alias("tree")).distinct(), "trees")
+    trees = shared.write(rows.groupBy("tree").agg(F.count("*").alias("weight")).where("weight > 1"), "sizes")
     total = trees.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
-    votes = hot_rows(rows.select("sid", "tree"), trees, total).where("sid <> center").groupBy("sid", "center").count()
-    first = votes.groupBy("sid").agg(F.max_by("center", F.struct("count", "center")).alias("center"))
-    check = lambda pairs, name: verified(pairs, df, own, similarity, width, text, key, shared, name)
-    roots = components(check(first.select(F.col("sid").alias("a"), F.col("center").alias("b")), "first"), shared, "groups")
-    named = rows.join(roots.select(F.col("a").alias("sid"), F.col("b").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    named = shared.write(named, "named")
-    # in a tree of several groups, that of its least label needn't be searched for: all others search it
-    mixed = named.groupBy("tree").agg(F.count("*").alias("members"), F.min("label").alias("main"), F.max("label").alias("other")).where("main < other").drop("other")
-    mixed = shared.write(mixed.withColumn("weight", F.col("members")), "mixed")
-    inside = hot_rows(named, mixed, total)
-    asked = shared.write(inside.where(F.col("label") != F.col("main")).groupBy("tree").agg(F.count("*").alias("searches")), "asked")
-    mixed = shared.write(mixed.join(asked, "tree"), "open")
-    inside = hot_rows(named, mixed, total).withColumn("search", F.col("label") != F.col("main"))
-    units = _units(inside.select("tree", "members", "searches", "search", "fp", "sid", "label"), ["sid", "label"])
-    more = _in_shards(units, _shards(spark, total)).applyInArrow(lambda t: shard_pairs(t, WIDE), "a bigint, b bigint")
-    return own, components(roots.union(check(more, "others")), shared, "all")
+    # how many texts a text shares bands with: in a group of copies, the original has the most
+    members = shared.write(hot_rows(rows, trees.withColumn("size", F.col("weight")), total), "members")
+    dense = members.groupBy("sid").agg(F.sum("size").alias("dense"))
+    members = shared.write(members.select("sid", "fp", "tree", "size").join(dense, "sid"), "dense")
+    best = F.max_by("sid", F.struct("dense", "sid"))
+    centers = shared.write(members.groupBy("tree").agg(best.alias("center"), F.max("dense").alias("most"), F.count("*").alias("weight")), "centers")
+    first = hot_rows(members.select("sid", "tree"), centers, total).groupBy("sid").agg(F.max_by("center", F.struct("most", "center")).alias("center"))
+    pairs = first.where("sid <> center").select(F.greatest("sid", "center").alias("a"), F.least("sid", "center").alias("b"))
+    check = lambda pairs, name: verified(pairs, df, nodes, similarity, width, text, key, shared, name)
+    roots = components(check(pairs, "first"), shared, "groups")
+    least = similarity - 3 * (similarity * (1 - similarity) / HASHES) ** 0.5
+    for name in ("best", "others"):
+        every = name == "others"
+        named = members.join(roots.select(F.col("a").alias("sid"), F.col("b").alias("label")), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        named = shared.write(named.select("sid", "fp", "tree", "dense", "label"), f"{name}-named")
+        # in a tree of several groups, that of its center needn't be searched for: all others search it
+        mixed = named.groupBy("tree").agg(F.count("*").alias("members"), F.max_by("label", F.struct("dense", "sid")).alias("main"), F.min("label").alias("x"), F.max("label").alias("y"))
+        mixed = shared.write(mixed.where("x < y").select("tree", "members", "main", F.col("members").alias("weight")), f"{name}-mixed")
+        if not mixed.limit(1).count():
+            break
+        inside = shared.write(hot_rows(named, mixed, total).withColumn("search", F.col("label") != F.col("main")), f"{name}-inside")
+        asked = inside.where("search").groupBy("tree").agg(F.count("*").alias("searches"), F.max("members").alias("weight"))
+        asked = shared.write(asked, f"{name}-asked")
+        inside = hot_rows(inside, asked, total).join(nodes.select(F.col("node").alias("sid"), "sketch"), "sid")
+        units = _units(inside.select("tree", "members", "searches", "search", "fp", "sid", "label", "sketch"), ["sid", "label", "sketch"])
+        search = (lambda t: shard_pairs(t, WIDE, least, True)) if every else (lambda t: shard_pairs(t, WIDE, least, False))
+        more = _in_shards(units, _shards(df.sparkSession, total)).applyInArrow(search, "a bigint, b bigint, agree bigint")
+        if not every:
+            more = more.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
+        more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        roots = components(roots.union(check(more, name)), shared, f"{name}-all")
+    return own, _placed(nodes, roots, shared)
 
 
 def similar(df: DataFrame, similarity: float = 0.8, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id``, ``sid`` (a digest of the text's set) and ``component_id``, the smallest doc_id that links reach."""
-    shared = C.Shared(df.sparkSession)
-    own, roots = _similar(df, similarity, width, text, key, shared)
-    placed = _representatives(own, roots, shared)
+    own, placed = _similar(df, similarity, width, text, key, C.Shared(df.sparkSession))
     return C.hot_join(own.select("doc_id", "node"), placed, ["node"], "copies", own.count()).select("doc_id", F.col("node").alias("sid"), "component_id")
 
 
@@ -429,8 +466,7 @@ def keep_one(df: DataFrame, similarity: float | None = 0.8, radius: int = 3, wid
     Groups are those of ``similar``, or without a similarity those of ``near_duplicates`` within ``radius`` bits.
     """
     shared = C.Shared(df.sparkSession)
-    own, roots = _by_fingerprint(df, radius, width, text, key, shared) if similarity is None else _similar(df, similarity, width, text, key, shared)
-    placed = _representatives(own, roots, shared)
+    own, placed = _by_fingerprint(df, radius, width, text, key, shared) if similarity is None else _similar(df, similarity, width, text, key, shared)
     here = C.hot_join(own.select("doc_id", "h", "node"), placed, ["node"], "copies", own.count())
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     here = shared.write(here.groupBy("doc_id", "h", stays.alias("stays")).agg(F.count("*").alias("rows")), "here")
