@@ -17,7 +17,10 @@ Defined cases: a null text stays null and has no lines; an empty text has one em
 has no words and stays; a text all of whose lines go becomes empty; blank lines count as lines of no
 words and go where they lie within a deleted run; rows with the same doc_id and text are one document
 and get the same result; null ids come first in the order; an empty table gives none; other columns are
-kept as they are.
+kept as they are, whatever their names, but for ``n_lines`` and ``n_deleted``, which the counts replace.
+
+Runs are held as intervals, which are united before the text is put together, so that the work grows with the number of lines,
+whatever the length of runs. Lines, stretches and runs that very many places share are joined where the places lie.
 """
 
 from __future__ import annotations
@@ -45,16 +48,15 @@ def _words(line: Column) -> Column:
     return F.when(~odd, spaces(line) + 1).when(bare == "", 0).otherwise(spaces(bare) + 1)
 
 
-def _ranked(shared: C.Shared, counted: DataFrame, by: list[str], name: str) -> DataFrame:
-    """``by`` and ``rank``: numbers in the order of ``by``, for distinct rows that are already counted."""
-    partitions = max(1, -(-shared.read(name, counted.schema).count() // 200_000))
-    return shared.write(shared.read(name, counted.schema).repartitionByRange(partitions, *by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()).select(*by, "rank"), f"{name}-ranks")
+def _repeated(shared: C.Shared, rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``by``, ``rank`` and ``n``: numbers in the order of ``by`` for what occurs more than once, and how often."""
+    counted = shared.write(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), name)
+    partitions = max(1, -(-counted.count() // 200_000))
+    return shared.write(counted.repartitionByRange(partitions, *by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), f"{name}-ranks")
 
 
-def _repeated(shared: C.Shared, rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    counted = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
-    shared.write(counted, name)
-    return _ranked(shared, counted, by, name)
+def _total(counted: DataFrame) -> int:
+    return counted.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
 
 
 def suffix_levels(shared: C.Shared, first: DataFrame, levels: int, name: str = "level") -> list[DataFrame]:
@@ -64,8 +66,11 @@ def suffix_levels(shared: C.Shared, first: DataFrame, levels: int, name: str = "
         along = Window.partitionBy(*_DOC, "island").orderBy("pos")
         pairs = out[-1].withColumn("next", F.lead("rank", 1 << j).over(along)).withColumnRenamed("rank", "here")
         pairs = shared.write(pairs, f"{name}-{j}-pairs")
-        ranks = _repeated(shared, pairs.where("here is not null and next is not null"), ["here", "next"], f"{name}-{j}-names")
-        made = pairs.join(ranks, ["here", "next"], "left").select(*_DOC, "island", "pos", "rank")
+        full = F.col("here").isNotNull() & F.col("next").isNotNull()
+        ranks = _repeated(shared, pairs.where(full), ["here", "next"], f"{name}-{j}-names")
+        # rows without a pair would all meet under null
+        made = C.hot_join(pairs.where(full), ranks, ["here", "next"], "n", _total(ranks), "left").select(*_DOC, "island", "pos", "rank")
+        made = made.union(pairs.where(~full).select(*_DOC, "island", "pos", F.lit(None).cast("bigint")))
         out.append(shared.write(made, f"{name}-{j + 1}"))
         shared.drop(f"{name}-{j}-pairs")
     return out
@@ -89,14 +94,14 @@ def _shortest_runs(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def deletions(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``d`` (doc_id), ``t`` (hash of the text) and ``gone``, the numbers (from 0) of the lines that go, for documents that lose any."""
+    """``d`` (doc_id), ``t`` (hash of the text) and ``gone``, the intervals ``low`` to ``high`` (from 0) of the lines that go, in order, for documents that lose any."""
     shared = C.Shared(df.sparkSession)
     docs = df.select(F.col(f"`{key}`").alias("d"), F.xxhash64(f"`{text}`").alias("t"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("pos", "line"))
     # two hashes of different seeds and the length stand for a line
     lines = docs.select("d", "t", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(9), "line").alias("b"), _words(F.col("line")).alias("w"))
     lines = shared.write(lines, "lines")
     ids = _repeated(shared, lines.dropDuplicates(["d", "t", "pos"]), ["a", "b"], "ids")
-    kept = lines.join(ids, ["a", "b"]).select("d", "t", "pos", "w", "rank").dropDuplicates(["d", "t", "pos"])
+    kept = C.hot_join(lines, ids, ["a", "b"], "n", _total(ids)).select("d", "t", "pos", "w", "rank").dropDuplicates(["d", "t", "pos"])
     along = Window.partitionBy(*_DOC).orderBy("pos")
     kept = shared.write(kept.withColumn("island", F.col("pos") - F.row_number().over(along)), "repeated")
     runs = shared.write(_shortest_runs(kept, min_words), "runs")
@@ -115,10 +120,19 @@ def deletions(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key
         named = made if named is None else named.union(made)
     named = shared.write(named, "intervals")
     place = F.struct("d", "t", "start")
-    earliest = named.groupBy("n", "first", "last").agg(F.min(place).alias("earliest"), F.count("*").alias("copies")).where("copies > 1")
-    later = named.join(earliest, ["n", "first", "last"]).where(place > F.col("earliest"))
-    gone = later.select("d", "t", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("pos"))
-    return gone.groupBy("d", "t").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    runs_of = ["n", "first", "last"]
+    earliest = named.groupBy(*runs_of).agg(F.min(place).alias("earliest"), F.count("*").alias("copies")).where("copies > 1")
+    later = C.hot_join(named, shared.write(earliest, "earliest"), runs_of, "copies", named.count()).where(place > F.col("earliest"))
+    return _united(later.groupBy(*_DOC, "start").agg(F.max(F.col("start") + F.col("n") - 1).alias("end")))
+
+
+def _united(spans: DataFrame) -> DataFrame:
+    """``d, t, gone``: the union of a document's spans ``start`` to ``end``."""
+    by = Window.partitionBy(*_DOC).orderBy("start")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("fresh", F.when(F.col("start") <= reach + 1, 0).otherwise(1))
+    parts = spans.withColumn("part", F.sum("fresh").over(by)).groupBy(*_DOC, "part").agg(F.min("start").alias("low"), F.max("end").alias("high"))
+    return parts.groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("gone"))
 
 
 #: ``doc_id, n_lines, n_deleted, chars_left, text_sha256`` in DuckDB, by comparing runs' whole texts; doc_id must be unique.
@@ -138,15 +152,21 @@ SELECT d AS doc_id, CAST(len(ls) AS INT) AS n_lines, CAST(len(gone) AS INT) AS n
 """
 
 
-def dedup(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``df`` with later copies of repeated runs taken out of ``text``; adds ``n_lines`` and ``n_deleted``."""
-    # names that no column of df has
-    gone = deletions(df, min_words, text, key).withColumnsRenamed({"d": "__d", "t": "__h", "gone": "__gone"})
+def dedup(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key: str = "doc_id", counts: bool = True) -> DataFrame:
+    """``df`` with later copies of repeated runs taken out of ``text``; with counts, ``n_lines`` and ``n_deleted`` besides."""
+    d, h, gone, t = C.fresh(df, "d_", "h_", "gone_", "t_")
+    spans = deletions(df, min_words, text, key).withColumnsRenamed({"d": d, "t": h, "gone": gone})
     own = F.col(f"`{text}`")
-    lines = F.split(own, "\n")
-    left = df.withColumn("__t", F.xxhash64(f"`{text}`")).join(gone, F.col(f"`{key}`").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")), "left")
-    rest = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")), lambda i: F.get(lines, i)), "\n")
-    return left.select(
-        *(F.when(F.col("__gone").isNull(), own).otherwise(rest).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns),
-        F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_deleted"),
-    )
+    left = df.withColumn(t, F.xxhash64(own)).join(spans, F.col(f"`{key}`").eqNullSafe(F.col(d)) & (F.col(t) == F.col(h)), "left")
+
+    def rest(lines: Column) -> Column:
+        low = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g["high"] + 1))
+        high = F.concat(F.transform(gone, lambda g: g["low"]), F.array(F.size(lines)))
+        return F.array_join(F.flatten(F.zip_with(low, high, lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
+
+    # as an element of an array, so that the text is cut up once
+    cut = F.get(F.transform(F.array(F.split(own, "\n")), rest), F.lit(0))
+    kept = [c for c in df.columns if not counts or c.lower() not in ("n_lines", "n_deleted")]
+    n_deleted = F.aggregate(gone, F.lit(0), lambda s, g: s + (g["high"] - g["low"] + 1).cast("int"))
+    more = [F.coalesce(F.size(F.split(own, "\n")), F.lit(0)).alias("n_lines"), F.coalesce(n_deleted, F.lit(0)).alias("n_deleted")] if counts else []
+    return left.select(*(F.when(F.col(gone).isNull(), own).otherwise(cut).alias(c) if c == text else F.col(f"`{c}`") for c in kept), *more)

@@ -12,14 +12,20 @@ checks (a card's check digit is made anew; dates permute within a 400-year cycle
 first among its 9 x 9833 days after the 12th of a month).
 Separators and brackets stay in place. E-mail addresses and secrets get keyed digests instead.
 
-Each text is handled in its own row: matches are cut out, replaced one by one and joined with what lay
-between, so that a pseudonym is never looked at again.
+Each text is handled in its own row: one pass marks the matches, which are cut out, replaced one by one and joined with what lay
+between, so that a pseudonym is never looked at again. No pattern repeats a group without bound but possessively, so that a long
+text needs no deep stack.
+
+The key is asked for, as who has it can turn numbers and dates back. It is a literal of the plan: set
+``spark.sql.redaction.string.regex`` where plans are logged.
 
 DuckDB's regular expressions know neither look-around nor possessive quantifiers, so SQL can't express it;
 tests compare it with the same in plain Python.
 
 Defined cases: a null text stays null with no replacements; an empty one stays empty; repeated rows get the
-same result; all other columns are kept (but ``n_replaced`` must not be among them); an empty table gives none.
+same result; all other columns are kept, whatever their names, but for ``n_replaced``, which the count replaces; an empty table
+gives none. Addresses are permuted as numbers: spellings of one address with and without leading zeros get the same pseudonym.
+``n_replaced`` counts what passes its check, also if the permutation leaves it as it is.
 """
 
 from __future__ import annotations
@@ -27,10 +33,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from syslumen.llm import _common as C
+
 ROUNDS = 8
-KEY = "syslumen"
 
-EMAIL = r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![\p{L}\p{N}._+-])[\p{L}\p{N}._+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])"
 IPV4 = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
@@ -41,7 +48,14 @@ PHONE = f"{PHONE_TEN}|{PHONE_ANY}"
 _TWO_DIGITS = "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
-ANY = "|".join((EMAIL, SECRET, IPV4, DATE, PHONE, SSN, CARD))
+#: What begins with a digit or a plus; nearly all places are passed over by the first look at one character.
+NUMBERS = f"(?=[0-9+])(?:{'|'.join((IPV4, DATE, PHONE, SSN, CARD))})"
+WITHOUT_EMAIL = f"{SECRET}|{NUMBERS}"
+ANY = f"{EMAIL}|{WITHOUT_EMAIL}"
+#: Texts without any of these hold nothing to replace.
+SOME = "[0-9@]|[A-Fa-f]{32}"
+#: Around a match come MARK and END; a MARK that is in the text is followed by OWN meanwhile.
+MARK, OWN, END = "\x01", "\x02", "\x03"
 
 
 def _digest(key: str, kind: str, *parts: Column | int) -> Column:
@@ -99,7 +113,7 @@ def _card(m: Column, key: str) -> Column:
     digits = _digits(m)
     payload = permuted_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
     check = F.pmod(10 - luhn(F.concat(payload, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    return F.when(luhn(digits) % 10 == 0, _filled(m, F.concat(payload, check))).otherwise(m)
+    return F.when(luhn(digits) % 10 == 0, _filled(m, F.concat(payload, check)))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -117,21 +131,21 @@ def _ssn(m: Column, key: str) -> Column:
     made = feistel(number, 898, per, key, "ssn")
     index, rest = _div(made, per), F.pmod(made, F.lit(per))
     text = F.concat_ws("-", F.lpad(F.when(index >= 665, index + 2).otherwise(index + 1).cast("string"), 3, "0"), F.lpad((_div(rest, 9999) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(rest, F.lit(9999)) + 1).cast("string"), 4, "0"))
-    return F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), text).otherwise(m)
+    return F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), text)
 
 
 def _ipv4(m: Column, key: str) -> Column:
     octet = lambda k: F.get(F.split(m, r"\."), F.lit(k)).cast("bigint")
     made = feistel(octet(0) * (1 << 24) + octet(1) * (1 << 16) + octet(2) * (1 << 8) + octet(3), 1 << 16, 1 << 16, key, "ipv4")
     text = F.concat_ws(".", *(F.pmod(_div(made, 1 << s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)))
-    return F.when((octet(0) < 256) & (octet(1) < 256) & (octet(2) < 256) & (octet(3) < 256), text).otherwise(m)
+    return F.when((octet(0) < 256) & (octet(1) < 256) & (octet(2) < 256) & (octet(3) < 256), text)
 
 
 def _date(m: Column, form: str, key: str) -> Column:
     day = F.try_to_timestamp(m, F.lit(form)).cast("date")
     number = F.datediff(day, F.lit("1800-01-01").cast("date")).cast("bigint")
     made = F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), feistel(number, 189, 773, key, "date").cast("int")), form)
-    return F.when((number >= 0) & (number < 189 * 773), made).otherwise(m)
+    return F.when((number >= 0) & (number < 189 * 773), made)
 
 
 def _month_first(m: Column, key: str) -> Column:
@@ -150,12 +164,13 @@ def _month_first(m: Column, key: str) -> Column:
         return F.date_format(F.date_add(F.add_months(first, k), (x - before(k) + 12).cast("int")), "MM/dd/yyyy")
 
     text = F.get(F.transform(F.array(made), date_of), F.lit(0))
-    return F.when(F.year(day).between(1800, 2199), text).otherwise(m)
+    return F.when(F.year(day).between(1800, 2199), text)
 
 
 def _secret(m: Column, key: str) -> Column:
     # as many digests as the length asks for, in the case of the original
-    made = F.substr(F.array_join(F.transform(F.sequence(F.lit(0), _div(F.length(m) - 1, 64).cast("int")), lambda i: _digest(key, "secret", i, F.lower(m))), ""), F.lit(1), F.length(m))
+    digests = lambda base: F.array_join(F.transform(F.sequence(F.lit(0), _div(F.length(m) - 1, 64).cast("int")), lambda i: _digest(key, "secret", i, base)), "")
+    made = F.substr(F.get(F.transform(F.array(_digest(key, "secret", F.lower(m))), digests), F.lit(0)), F.lit(1), F.length(m))
     return F.when(m == F.upper(m), F.upper(made)).otherwise(made)
 
 
@@ -164,8 +179,8 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("user."), F.substring(made, 1, 12), F.lit("@"), F.substring(made, 13, 8), F.lit(".example"))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
-    """What replaces a match of ``ANY``; the match itself where it doesn't pass its check."""
+def pseudonym(m: Column, key: str) -> Column:
+    """What replaces a match of ``ANY``; null where it doesn't pass its check."""
     like = lambda p: m.rlike(f"^(?:{p})$")
     return (
         F.when(m.contains("@"), _email(m, key))
@@ -180,14 +195,20 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     )
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with personal data in ``text`` replaced, and ``n_replaced``, the number of replacements."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     own = F.col(f"`{text}`")
-    any_ = F.regexp_extract_all(own, F.lit(ANY), F.lit(0))
-    # most texts hold no digit and no @, and so nothing to look for
-    found = df.withColumn("__found", F.when(own.rlike("[0-9@]"), any_))
-    found = found.withColumn("__made", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key))))
-    between = F.split(own, ANY, -1)
-    joined = F.array_join(F.zip_with(between, "__made", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.size(F.filter(F.zip_with("__found", "__made", lambda a, b: a != b), lambda x: x))
-    return found.select(*((F.when(F.col("__made").isNull(), own).otherwise(joined).alias(c) if c == text else F.col(f"`{c}`")) for c in df.columns), F.when(F.col("__made").isNull(), 0).otherwise(changed).alias("n_replaced"))
+    parts, made = C.fresh(df, "parts_", "made_")
+    plain = F.when(own.contains(MARK), F.replace(own, F.lit(MARK), F.lit(MARK + OWN))).otherwise(own)
+    marked = lambda pattern: F.regexp_replace(plain, f"({pattern})", f"{MARK}{END}$1{MARK}{END}")
+    found = F.when(own.contains("@"), marked(ANY)).otherwise(marked(WITHOUT_EMAIL))
+    # gaps and matches by turns
+    cut = df.withColumn(parts, F.when(own.rlike(SOME), F.split(found, MARK + END, -1)))
+    cut = cut.withColumn(made, F.when(F.size(parts) > 1, F.transform(parts, lambda p, i: F.when(i % 2 == 1, pseudonym(p, key)))))
+    joined = F.array_join(F.zip_with(parts, made, lambda p, m: F.coalesce(m, p)), "")
+    joined = F.when(own.contains(MARK), F.replace(joined, F.lit(MARK + OWN), F.lit(MARK))).otherwise(joined)
+    count = F.size(F.filter(made, lambda m: m.isNotNull()))
+    kept = [c for c in df.columns if c.lower() != "n_replaced"]
+    return cut.select(*(F.when(F.col(made).isNull(), own).otherwise(joined).alias(c) if c == text else F.col(f"`{c}`") for c in kept), F.when(F.col(made).isNull(), 0).otherwise(count).alias("n_replaced"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from syslumen.llm import bpe, decontaminate, langid, linededup, neighbours, pii,
 
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(C.read(spark, sf_dir, "documents")).select("doc_id", "n_replaced", "text")
+    # without a key of the session, one that nobody keeps: pseudonyms are linked within this run
+    key = spark.conf.get("spark.syslumen.pii.key", None) or secrets.token_hex(16)
+    return pii.pseudonymise(C.read(spark, sf_dir, "documents"), key).select("doc_id", "n_replaced", "text")
 
 
 def op2_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,21 @@ def test_awkward_rows(spark):
     assert by[2]["text"] == "" and by[2]["n_deleted"] == 0
     assert [r["n_deleted"] for r in rows if r["doc_id"] == 5] == [0, 0]
     assert linededup.dedup(empty(spark)).count() == 0
+
+
+def test_long_texts_of_blank_lines(spark):
+    text = "\n" * 100_000 + "one two three four five six seven eight nine"
+    made = {r["doc_id"]: r for r in linededup.dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string")).collect()}
+    assert made[1]["n_deleted"] == 0 and made[2]["n_deleted"] == 100_001 and made[2]["text"] == ""
+
+
+def test_clashing_columns_and_hot_runs(spark, monkeypatch):
+    monkeypatch.setattr(linededup.C, "HOT_ROWS", 3)
+    line = "one two three four five six seven eight"
+    rows = [(k, f"{line}\n{k} a\n{line}", "x", "y", "z", "n") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, t_ string, gone_ string, __t string, n_lines string")
+    made = linededup.dedup(df)
+    assert made.columns == ["doc_id", "text", "t_", "gone_", "__t", "n_lines", "n_deleted"]
+    got = {r["doc_id"]: r for r in made.collect()}
+    assert got[0]["text"] == f"{line}\n0 a" and all(got[k]["text"] == f"{k} a" and got[k]["t_"] == "x" for k in range(1, 20))
+    assert linededup.dedup(df, counts=False).columns == df.columns

@@ -1,18 +1,22 @@
 import re
 from datetime import date
 
+import pytest
 from helpers import awkward, empty
 from pyspark.sql import functions as F
 
 from syslumen.llm import pii
 
 
+KEY = "for tests"
+
+
 def luhn(s):
     return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(map(int, reversed(s)))) % 10 == 0
 
 
 def made(spark, *texts):
-    rows = pii.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    rows = pii.pseudonymise(spark.createDataFrame([(t,) for t in texts], "text string"), KEY).collect()
     return [(r["text"], r["n_replaced"]) for r in rows]
 
 
@@ -53,16 +57,16 @@ def test_what_fails_its_check_stays(spark):
 
 def test_key_changes_pseudonyms(spark):
     df = spark.createDataFrame([("4111111111111111",)], "text string")
-    assert pii.pseudonymise(df, key="one").head()[0] != pii.pseudonymise(df, key="two").head()[0]
+    assert pii.pseudonymise(df, "one").head()[0] != pii.pseudonymise(df, "two").head()[0]
 
 
 def test_awkward_rows(spark):
     df = awkward(spark)
-    rows = pii.pseudonymise(df).drop("n_replaced")
+    rows = pii.pseudonymise(df, KEY).drop("n_replaced")
     assert rows.columns == df.columns
     key = lambda r: str(r)
     assert sorted(rows.collect(), key=key) == sorted(df.collect(), key=key)
-    assert pii.pseudonymise(empty(spark)).count() == 0
+    assert pii.pseudonymise(empty(spark), KEY).count() == 0
 
 
 # ---- the whole operator in plain Python
@@ -77,7 +81,7 @@ SF = os.environ.get("SYSLUMEN_TEST_SF", "/root/testdata/sf0.001")
 
 
 def digest(*parts):
-    return hashlib.sha256("|".join(map(str, (pii.KEY, *parts))).encode()).hexdigest()
+    return hashlib.sha256("|".join(map(str, (KEY, *parts))).encode()).hexdigest()
 
 
 def permute(x, a, b, kind):
@@ -106,7 +110,8 @@ def plain(m):
         h = digest("email", m.lower())
         return f"user.{h[:12]}@{h[12:20]}.example"
     if re.fullmatch("[0-9A-Fa-f]{32,}", m):
-        made = "".join(digest("secret", i, m.lower()) for i in range((len(m) - 1) // 64 + 1))[: len(m)]
+        base = digest("secret", m.lower())
+        made = "".join(digest("secret", i, base) for i in range((len(m) - 1) // 64 + 1))[: len(m)]
         return made.upper() if m == m.upper() else made
     if re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", m):
         o = [int(x) for x in m.split(".")]
@@ -144,7 +149,7 @@ def test_equals_plain_python_on_whole_texts(spark):
     more = "a@b.cc 1999-01-31 31.12.2000 01/02/1803 300.1.1.1 1.1.1.1 +44 123 456-7890 899-99-9999 001-01-0001 4111-1111-1111-1111 378282246310005 2021-13-01"
     docs = docs.unionByName(spark.createDataFrame([(10**6, more), (10**6 + 1, more.replace(" ", "\n, "))], docs.schema))
     pattern = regex.compile(pii.ANY)
-    for r in pii.pseudonymise(docs).join(docs.withColumnRenamed("text", "own"), "doc_id").collect():
+    for r in pii.pseudonymise(docs, KEY).join(docs.withColumnRenamed("text", "own"), "doc_id").collect():
         assert r["text"] == pattern.sub(lambda m: plain(m[0]), r["own"])
         assert r["n_replaced"] == sum(plain(m) != m for m in pattern.findall(r["own"]))
 
@@ -172,3 +177,27 @@ def test_dates_with_the_month_first(spark):
         assert day > 12 and 1800 <= year < 2200 and date(year, month, day)
     (text, n), = made(spark, "on 12/31/2020 and 13/13/2020")
     assert n == 1 and text.endswith(" and 13/13/2020")
+
+
+def test_long_texts_and_letters_only(spark):
+    host, letters, digits = "a@b" + ".c" * 1_000_000, "abcdefab" * 4, "1" * 1_000_000
+    found = made(spark, host, f"key {letters} here", digits, "+" * 1_000_000, "1." * 1_000_000, "f" * 300_000, "+1 2 3 4 5 6" * 100_000)
+    assert found[0][1] == 1 and found[0][0].endswith(".example")
+    assert found[1][1] == 1 and letters not in found[1][0] and len(found[1][0]) == len(f"key {letters} here")
+    assert found[2][1] == 1 and len(found[2][0]) == len(digits)
+    assert found[3] == ("+" * 1_000_000, 0) and found[4] == ("1." * 1_000_000, 0)
+    assert found[5][1] == 1 and len(found[5][0]) == 300_000
+
+
+def test_marks_within_texts_and_columns_with_inner_names(spark):
+    own = "\x01\x03 4111 1111 1111 1111\x01 and \x01\x02 1999-12-31 \x02"
+    df = spark.createDataFrame([(own, "x", "y", "z")], "text string, parts_ string, MADE_ string, n_replaced string")
+    made_ = pii.pseudonymise(df, KEY)
+    row = made_.head()
+    assert made_.columns == ["text", "parts_", "MADE_", "n_replaced"] and row["n_replaced"] == 2 and row["parts_"] == "x"
+    assert re.fullmatch("\x01\x03 \\d{4} \\d{4} \\d{4} \\d{4}\x01 and \x01\x02 \\d{4}-\\d\\d-\\d\\d \x02", row["text"])
+
+
+def test_a_key_is_asked_for(spark):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(empty(spark), "")
