@@ -121,10 +121,13 @@ def _mapper(ranks: bytes, pattern: str, text: str, keep: list[str], ids: bool):
 
 
 def _run(df: DataFrame, ranks: bytes, pattern: str, text: str, keep: list[str], ids: bool) -> DataFrame:
-    made = "token_ids array<int>, decoded binary" if ids else "ids_sha256 string, decoded_sha256 string"
-    kept = df.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text")
-    return kept.mapInArrow(_mapper(ranks, pattern, "__text", keep, ids), f"{schema}, n_tokens bigint, {made}")
+    made = {"n_tokens": "bigint"} | ({"token_ids": "array<int>", "decoded": "binary"} if ids else {"ids_sha256": "string", "decoded_sha256": "string"})
+    # columns of these names give way; others go by place, whatever their names
+    keep = [k for k in keep if k.lower() not in made]
+    kept = df.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{text}`").cast("string"))
+    kept = kept.toDF(*(f"c{k}" for k in range(len(keep))), "own")
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema if f.name != "own"), *(f"{k} {v}" for k, v in made.items())])
+    return kept.mapInArrow(_mapper(ranks, pattern, "own", kept.columns[:-1], ids), schema).toDF(*keep, *made)
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

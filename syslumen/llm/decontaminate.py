@@ -7,14 +7,17 @@ at most ``MISMATCHES`` places always have one. Around a hit, the words of text a
 are compared one by one, and the pair is a leak if some ``WINDOW`` words in line differ in at most
 ``MISMATCHES`` places (a similarity of 0.8 or more).
 
-The benchmark's seeds are broadcast in blocks of at most ``SEEDS`` rows, whose number is counted first;
-every block passes over the texts once. Items with the same words are one class, named by its smallest id.
-Hits are verified where they are found, so that what is shuffled is a few numbers for each. The number of
-hits of a text follows its length times the items that it resembles; hot passages don't meet in one task.
+A seed of the benchmark carries the ``CONTEXT`` words around it that may decide, so that its size is fixed, whatever the length
+of its item. Seeds are broadcast in blocks of at most ``SEEDS`` rows, whose number is counted first;
+every block passes over the texts once. Hits are looked at where they are found, and what is shuffled is a few numbers for each;
+hot passages don't meet in one task. Whole lines of words are then compared for the texts and items that have hits.
+Items with the same words are one class, named by its smallest id. The number of
+hits of a text follows its length times the items that it resembles.
 
 Defined cases: a null text has no words; items of fewer than ``WINDOW`` words and items with a null id
 give no leaks; repeated rows of a document give its leaks once; a null doc_id may have leaks, under null;
-empty tables give none; other columns are not looked at.
+empty tables give none; other columns are not looked at. ``drop_leaking`` tells rows by doc_id (null too) and text, so that a row
+stays whose id another, leaking row has.
 """
 
 from __future__ import annotations
@@ -28,8 +31,13 @@ WINDOW, MISMATCHES = 13, 2
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 #: Words of a text that are looked at together.
 PIECE = 512
-#: Seeds of the benchmark that are broadcast at a time: with two numbers each, some tens of MB.
-SEEDS = 500_000
+#: Seeds of the benchmark that are broadcast at a time: with their context, some 40 MB.
+SEEDS = 200_000
+#: Words before and after the first of a hit that may be in a stretch with it.
+BEFORE, AFTER = WINDOW - 1 - min(m[-1] for m in MASKS), WINDOW - 1
+CONTEXT = BEFORE + 1 + AFTER
+#: Words of the items that have hits, of which the list is broadcast (8 bytes each).
+LISTED_WORDS = 2_000_000
 
 
 def words(text: Column) -> Column:
@@ -52,28 +60,29 @@ def _seeds(df: DataFrame, coded: str, name: str, low: Column, high: Column) -> D
     return rows.withColumn("seed", F.explode(F.array(*fits))).where("seed is not null")
 
 
-def _pieces(docs: DataFrame, key: str, text: str, margin: int) -> DataFrame:
-    """Texts in pieces of ``PIECE`` words with ``margin`` words on either side, so that no row carries a whole long text.
+def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Texts in pieces of ``PIECE`` words with a margin of ``WINDOW`` words on either side, so that no row carries a whole long text.
 
-    ``doc_id``, ``words``, ``base`` (the place of the first of them), ``low`` and ``high`` (the piece without margins, from the base), ``n``.
+    ``doc_id``, ``h`` (a hash of the text), ``words``, ``base`` (the place of the first of them), ``low`` and ``high`` (the piece without margins, from the base).
     """
-    words = docs.select(F.col(f"`{key}`").alias("doc_id"), _coded(F.col(f"`{text}`")).alias("all"))
+    own = F.col(f"`{text}`")
+    words = docs.select(F.col(f"`{key}`").alias("doc_id"), F.xxhash64(own).alias("h"), _coded(own).alias("all"))
 
     def piece(at: Column) -> Column:
-        base = F.greatest(at - margin, F.lit(0))
-        return F.struct(base.alias("base"), (at - base).alias("low"), F.size("all").alias("n"), F.slice("all", base + 1, PIECE + 2 * margin).alias("words"))
+        base = F.greatest(at - WINDOW, F.lit(0))
+        return F.struct(base.alias("base"), (at - base).alias("low"), F.slice("all", base + 1, PIECE + 2 * WINDOW).alias("words"))
 
     # no filter on the number of words: it would be pushed below the cutting and cut the text again
     starts = F.when(F.size("all") >= WINDOW, F.sequence(F.lit(0), F.size("all") - 1, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
-    rows = words.select("doc_id", F.explode(F.transform(starts, piece)).alias("p")).select("doc_id", "p.*")
+    rows = words.select("doc_id", "h", F.explode(F.transform(starts, piece)).alias("p")).select("doc_id", "h", "p.*")
     return rows.withColumn("high", F.least(F.col("low") + PIECE, F.size("words")))
 
 
 def _close_by() -> Column:
     """Whether one of the stretches that hold a hit's picked words differs in few enough places; written out, so that it compiles."""
-    same = lambda k: F.when(F.get("words", F.col("i") + k) == F.get("item", F.col("j") + k), 1).otherwise(0)
+    same = lambda k: F.when(F.get("words", F.col("i") + k) == F.get("context", F.lit(k + BEFORE)), 1).otherwise(0)
     out = F.lit(False)
-    for start in range(min(m[-1] for m in MASKS) - WINDOW + 1, 1):
+    for start in range(-BEFORE, 1):
         total = same(start)
         for k in range(start + 1, start + WINDOW):
             total = total + same(k)
@@ -87,36 +96,55 @@ def items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Dat
     return rows.where((F.size("item") >= WINDOW) & F.col("item_id").isNotNull()).groupBy("item").agg(F.min("item_id").alias("item_id"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, item_id, matched, item_words``: leaks with the most words in line that agree, over any one alignment."""
-    shared = C.Shared(docs.sparkSession)
-    known = shared.write(items(benchmark), "items")
-    total, longest = known.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)) * len(MASKS), F.coalesce(F.max(F.size("item")), F.lit(WINDOW))).head()
+def _hits(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc_id, h, item_id, shift``: alignments of text and item with a hit around which enough words agree."""
+    total = known.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)) * len(MASKS)).head()[0]
     blocks = max(1, -(-total // SEEDS))
-    pieces = _pieces(docs, key, text, longest)
-    found = None
+    pieces, found = _pieces(docs, key, text), None
     for block in range(blocks):
-        own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        seeds = _seeds(own, "item", "j", F.lit(0), F.size("item")).select("seed", "j", "item_id", "item")
+        # places are dealt to blocks, so that a long item is cut too
+        places = _seeds(known, "item", "j", F.lit(0), F.size("item")).where(F.pmod(F.xxhash64("item_id", "j"), F.lit(blocks)) == block)
+        context = F.array(*(F.get("item", F.col("j") + k) for k in range(-BEFORE, AFTER + 1)))
+        seeds = places.select("seed", "j", "item_id", context.alias("context"))
         hits = _seeds(pieces, "words", "i", F.col("low"), F.col("high")).join(F.broadcast(seeds), "seed")
-        shift = F.col("i") + F.col("base") - F.col("j")
-        start = F.greatest(-shift, F.lit(0))
-        long = F.least(F.size("item"), F.col("n") - shift) - start
-        # the words in line go along, and no others
-        line = F.slice("words", start + shift - F.col("base") + 1, long)
-        part = hits.where((long >= WINDOW) & _close_by()).select("doc_id", "item_id", shift.alias("shift"), F.size("item").alias("item_words"), F.slice("item", start + 1, long).alias("x"), line.alias("y")).distinct()
+        part = hits.where(_close_by()).select("doc_id", "h", "item_id", (F.col("i") + F.col("base") - F.col("j")).alias("shift")).distinct()
         found = part if found is None else found.union(part)
-    agree = F.array_join(F.zip_with("x", "y", lambda a, b: F.when(a == b, "1").otherwise("0")), "")
-    found = found.select("doc_id", "item_id", "item_words", agree.alias("agree"))
-    ones = lambda s: F.length(F.translate(s, "0", ""))
-    close = F.exists(F.sequence(F.lit(1), F.length("agree") - (WINDOW - 1)), lambda s: ones(F.substr(F.col("agree"), s, F.lit(WINDOW))) >= WINDOW - MISMATCHES)
-    return found.where(close).groupBy("doc_id", "item_id", "item_words").agg(F.max(ones(F.col("agree"))).alias("matched"))
+    return found.distinct() if blocks > 1 else found
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc_id, h, item_id, item_words, matched`` for the alignments that are leaks."""
+    shared, own = C.Shared(docs.sparkSession), F.col(f"`{text}`")
+    known = shared.write(items(benchmark), "items")
+    hits = shared.write(_hits(docs, known, key, text), "hits")
+    asked = C.listed(shared, hits.select("doc_id", "h").distinct(), "texts")
+    rows = docs.select(F.col(f"`{key}`").alias("d"), F.xxhash64(own).alias("g"), own.alias("own"))
+    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("h"))
+    here = rows.join(asked, same, "left_semi").select("d", "g", _coded(F.col("own")).alias("all"))
+    here = here.select("d", "g", F.size("all").alias("n"), F.posexplode("all").alias("pos", "word")).distinct()
+    used = known.join(hits.select("item_id").distinct(), "item_id", "left_semi").select("item_id", F.size("item").alias("item_words"), F.posexplode("item").alias("j", "own"))
+    used = shared.write(used, "used")
+    if used.count() <= LISTED_WORDS:
+        used = F.broadcast(used)
+    line = hits.join(used, "item_id").withColumn("at", F.col("j") + F.col("shift"))
+    agree = line.join(here, same & (F.col("at") == F.col("pos")) & (F.col("own") == F.col("word")))
+    agree = agree.groupBy("doc_id", "h", "item_id", "item_words", "shift", "n").agg(F.array_sort(F.collect_list("j")).alias("js"))
+    long = F.least(F.col("item_words"), F.col("n") - F.col("shift")) - F.greatest(-F.col("shift"), F.lit(0))
+    # so many words that agree, within a stretch
+    many = WINDOW - MISMATCHES
+    close = F.exists(F.zip_with(F.slice("js", many, F.greatest(F.size("js") - many + 1, F.lit(0))), "js", lambda x, y: x - y), lambda span: span < WINDOW)
+    return agree.where((F.size("js") >= many) & (long >= WINDOW) & close).select("doc_id", "h", "item_id", "item_words", F.size("js").alias("matched"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, item_id, matched, item_words``: leaks with the most words in line that agree, over any one alignment."""
+    return _matches(docs, benchmark, key, text).groupBy("doc_id", "item_id", "item_words").agg(F.max("matched").alias("matched"))
 
 
 def drop_leaking(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` without those that leak; all columns stay. Rows with a null key stay."""
-    gone = leaks(df, benchmark, key, text).select(F.col("doc_id").alias(key)).distinct()
-    return df.join(gone, key, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    """The rows of ``df`` without those that leak; all columns stay."""
+    gone = _matches(df, benchmark, key, text).select("doc_id", "h").distinct()
+    return C.of_list(df, C.listed(C.Shared(df.sparkSession), gone, "gone"), key, text, "left_anti")
 
 
 #: The same by comparing all words that text and item share, in DuckDB.

@@ -5,11 +5,11 @@ text) that both hold, divided by the geometric mean of each text's own number: t
 presence kernel, normalised. N-grams are held as one of ``BUCKETS`` hash values.
 
 Fitting takes a bounded sample: at most ``LANDMARKS`` landmarks and ``TRAIN`` training rows, shared evenly
-over the languages and chosen by a hash of key and text. Nystroem features are the kernel with the landmarks
+over the languages and chosen by a hash of key and text; every language has one at least, however many there are. Nystroem features are the kernel with the landmarks
 times the inverse square root of the landmarks' own kernel matrix; kernel ridge regression, one language
 against the rest, is then ridge on those features. As the kernel is linear in a text's presence vector,
 landmarks, square root and ridge weights fold into one matrix (buckets by languages), and a block of texts is
-scored by one product of its sparse presence rows with that matrix.
+scored by one product of its sparse presence rows with that matrix, which takes half a MB for each language.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; languages that are null are
 not learned from; without any labelled row every text is ``und`` with score 0; repeated rows are scored
@@ -31,11 +31,9 @@ C.by_value(__name__)
 
 LONGEST = 4
 BUCKETS = 1 << 17
-#: Bounds of the sample that the model is fitted on, over all languages.
+#: Bounds of the sample that the model is fitted on, over all languages; with more languages than that, one row and one landmark of each.
 LANDMARKS = 128
 TRAIN = 2000
-#: Languages that are learned: those with the most rows, if there are more.
-LANGUAGES = 256
 RIDGE = 1e-2
 #: Softmax sharpness of the regression outputs (targets are -1 and 1).
 SHARP = 4.0
@@ -103,13 +101,13 @@ def sample(labelled: DataFrame, most: int) -> tuple[DataFrame, list[str]]:
     Each language's share of the hash range follows its number of rows, so no group is gathered to be sampled.
     The hash takes in the key, so that copies of one text aren't all sampled or none.
     """
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    at = F.pmod(F.xxhash64("key", "text", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    sizes = {r["lang"]: (r["n"], r["low"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(at).alias("low")).collect()}
     if not sizes:
         return labelled.limit(0), []
     share = most / len(sizes)
-    cuts = [(k, min(1.0, share / n)) for k, n in sorted(sizes.items())]
+    cuts = [(k, max(min(1.0, share / n), low + 2.0**-21)) for k, (n, low) in sorted(sizes.items())]
     table = labelled.sparkSession.createDataFrame(cuts, "lang string, cut double")
-    at = F.pmod(F.xxhash64("key", "text", F.lit("sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     # rows that are alike in all of it count once, so that their number doesn't matter
     return labelled.join(F.broadcast(table), "lang").where(at < F.col("cut")).drop("cut").distinct(), [k for k, _ in cuts]
 

@@ -242,7 +242,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
     count = packed.count()
     some = asked.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) <= F.lit(int(min(1.0, SAMPLE / max(asked.count(), 1)) * (1 << 20))))
     some = shared.write(some, "sample")
-    hasher, probes = _fitted(count, _scan(packed, some, dim, k), some, packed, dim)
+    hasher, probes = _fitted(count, _scan(packed, some, dim, k, shared, "sample"), some, packed, dim)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,12 +292,12 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
     found = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(meet, _OUT).distinct()  # a pair's score is the same in each table
     found = shared.write(found, "found")
     short = asked.join(found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= min(k, max(count - 1, 0))), "id", "left_anti")
-    found = found.union(_scan(packed, shared.write(short, "short"), dim, k))
+    found = found.union(_scan(packed, shared.write(short, "short"), dim, k, shared, "short"))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(packed: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
+def _scan(packed: DataFrame, queries: DataFrame, dim: int, k: int, shared: C.Shared, name: str) -> DataFrame:
     """Exact answers of these few queries, in blocks that each pass over all rows."""
     count = queries.count()
     blocks = -(-count // BLOCK)
@@ -314,5 +314,6 @@ def _scan(packed: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
                 yield from best.table().to_batches()
 
         if len(own):
-            out = out.union(packed.select("v", "ids").mapInArrow(run, _OUT))
+            # written at once, so that the driver holds the queries of one block only
+            out = out.union(shared.write(packed.select("v", "ids").mapInArrow(run, _OUT), f"scan-{name}-{block}"))
     return out

@@ -38,9 +38,9 @@ VOCABULARY = 20_000
 BEGINNINGS = (3, 4, 5, 6)
 #: What is added to counts before log-odds are taken, so that rare words don't count much.
 SMOOTH = 2.0
-#: Bounds of the sample that is fitted on: rows with label 1 and with label 0, bytes of a row.
+#: Bounds of the sample that is fitted on: rows with label 1 and with label 0, characters of a row; of longer texts, so many stretches from all over.
 TRAIN, TRAIN_CLEAN = 1500, 3000
-TRAIN_BYTES = 1 << 15
+TRAIN_CHARS, STRETCHES = 1 << 15, 16
 ROUNDS, EPOCHS, BATCH, RATE, DECAY = 4, 3, 64, 0.02, 1e-3
 #: Shares of words and of beginnings that are hidden while training.
 HIDE_WORDS, HIDE_STARTS = 0.5, 0.2
@@ -326,7 +326,10 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "tex
     fold = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 24)) / F.lit(float(1 << 24))
     cut = F.when(F.col("y") == 1, F.lit(TRAIN / sizes[1])).otherwise(F.lit(TRAIN_CLEAN / sizes[0]))
     picked = one.where(fold < cut)
-    docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.lower(F.col(f"`{text}`")).cast("binary").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
+    own, each = F.lower(F.col(f"`{text}`")), TRAIN_CHARS // STRETCHES
+    at = lambda k: (F.floor(k * (F.length(own) - each) / (STRETCHES - 1)) + 1).cast("int")
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substr(own, at(k), F.lit(each))), " ")
+    docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.when(F.length(own) > TRAIN_CHARS, spread).otherwise(own).cast("binary").alias("text")).where("text is not null")
     # the sample has about TRAIN + TRAIN_CLEAN rows of two numbers
     # a doc_id that many rows share gives one
     picked = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))

@@ -70,3 +70,14 @@ def test_awkward_rows(spark):
     assert D.leaks(awkward(spark), bench.limit(0)).count() == 0
     kept = D.drop_leaking(awkward(spark), bench)
     assert kept.columns == awkward(spark).columns and kept.count() == 7
+
+
+def test_a_long_item_and_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(D, "SEEDS", 10_000)
+    rng = random.Random(6)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    rows = [(1, " ".join(["before", *item[9000:9100]])), (1, "another text of this id"), (2, "x"), (None, " ".join(item[5:40]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {tuple(r) for r in D.leaks(docs, bench).collect()} == {(1, 1, 20_000, 100), (None, 1, 20_000, 35)}
+    assert sorted(r["text"] for r in D.drop_leaking(docs, bench).collect()) == ["another text of this id", "x"]

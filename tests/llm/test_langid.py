@@ -4,6 +4,9 @@ import numpy as np
 import pytest
 from helpers import awkward, empty
 
+from pyspark.sql import functions as F
+
+from syslumen.llm import _common as C
 from syslumen.llm import langid as G
 
 ALPHABETS = {"aa": "abcd", "bb": "befg", "cc": "hijé"}
@@ -64,3 +67,21 @@ def test_awkward_rows(spark, docs):
     assert by[4]["lang_pred"] != "und"
     assert all(r["lang_pred"] == "und" for r in G.identify(awkward(spark).selectExpr("doc_id", "text", "cast(null as string) as lang")).collect())
     assert G.identify(empty(spark)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(9)
+    rows = []
+    for lang in range(300):
+        letters = [chr(rng.randrange(0x400, 0x2000)) for _ in range(6)]
+        rows += [(0, "".join(rng.choice(letters) for _ in range(60)), f"l{lang}") for _ in range(8 if lang else 2000)]
+    docs = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    found = G.identify(docs).join(docs, "doc_id")
+    assert found.select("lang_pred").distinct().count() >= 290
+    assert found.where("lang = lang_pred").count() >= 0.9 * len(rows)
+
+
+def test_held_out_labels_change_nothing(spark, docs):
+    other = docs.withColumn("lang", F.when(C.remainder("doc_id", 5) == 0, "zz").otherwise(F.col("lang")))
+    a, b = (sorted(map(tuple, G.identify(d).collect())) for d in (docs, other))
+    assert a == b
