@@ -45,7 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = C.file_bytes(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.with_digest(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
+    return bpe.with_digest(docs, ranks, public_tokenizers.PATTERN, keep=[c for c in ("doc_id", "lang", "source") if c in docs.columns])
 
 
 STAGES = [
