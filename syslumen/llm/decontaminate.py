@@ -80,7 +80,7 @@ def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _close_by() -> Column:
     """Whether one of the stretches that hold a hit's picked words differs in few enough places; written out, so that it compiles."""
-    same = lambda k: F.when(F.get("words", F.col("i") + k) == F.get("context", F.lit(k + BEFORE)), 1).otherwise(0)
+    same = lambda k: F.when(F.get("line", F.lit(k + BEFORE)) == F.get("context", F.lit(k + BEFORE)), 1).otherwise(0)
     out = F.lit(False)
     for start in range(-BEFORE, 1):
         total = same(start)
@@ -96,7 +96,11 @@ def items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Dat
     return rows.where((F.size("item") >= WINDOW) & F.col("item_id").isNotNull()).groupBy("item").agg(F.min("item_id").alias("item_id"))
 
 
-def _hits(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+def _around(coded: str, at: str) -> Column:
+    return F.array(*(F.get(coded, F.col(at) + k) for k in range(-BEFORE, AFTER + 1)))
+
+
+def _hits(docs: DataFrame, known: DataFrame, key: str, text: str, shared: C.Shared) -> DataFrame:
     """``doc_id, h, item_id, shift``: alignments of text and item with a hit around which enough words agree."""
     total = known.agg(F.coalesce(F.sum(F.size("item")), F.lit(0)) * len(MASKS)).head()[0]
     blocks = max(1, -(-total // SEEDS))
@@ -104,19 +108,20 @@ def _hits(docs: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
     for block in range(blocks):
         # places are dealt to blocks, so that a long item is cut too
         places = _seeds(known, "item", "j", F.lit(0), F.size("item")).where(F.pmod(F.xxhash64("item_id", "j"), F.lit(blocks)) == block)
-        context = F.array(*(F.get("item", F.col("j") + k) for k in range(-BEFORE, AFTER + 1)))
-        seeds = places.select("seed", "j", "item_id", context.alias("context"))
+        seeds = places.select("seed", "j", "item_id", _around("item", "j").alias("context"))
         hits = _seeds(pieces, "words", "i", F.col("low"), F.col("high")).join(F.broadcast(seeds), "seed")
-        part = hits.where(_close_by()).select("doc_id", "h", "item_id", (F.col("i") + F.col("base") - F.col("j")).alias("shift")).distinct()
+        part = hits.select("doc_id", "h", "item_id", (F.col("i") + F.col("base") - F.col("j")).alias("shift"), _around("words", "i").alias("line"), "context")
+        # written before they are looked at: both in one stage make code that isn't compiled
+        part = shared.write(part, f"hits-{block}").where(_close_by()).select("doc_id", "h", "item_id", "shift")
         found = part if found is None else found.union(part)
-    return found.distinct() if blocks > 1 else found
+    return found.distinct()
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:
     """``doc_id, h, item_id, item_words, matched`` for the alignments that are leaks."""
     shared, own = C.Shared(docs.sparkSession), F.col(f"`{text}`")
     known = shared.write(items(benchmark), "items")
-    hits = shared.write(_hits(docs, known, key, text), "hits")
+    hits = shared.write(_hits(docs, known, key, text, shared), "hits")
     asked = C.listed(shared, hits.select("doc_id", "h").distinct(), "texts")
     rows = docs.select(F.col(f"`{key}`").alias("d"), F.xxhash64(own).alias("g"), own.alias("own"))
     same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("g") == F.col("h"))
