@@ -256,6 +256,11 @@ def content_hash(*fields: Column) -> Column:
     return F.sha2(F.concat(*(p for f in own for p in (F.octet_length(f).cast("string"), F.lit(":"), f))), 256)
 
 
+def stable_key(entry_type: Column, module: Column, brief: Column, trap_oid: Column, alarm_id: Column) -> Column:
+    """What tells an entry from others whatever the document's version: its five naming fields, as in ``content_hash``."""
+    return content_hash(entry_type, module, brief, trap_oid, alarm_id)
+
+
 def local_hash(module: Column, brief: Column) -> Column:
     return F.sha2(F.concat(F.lit("local|"), F.upper(F.trim(module)), F.lit("|"), F.trim(brief)), 256)
 

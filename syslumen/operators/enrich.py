@@ -58,7 +58,7 @@ def with_knowledge(logs: DataFrame, knowledge: DataFrame, documents: DataFrame |
     out = out.withColumns({f"{t}_text": P.rendered(F.col(t), F.col("parameters")) for t in texts if t in known.columns})
     if documents is not None:
         names = documents.select(F.col("id").alias("matched_document_id"), F.col("name").alias("document_name"))
-        out = out.join(F.broadcast(names), "matched_document_id", "left")
+        out = out.join(broadcast_if_small(names), "matched_document_id", "left")
     return out
 
 

@@ -132,6 +132,32 @@ def _target(sigs: DataFrame) -> DataFrame:
     return sigs.withColumns({"product_u": F.upper("product"), "version_u": F.upper("version"), "version_n": S.version_numbers(F.col("version")), "family_t": S.product_family(F.col("product"))})
 
 
+def cache_key() -> Column:
+    """A number for all that decides a log's match, for rows of ``signatures``."""
+    return F.xxhash64(*(F.col(c) for c in _BODY))
+
+
+def exact_candidates(sigs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``signatures`` with the entries of the same name."""
+    return sigs.join(known, (F.col("module_u") == F.col("k_module")) & (F.col("brief_u") == F.col("k_brief")))
+
+
+def local_candidates(sigs: DataFrame, known: DataFrame) -> DataFrame:
+    return exact_candidates(sigs, known.where("k_local"))
+
+
+def stem_candidates(sigs: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with the entries of the same event under another suffix that doesn't contradict."""
+    stems = sigs.withColumns({"stem": stem(F.col("brief_u")), "polarity": polarity(F.col("brief_u"))})
+    return stems.join(known, (F.col("module_u") == F.col("k_module")) & (F.col("stem") == F.col("k_stem")) & (F.col("brief_u") != F.col("k_brief")) & (F.col("polarity") * F.col("k_polarity") >= 0))
+
+
+def template_candidates(rows: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with first words ``h`` and the module's templates that their body is like."""
+    templates = known.where("k_pattern is not null").drop("k_stem", "k_polarity")
+    return rows.join(templates, (F.col("h") == F.col("k_head")) & (F.col("module_u") == F.col("k_module")) & F.rlike("message_body", "k_pattern"), how)
+
+
 _TARGET = ["product_u", "version_u", "version_n", "family_t"]
 
 
@@ -145,7 +171,6 @@ def match(logs: DataFrame, knowledge: DataFrame, overrides: DataFrame | None = N
     own = signatures(logs)
     bodies = own.select(*_BODY).distinct()
     sigs = _target(bodies.select(*_SIG).distinct())
-    same_name = (F.col("module_u") == F.col("k_module")) & (F.col("brief_u") == F.col("k_brief"))
     answer = lambda name, *more: F.struct("k_id", F.col("k_family").alias("family"), F.col("versions").alias("v"), *more).alias(name)
     # tier 0: overrides and local entries
     tier0 = known.where("k_local").groupBy(F.col("k_module").alias("module_u"), F.col("k_brief").alias("brief_u")).agg(F.min_by(answer("x"), "k_id").alias("t_local"))
@@ -156,17 +181,15 @@ def match(logs: DataFrame, knowledge: DataFrame, overrides: DataFrame | None = N
     else:
         rows = rows.withColumn("t_bound", F.when(F.lit(False), F.col("t_local")))
     # tier 1: the best entry of the same name, if it is consistent with the body
-    exact = best(sigs.join(known, same_name), _SIG).select(*_SIG, answer("t_exact", "k_severity", "k_pattern"))
+    exact = best(exact_candidates(sigs, known), _SIG).select(*_SIG, answer("t_exact", "k_severity", "k_pattern"))
     # tier 2: the same event under another suffix, the bare one first
-    stems = sigs.withColumns({"stem": stem(F.col("brief_u")), "polarity": polarity(F.col("brief_u"))})
-    akin = stems.join(known, (F.col("module_u") == F.col("k_module")) & (F.col("stem") == F.col("k_stem")) & (F.col("brief_u") != F.col("k_brief")) & (F.col("polarity") * F.col("k_polarity") >= 0))
-    akin = best(akin, _SIG, (F.col("k_brief") == F.col("stem")).desc()).select(*_SIG, answer("t_akin"))
+    akin = best(stem_candidates(sigs, known), _SIG, (F.col("k_brief") == F.col("stem")).desc()).select(*_SIG, answer("t_akin"))
     rows = rows.join(exact, _SIG, "left").join(akin, _SIG, "left")
     rows = rows.withColumns({"k_severity": F.col("t_exact.k_severity"), "k_pattern": F.col("t_exact.k_pattern")}).withColumn("consistency", F.when(F.col("t_exact").isNotNull(), consistency())).drop("k_severity", "k_pattern")
     open_ = F.col("t_local").isNull() & F.col("t_bound").isNull() & F.col("t_akin").isNull() & (F.coalesce("consistency", F.lit(0.0)) < LEAST_EXACT)
     # tier 3: a template of the module that the body is like; the first word narrows it, templates that begin with a place are tried too
     heads = F.when(open_, F.array_distinct(F.array(head(F.col("message_body")), F.lit("")))).otherwise(F.array(F.lit(None).cast("string")))
-    tried = _target(rows).withColumn("h", F.explode(heads)).join(known.where("k_pattern is not null").drop("k_stem", "k_polarity"), (F.col("h") == F.col("k_head")) & (F.col("module_u") == F.col("k_module")) & F.rlike("message_body", "k_pattern"), "left")
+    tried = template_candidates(_target(rows).withColumn("h", F.explode(heads)), known, "left")
     rows = best(tried, _BODY, F.col("k_id").isNull().asc()).withColumn("t_like", F.when(F.col("k_id").isNotNull(), answer("x"))).select(*rows.columns, "t_like")
     if with_search:
         found = _searched(_target(rows.where(open_ & F.col("t_like").isNull())), knowledge, known, answer)
@@ -200,7 +223,8 @@ def _searched(left: DataFrame, knowledge: DataFrame, known: DataFrame, answer) -
     asked = left.where(worth_searching(F.col("brief_u"), F.col("message_body"))).select(*_BODY, *_TARGET).withColumn("query", F.xxhash64(*_BODY))
     text = F.concat_ws(" ", "brief_u", F.substring("message_body", 1, 256))
     postings = search.index(knowledge.withColumn("doc", F.col("k_id")), "doc", "k_brief", "k_message", "description", "cause", "action")
-    ranked = search.scores(postings, asked.select("query", text.alias("text")), None)
+    postings = postings.join(known.select(F.col("k_id").alias("doc"), F.col("k_module").alias("module_u")), "doc")
+    ranked = search.scores(postings, asked.select("query", "module_u", text.alias("text")), None, within="module_u")
     pairs = asked.join(ranked.withColumnRenamed("doc", "k_id"), "query").join(known, "k_id").where((F.col("k_module") == F.col("module_u")) & (F.col("score") >= SEARCH_LEAST) & ~conflicts(F.col("k_family"), F.col("wireless"), F.col("wired")))
     top = Window.partitionBy("query").orderBy(F.desc("score"), "k_id")
     pairs = pairs.withColumn("__r", F.row_number().over(top)).where(F.col("__r") <= 10).drop("__r")
@@ -214,4 +238,4 @@ def with_context(logs: DataFrame, devices: DataFrame, override: str = "") -> Dat
     """``product``: the device's type unless it is a generic word, else the family that the host's name tells, the override, the neutral one."""
     kinds = devices.select("device_id", F.when(~F.lower("device_type").isin("", "router", "switch", "firewall", "other", "unassigned"), F.col("device_type")).alias("__type"))
     family = F.nullif(S.product_family(F.col("hostname")), F.lit("UNKNOWN"))
-    return logs.join(F.broadcast(kinds), "device_id", "left").withColumn("product", F.coalesce("__type", family, F.nullif(F.lit(override), F.lit("")), F.lit("Huawei-VRP"))).drop("__type")
+    return logs.join(broadcast_if_small(kinds), "device_id", "left").withColumn("product", F.coalesce("__type", family, F.nullif(F.lit(override), F.lit("")), F.lit("Huawei-VRP"))).drop("__type")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syslumen.operators.windows import overlapping_windows
-from syslumen.session import micros
+from syslumen.session import broadcast_if_small, micros
 
 
 @dataclass(frozen=True)
@@ -131,8 +131,11 @@ def analyse(logs: DataFrame, rules: list[Edge] | None = None, most_events: int =
     own = logs.select("id", subject().alias("subject"), F.upper("module").alias("module"), F.upper("brief").alias("brief"), "severity", "parameters_json", micros("timestamp").alias("us")).where("us IS NOT NULL")
     windows = overlapping_windows(own, WINDOW_S, OVERLAP_S)
     modules = sorted({m for e in rules for m in (*e.from_modules, *e.to_modules)})
-    # a log stands in its window and the next one at most: both ids are found from the starts, whose number follows the time span
-    placed = own.where(F.col("module").isin(*modules)).join(F.broadcast(windows), (F.col("us") >= F.col("start_us")) & (F.col("us") <= F.col("end_us")))
+    # a window touches two slots of its length, so that logs find theirs by an equal slot
+    length = WINDOW_S * 1_000_000
+    slot = lambda c: F.floor(F.col(c) / length)
+    slotted = windows.withColumn("slot", F.explode(F.array_distinct(F.array(slot("start_us"), slot("end_us")))))
+    placed = own.where(F.col("module").isin(*modules)).withColumn("slot", slot("us")).join(slotted, "slot").where((F.col("us") >= F.col("start_us")) & (F.col("us") <= F.col("end_us"))).drop("slot")
     actions = ACTIONS
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,7 +211,7 @@ def one_hop(logs: DataFrame, edge: Edge, within_s: int = WINDOW_S) -> DataFrame:
 def enriched(events: DataFrame, logs: DataFrame, devices: DataFrame) -> DataFrame:
     """Events with their logs' raw lines and the device's name: lists are exploded, joined and gathered again."""
     rows = events.select("root_id", F.posexplode("correlated_ids").alias("place", "id")).join(logs.select("id", "raw_log", "device_id"), "id")
-    rows = rows.join(F.broadcast(devices.select("device_id", "device_name")), "device_id", "left")
+    rows = rows.join(broadcast_if_small(devices.select("device_id", "device_name")), "device_id", "left")
     made = rows.groupBy("root_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "raw_log", "device_name"))).alias("logs"))
     return events.join(made, "root_id", "left")
 

@@ -28,12 +28,14 @@ def index(docs: DataFrame, key: str, *fields: str) -> DataFrame:
     return rows.groupBy("doc", "token", "length").agg(F.count("*").alias("tf"))
 
 
-def scores(postings: DataFrame, queries: DataFrame, k: int | None = 10) -> DataFrame:
+def scores(postings: DataFrame, queries: DataFrame, k: int | None = 10, within: str | None = None) -> DataFrame:
     """``query, doc, score, hits``: for rows ``query, text`` the best documents by BM25 (all with a common token if k is None).
 
-    Query tokens are joined with postings on the token, so that only lists of tokens that are asked for move.
+    Query tokens are joined with postings on the token, so that only lists of tokens that are asked for move; with ``within``,
+    a column of both, only on postings of the query's own.
     """
-    asked = queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    own_part = [within] if within else []
+    asked = queries.select("query", *own_part, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
     stats = postings.select("doc", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     wanted = asked.select("token").distinct()
     own = postings.join(wanted, "token", "left_semi")
@@ -41,7 +43,7 @@ def scores(postings: DataFrame, queries: DataFrame, k: int | None = 10) -> DataF
     hits = own.join(df, "token").crossJoin(F.broadcast(stats))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    made = hits.select("token", "doc", part.alias("part")).join(asked, "token").groupBy("query", "doc").agg(F.sum("part").alias("score"), F.count("*").alias("hits"))
+    made = hits.select("token", "doc", *own_part, part.alias("part")).join(asked, ["token", *own_part]).groupBy("query", "doc").agg(F.sum("part").alias("score"), F.count("*").alias("hits"))
     if k is None:
         return made
     from pyspark.sql import Window

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from syslumen.session import broadcast_if_small
+
 
 def usage(tags: DataFrame, relations: DataFrame) -> DataFrame:
     return tags.join(relations, "tag_id", "left").groupBy("tag_id", "name").agg(F.count("log_id").alias("logs"))
@@ -13,7 +15,7 @@ def usage(tags: DataFrame, relations: DataFrame) -> DataFrame:
 def tags_of_logs(logs: DataFrame, tags: DataFrame, relations: DataFrame) -> DataFrame:
     """``logs`` with ``tags``, an array ordered by tag id (empty without any); rows aren't multiplied."""
     ids = logs.select(F.col("id").alias("log_id"))
-    own = relations.join(ids, "log_id", "left_semi").join(F.broadcast(tags), "tag_id")
+    own = relations.join(ids, "log_id", "left_semi").join(broadcast_if_small(tags), "tag_id")
     listed = own.groupBy(F.col("log_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("tag_id", "name", "color"))).alias("tags"))
     return logs.join(listed, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<struct<tag_id:bigint,name:string,color:string>>")))
 
@@ -46,7 +48,7 @@ def delete_file(logs: DataFrame, relations: DataFrame, source_file: str) -> tupl
 def assign_devices(logs: DataFrame, devices: DataFrame) -> DataFrame:
     """Rows without a device get the one that is named like their host; others keep theirs."""
     names = devices.where("device_name <> ''").groupBy(F.col("device_name").alias("__host")).agg(F.min("device_id").alias("__device"))
-    out = logs.join(F.broadcast(names), F.trim("hostname") == F.col("__host"), "left")
+    out = logs.join(broadcast_if_small(names), F.trim("hostname") == F.col("__host"), "left")
     return out.withColumn("device_id", F.when(F.coalesce("device_id", F.lit(0)) == 0, F.coalesce("__device", F.lit(0))).otherwise(F.col("device_id"))).drop("__host", "__device")
 
 

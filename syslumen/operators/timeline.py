@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from syslumen.session import broadcast_if_small
+
 from syslumen.operators import aggregates as A
 from syslumen.operators import windows as W
 from syslumen.plans import filters as P
@@ -37,7 +39,7 @@ def timeline(logs: DataFrame, devices: DataFrame, limit: int = 500, **restrictio
     first = P.order(multi_device_logs(logs, **restrictions)).limit(limit)
     names = devices.select("device_id", F.nullif("device_name", F.lit("")).alias("named"))
     host = F.nullif("hostname", F.lit(""))
-    joined = first.join(F.broadcast(names), "device_id", "left").withColumn("device_name", F.coalesce("named", host, F.concat(F.lit("device-"), F.col("device_id").cast("string"))))
+    joined = first.join(broadcast_if_small(names), "device_id", "left").withColumn("device_name", F.coalesce("named", host, F.concat(F.lit("device-"), F.col("device_id").cast("string"))))
     return P.order(joined.drop("named"))
 
 

@@ -314,6 +314,11 @@ def page(logs: DataFrame, number: int = 1, size: int = 50, sort_by: str = "times
     return order(logs, sort_by, direction).offset((max(number, 1) - 1) * size).limit(size)
 
 
+def page_with_total(logs: DataFrame, **asked) -> DataFrame:
+    """A page's rows, each with ``total``, the number of rows on all pages; the count is one row that goes along."""
+    return page(logs, **asked).crossJoin(F.broadcast(logs.agg(F.count("*").alias("total"))))
+
+
 def export_rows(logs: DataFrame, most: int = 100_000) -> DataFrame:
     """All rows in log order; more than ``most`` are an error."""
     if logs.limit(most + 1).count() > most:

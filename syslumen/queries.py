@@ -29,6 +29,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from syslumen import query_aggregates, query_filters, query_knowledge, query_more, query_rest, query_text  # noqa: F401
+    from syslumen import query_aggregates, query_filters, query_knowledge, query_more, query_rest, query_services, query_text  # noqa: F401
 
     return QUERIES, ORACLES

@@ -240,31 +240,21 @@ def win02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.correlated_clusters(L.logs(spark, sf_dir), gap_s=900, timeline_limit=None)
 
 
-_CHAIN = """WITH RECURSIVE t AS (SELECT DISTINCT epoch_us(ts) AS us FROM events WHERE event_id < 2000 AND event_id % 101 <> 0), c(w, s) AS (SELECT 0, min(us) FROM t UNION ALL SELECT w + 1, (SELECT min(us) FROM t WHERE us {cmp} c.s + {step}000000) FROM c WHERE (SELECT min(us) FROM t WHERE us {cmp} c.s + {step}000000) IS NOT NULL) SELECT w AS "window", s AS start_us, s + 300000000 AS end_us FROM c"""
+_CHAIN = """WITH RECURSIVE t AS (SELECT DISTINCT epoch_us(ts) AS us FROM events WHERE event_id % 101 <> 0), c(w, s) AS (SELECT 0, min(us) FROM t UNION ALL SELECT w + 1, (SELECT min(us) FROM t WHERE us {cmp} c.s + {step}000000) FROM c WHERE (SELECT min(us) FROM t WHERE us {cmp} c.s + {step}000000) IS NOT NULL) SELECT w AS "window", s AS start_us, s + 300000000 AS end_us FROM c"""
 
 
 @query("win03_overlapping_windows", _CHAIN.format(cmp=">=", step=240))
 def win03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = L.logs(spark, sf_dir).where("id <= 2000")
+    own = L.logs(spark, sf_dir)
     return W.overlapping_windows(own.select(micros("timestamp").alias("us")))
 
 
 @query("win04_tumbling_windows", _CHAIN.format(cmp=">", step=300))
 def win04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = L.logs(spark, sf_dir).where("id <= 2000")
+    own = L.logs(spark, sf_dir)
     return W.overlapping_windows(own.select(micros("timestamp").alias("us")), overlap_s=0)
 
 
-@query("win03_whole_overlapping_windows")
-def win03_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.overlapping_windows(L.logs(spark, sf_dir).select(micros("timestamp").alias("us")))
-
-
-@query("win04_whole_tumbling_windows")
-def win04_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.overlapping_windows(L.logs(spark, sf_dir).select(micros("timestamp").alias("us")), overlap_s=0)
-
-
 @query("win09_recent_views", "WITH v AS (SELECT user_id, value AS viewed, CAST(event_id % 90 AS BIGINT) AS knowledge_id FROM events), l AS (SELECT user_id, knowledge_id, max(viewed) AS viewed FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY viewed DESC, knowledge_id) AS r FROM l) SELECT user_id, knowledge_id, viewed FROM r WHERE r <= 50")
 def win09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.recent(read(spark, sf_dir, "events").selectExpr("user_id", "event_id % 90 AS knowledge_id", "value AS viewed"))

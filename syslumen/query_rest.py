@@ -98,40 +98,30 @@ def join05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("join11_exact_candidates", f"{KB} SELECT l.id, k.id AS k_id FROM logs l JOIN k ON upper(l.module) = upper(k.module) AND upper(l.brief) = upper(k.brief)")
 def join11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = F.broadcast(prepared(spark).select("k_id", "k_module", "k_brief"))
-    return L.logs(spark, sf_dir).join(known, (F.upper("module") == F.col("k_module")) & (F.upper("brief") == F.col("k_brief"))).select("id", "k_id")
+    return matching.exact_candidates(matching.signatures(L.logs(spark, sf_dir)), prepared(spark)).select("id", "k_id")
 
 
-@query("join12_stem_candidates", f"{KB} SELECT l.id, k.id AS k_id FROM logs l JOIN k ON l.module = k.module AND regexp_replace(upper(l.brief), '_(ACTIVE|DOWN|UP)$', '') = regexp_replace(upper(k.brief), '_(ACTIVE|DOWN|UP)$', '') WHERE l.module = 'BGP'")
+@query("join12_stem_candidates", f"{KB} SELECT l.id, k.id AS k_id FROM logs l JOIN k ON l.module = k.module AND regexp_replace(upper(l.brief), '_(ACTIVE|DOWN|UP)$', '') = regexp_replace(upper(k.brief), '_(ACTIVE|DOWN|UP)$', '') AND upper(l.brief) <> upper(k.brief) WHERE l.module = 'BGP'")
 def join12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = L.logs(spark, sf_dir).where("module = 'BGP'").withColumns({"stem": matching.stem(F.col("brief")), "polarity": matching.polarity(F.col("brief"))})
-    known = F.broadcast(prepared(spark).select("k_id", "k_module", "k_stem", "k_polarity"))
-    return own.join(known, (F.col("module") == F.col("k_module")) & (F.col("stem") == F.col("k_stem")) & (F.col("polarity") * F.col("k_polarity") >= 0)).select("id", "k_id")
+    own = matching.signatures(L.logs(spark, sf_dir).where("module = 'BGP'"))
+    return matching.stem_candidates(own, prepared(spark)).select("id", "k_id")
 
 
 @query("join13_template_candidates", f"{WITH} SELECT id, CAST(4 AS BIGINT) AS k_id FROM logs WHERE module = 'BFD'")
 def join13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = L.logs(spark, sf_dir).withColumn("h", matching.head(F.col("message_body"))).where("module = 'BFD'")
-    known = F.broadcast(prepared(spark).where("k_pattern is not null").select("k_id", "k_module", "k_head", "k_pattern"))
-    return own.join(known, (F.col("module") == F.col("k_module")) & (F.col("h") == F.col("k_head")) & F.rlike("message_body", "k_pattern")).select("id", "k_id")
+    own = matching.signatures(L.logs(spark, sf_dir)).withColumn("h", matching.head(F.col("message_body"))).where("module_u = 'BFD'")
+    return matching.template_candidates(own, prepared(spark)).select("id", "k_id")
 
 
-@query("join14_search_candidates", "WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ts FROM benchmark) SELECT a.item_id AS query, b.item_id AS doc, len(list_intersect(a.ts, b.ts)) AS hits FROM t a, t b WHERE a.item_id < 3 AND len(list_intersect(a.ts, b.ts)) > 0")
+@query("join14_search_candidates", "WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ts FROM benchmark) SELECT a.item_id AS query, b.item_id AS doc, len(list_intersect(a.ts, b.ts)) AS hits FROM t a, t b WHERE len(list_intersect(a.ts, b.ts)) > 0")
 def join14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return search.scores(search.index(items, "item_id", "text"), items.where("item_id < 3").select(F.col("item_id").alias("query"), "text"), None).select("query", "doc", "hits")
-
-
-@query("join14_whole_search_candidates", "WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ts FROM benchmark) SELECT a.item_id AS query, b.item_id AS doc, len(list_intersect(a.ts, b.ts)) AS hits FROM t a, t b WHERE len(list_intersect(a.ts, b.ts)) > 0")
-def join14_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return search.scores(search.index(items, "item_id", "text"), items.select(F.col("item_id").alias("query"), "text"), None).select("query", "doc", "hits")
 
 
 @query("join15_local_lookup", f"{KB} SELECT l.id FROM logs l JOIN k ON k.source = 'local' AND upper(l.module) = upper(k.module) AND upper(l.brief) = upper(k.brief)")
 def join15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = F.broadcast(prepared(spark).where("k_local").select("k_module", "k_brief"))
-    return L.logs(spark, sf_dir).join(known, (F.upper("module") == F.col("k_module")) & (F.upper("brief") == F.col("k_brief"))).select("id")
+    return matching.local_candidates(matching.signatures(L.logs(spark, sf_dir)), prepared(spark)).select("id")
 
 
 @query("join17_exploded_ids", f"{WITH} SELECT min(id) AS root_id, count(*) AS logs, count(DISTINCT raw_log) AS lines FROM logs WHERE severity <= 2 GROUP BY source_file")

@@ -13,8 +13,8 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
-#: Rows of a dimension that may be broadcast without asking Spark's statistics first.
-BROADCAST_ROWS = 200_000
+#: Rows of a dimension that may be broadcast without asking Spark's statistics first, and bytes of them as text.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -34,8 +34,19 @@ def micros(c: Column | str) -> Column:
 
 
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A hint for dimensions of at most ``most`` rows; counting stops one row beyond."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """A hint for dimensions of at most ``most`` rows and ``BROADCAST_BYTES``; looking stops one row beyond, and is a small job of its own."""
+    rows, size = df.limit(most + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))).head()
+    return F.broadcast(df) if rows <= most and (size or 0) <= BROADCAST_BYTES else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one on a local master where none is set."""
+    import tempfile
+
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or f"file://{tempfile.mkdtemp(prefix='syslumen-')}"
 
 
 def by_value(name: str) -> None:
