@@ -286,7 +286,11 @@ def keep_good(df: DataFrame, labels: DataFrame, label: str = "quality", text: st
     A row's score needs nothing but its text, so that rows are judged where they are read: their texts aren't
     shuffled to meet a list of ids. Rows with a null key are judged like any other.
     """
-    model, _ = fitted(df, labels, label, text, key)
+    # only what may be learned from is looked at twice
+    learn = labels.where((C.remainder("doc_id", 3) != 1) & F.col(label).isNotNull()).select("doc_id").distinct()
+    (labelled,) = C.fresh(df, "labelled_")
+    learn = C.listed(C.Shared(df.sparkSession), learn.withColumnRenamed("doc_id", labelled), "learn")
+    model, _ = fitted(df.join(learn, F.col(f"`{key}`") == F.col(labelled), "left_semi"), labels, label, text, key)
 
     at = df.columns.index(text)
 
