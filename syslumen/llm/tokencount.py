@@ -6,18 +6,19 @@ the mark U+2581 before it; its count is that of its best segmentation, the one o
 log-probability and, of equal ones, the fewest tokens. A character that no piece covers costs as many
 tokens as it has UTF-8 bytes, each as unlikely as the last piece divided by e^10.
 
-The distinct pre-tokens of a block of texts are put in a trie, which sorting walks depth-first: what one
-pre-token shares with the next is the path to a common node, and the forward scores and counts of that
-path are kept, so that each node's are worked out once. The counts of terminal nodes are remembered (in a
-bounded memo), and a text's count is the sum over its pre-tokens. White space itself counts nothing.
+The distinct pre-tokens of a block of texts are inserted in a trie. Forward scores and counts stay with the nodes, so that those
+of a prefix are worked out once for all pre-tokens that share it, and each terminal node holds its pre-token's count; a text's
+count is the sum over its pre-tokens. A worker's trie is bounded, and starts anew beyond ``NODES``. White space itself counts
+nothing. Zipf weights stand in for a trained model, as tokenizers aren't trained here.
 
 Defined cases: a null or empty text, or one of white space only, has no tokens; repeated rows are counted
-alike; an empty table gives none; other columns are not looked at.
+alike; an empty table gives none; other columns are not looked at; pre-tokens of more than ``LONG`` characters are whole too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from copy import copy
 from math import log
 
 import pyarrow as pa
@@ -29,8 +30,10 @@ from syslumen.llm import _common as C
 C.by_value(__name__)
 
 MARK = "▁"
-#: Pre-tokens that a worker remembers; beyond it the memo starts anew.
-MEMO = 400_000
+#: Nodes of a worker's trie; beyond it the trie starts anew.
+NODES = 600_000
+#: Characters of a pre-token up to which it goes into the trie.
+LONG = 256
 
 
 def pieces_of(model: bytes) -> list[str]:
@@ -54,46 +57,64 @@ class Unigram:
             if piece:
                 ending.setdefault(piece[-1], set()).add(len(piece))
         self.lengths = {c: sorted(n) for c, n in ending.items()}
-        self.memo: dict[str, int] = {}
+        self.start_anew()
+
+    def start_anew(self) -> None:
+        """A trie of the root alone: edges by node and character, and of each node the best score, its number of tokens, and the count if a word ends there."""
+        self.edges: dict[tuple[int, str], int] = {}
+        self.best, self.tokens = [0.0], [0]
+        self.terminal: dict[int, int] = {}
+
+    def _step(self, token: str, at: int, path: list[int]) -> tuple[float, int]:
+        """Score and number of tokens of the first ``at`` characters, from those of shorter prefixes along the path."""
+        last, before = token[at - 1], path[at - 1]
+        n = len(last.encode("utf-8", "surrogatepass"))
+        high, few = self.best[before] + n * self.byte, self.tokens[before] + n
+        for size in self.lengths.get(last, ()):
+            if size > at:
+                break
+            own = self.score.get(token[at - size : at])
+            if own is not None:
+                own += self.best[path[at - size]]
+                c = self.tokens[path[at - size]] + 1
+                if own > high or (own == high and c < few):
+                    high, few = own, c
+        return high, few
+
+    def insert(self, word: str) -> int:
+        """The number of tokens of a word, which stays with the node that it ends at; only prefixes that no word before had are scored."""
+        token = MARK + word
+        node, path, edges = 0, [0], self.edges
+        for at, char in enumerate(token, 1):
+            below = edges.get((node, char))
+            if below is None:
+                high, few = self._step(token, at, path)
+                below = edges[node, char] = len(self.best)
+                self.best.append(high)
+                self.tokens.append(few)
+            node = below
+            path.append(node)
+        return self.terminal.setdefault(node, self.tokens[node])
 
     def counts(self, words: Iterable[str]) -> dict[str, int]:
-        """The number of tokens of each distinct word."""
-        out, before = {}, ""
-        best, count, score = [0.0], [0], self.score
-        for word in sorted(words):
-            token, shared = MARK + word, 0
-            for x, y in zip(token, before, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
-            for at in range(shared + 1, len(token) + 1):
-                last = token[at - 1]
-                n = len(last.encode("utf-8", "surrogatepass"))
-                high, few = best[at - 1] + n * self.byte, count[at - 1] + n
-                for size in self.lengths.get(last, ()):
-                    if size > at:
-                        break
-                    own = score.get(token[at - size : at])
-                    if own is not None:
-                        own += best[at - size]
-                        c = count[at - size] + 1
-                        if own > high or (own == high and c < few):
-                            high, few = own, c
-                best.append(high)
-                count.append(few)
-            out[word], before = count[-1], token
+        """The number of tokens of each distinct word. Very long words have a trie of their own, for a while."""
+        out = {}
+        for word in words:
+            if len(word) > LONG:
+                other = copy(self)
+                other.start_anew()
+                out[word] = other.insert(word)
+                continue
+            if len(self.best) > NODES:
+                self.start_anew()
+            out[word] = self.insert(word)
         return out
 
     def of_texts(self, texts: list[str]) -> list[tuple[int, int]]:
         """Pre-tokens and tokens of each text."""
         split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self.memo}
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = {w for words in split for w in words}
-        self.memo.update(self.counts(new))
-        return [(len(words), sum(map(self.memo.__getitem__, words))) for words in split]
+        found = self.counts({w for words in split for w in words})
+        return [(len(words), sum(map(found.__getitem__, words))) for words in split]
 
 
 def count_tokens(df: DataFrame, pieces: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:

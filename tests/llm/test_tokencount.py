@@ -29,12 +29,32 @@ def test_counts_equal_each_words_own_programme():
     assert model.counts(words) == {w: brute(model, T.MARK + w) for w in words}
 
 
-def test_memo_may_start_anew(monkeypatch):
-    monkeypatch.setattr(T, "MEMO", 3)
+def test_the_trie_may_start_anew(monkeypatch):
+    monkeypatch.setattr(T, "NODES", 3)
     model = T.Unigram(["▁a", "▁", "a", "b", "ab"])
     assert model.of_texts(["a b", "ab ab ba"]) == model.of_texts(["a b", "ab ab ba"]) == T.Unigram(["▁a", "▁", "a", "b", "ab"]).of_texts(["a b", "ab ab ba"])
 
 
+def test_shared_prefixes_are_scored_once_and_long_words_apart(monkeypatch):
+    model = T.Unigram(["▁a", "▁", "a", "b", "ab"])
+    model.counts(["abab", "abba", "ab"])
+    # the root, the mark, and a, b, a, b, b, a
+    assert len(model.best) == 8 and len(model.terminal) == 3
+    long = "ab" * 5000 + "é"
+    assert model.counts([long]) == {long: brute_count(model, T.MARK + long)} and len(model.best) == 8
+
+
+def brute_count(model, token):
+    best = [(0.0, 0)]
+    for i in range(1, len(token) + 1):
+        n = len(token[i - 1].encode())
+        options = [(best[i - 1][0] + n * model.byte, -best[i - 1][1] - n)]
+        options += [(best[j][0] + model.score[token[j:i]], -best[j][1] - 1) for j in range(max(0, i - 3), i) if token[j:i] in model.score]
+        score, few = max(options)
+        best.append((score, -few))
+    return best[-1][1]
+
+
 def test_awkward_rows(spark):
     pieces = ["▁", "▁word", "e", "t"]
     rows = T.count_tokens(awkward(spark), pieces).collect()
