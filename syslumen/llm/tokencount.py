@@ -31,7 +31,7 @@ C.by_value(__name__)
 
 MARK = "▁"
 #: Nodes of a worker's trie; beyond it the trie starts anew.
-NODES = 600_000
+NODES = 800_000
 #: Characters of a pre-token up to which it goes into the trie.
 LONG = 256
 
@@ -60,10 +60,11 @@ class Unigram:
         self.start_anew()
 
     def start_anew(self) -> None:
-        """A trie of the root alone: edges by node and character, and of each node the best score, its number of tokens, and the count if a word ends there."""
-        self.edges: dict[tuple[int, str], int] = {}
+        """A trie of the root alone: edges by node and character, and of each node the best score, its number of tokens, and the count if a word ends there; and the nodes that words end at."""
+        self.edges: dict[int, int] = {}
         self.best, self.tokens = [0.0], [0]
         self.terminal: dict[int, int] = {}
+        self.ends: dict[str, int] = {}
 
     def _step(self, token: str, at: int, path: list[int]) -> tuple[float, int]:
         """Score and number of tokens of the first ``at`` characters, from those of shorter prefixes along the path."""
@@ -86,20 +87,25 @@ class Unigram:
         token = MARK + word
         node, path, edges = 0, [0], self.edges
         for at, char in enumerate(token, 1):
-            below = edges.get((node, char))
+            edge = node * 0x110000 + ord(char)
+            below = edges.get(edge)
             if below is None:
                 high, few = self._step(token, at, path)
-                below = edges[node, char] = len(self.best)
+                below = edges[edge] = len(self.best)
                 self.best.append(high)
                 self.tokens.append(few)
             node = below
             path.append(node)
+        self.ends[word] = node
         return self.terminal.setdefault(node, self.tokens[node])
 
     def counts(self, words: Iterable[str]) -> dict[str, int]:
         """The number of tokens of each distinct word. Very long words have a trie of their own, for a while."""
         out = {}
         for word in words:
+            if word in self.ends:
+                out[word] = self.terminal[self.ends[word]]
+                continue
             if len(word) > LONG:
                 other = copy(self)
                 other.start_anew()
