@@ -66,38 +66,38 @@ class Unigram:
         self.terminal: dict[int, int] = {}
         self.ends: dict[str, int] = {}
 
-    def _step(self, token: str, at: int, path: list[int]) -> tuple[float, int]:
-        """Score and number of tokens of the first ``at`` characters, from those of shorter prefixes along the path."""
-        last, before = token[at - 1], path[at - 1]
-        n = len(last.encode("utf-8", "surrogatepass"))
-        high, few = self.best[before] + n * self.byte, self.tokens[before] + n
-        for size in self.lengths.get(last, ()):
-            if size > at:
-                break
-            own = self.score.get(token[at - size : at])
-            if own is not None:
-                own += self.best[path[at - size]]
-                c = self.tokens[path[at - size]] + 1
-                if own > high or (own == high and c < few):
-                    high, few = own, c
-        return high, few
-
     def insert(self, word: str) -> int:
         """The number of tokens of a word, which stays with the node that it ends at; only prefixes that no word before had are scored."""
-        token = MARK + word
-        node, path, edges = 0, [0], self.edges
-        for at, char in enumerate(token, 1):
-            edge = node * 0x110000 + ord(char)
-            below = edges.get(edge)
+        token, node, shared, edges = MARK + word, 0, 0, self.edges
+        best, tokens, score, lengths = self.best, self.tokens, self.score, self.lengths
+        # scores and numbers of tokens of the prefixes so far
+        high, few = [0.0], [0]
+        for char in token:
+            below = edges.get(node * 0x110000 + ord(char))
             if below is None:
-                high, few = self._step(token, at, path)
-                below = edges[edge] = len(self.best)
-                self.best.append(high)
-                self.tokens.append(few)
-            node = below
-            path.append(node)
+                break
+            node, shared = below, shared + 1
+            high.append(best[node])
+            few.append(tokens[node])
+        for at in range(shared + 1, len(token) + 1):
+            last = token[at - 1]
+            n = 1 if last < "\x80" else len(last.encode("utf-8", "surrogatepass"))
+            most, least = high[at - 1] + n * self.byte, few[at - 1] + n
+            for size in lengths.get(last, ()):
+                if size > at:
+                    break
+                own = score.get(token[at - size : at])
+                if own is not None:
+                    own += high[at - size]
+                    if own > most or (own == most and few[at - size] + 1 < least):
+                        most, least = own, few[at - size] + 1
+            edges[node * 0x110000 + ord(last)] = node = len(best)
+            best.append(most)
+            tokens.append(least)
+            high.append(most)
+            few.append(least)
         self.ends[word] = node
-        return self.terminal.setdefault(node, self.tokens[node])
+        return self.terminal.setdefault(node, tokens[node])
 
     def counts(self, words: Iterable[str]) -> dict[str, int]:
         """The number of tokens of each distinct word. Very long words have a trie of their own, for a while."""
