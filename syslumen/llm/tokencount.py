@@ -65,18 +65,26 @@ class Unigram:
         self.best, self.tokens = [0.0], [0]
         self.terminal: dict[int, int] = {}
         self.ends: dict[str, int] = {}
+        # the word inserted last, and along its path the nodes, scores and numbers of tokens
+        self.last: tuple[str, list[int], list[float], list[int]] = ("", [0], [0.0], [0])
 
     def insert(self, word: str) -> int:
         """The number of tokens of a word, which stays with the node that it ends at; only prefixes that no word before had are scored."""
-        token, node, shared, edges = MARK + word, 0, 0, self.edges
+        token, shared, edges = MARK + word, 0, self.edges
         best, tokens, score, lengths = self.best, self.tokens, self.score, self.lengths
-        # scores and numbers of tokens of the prefixes so far
-        high, few = [0.0], [0]
-        for char in token:
+        before, nodes, high, few = self.last
+        for x, y in zip(token, before, strict=False):
+            if x != y:
+                break
+            shared += 1
+        del nodes[shared + 1 :], high[shared + 1 :], few[shared + 1 :]
+        node = nodes[shared]
+        for char in token[shared:]:
             below = edges.get(node * 0x110000 + ord(char))
             if below is None:
                 break
             node, shared = below, shared + 1
+            nodes.append(node)
             high.append(best[node])
             few.append(tokens[node])
         for at in range(shared + 1, len(token) + 1):
@@ -94,8 +102,10 @@ class Unigram:
             edges[node * 0x110000 + ord(last)] = node = len(best)
             best.append(most)
             tokens.append(least)
+            nodes.append(node)
             high.append(most)
             few.append(least)
+        self.last = (token, nodes, high, few)
         self.ends[word] = node
         return self.terminal.setdefault(node, tokens[node])
 
@@ -119,7 +129,8 @@ class Unigram:
     def of_texts(self, texts: list[str]) -> list[tuple[int, int]]:
         """Pre-tokens and tokens of each text."""
         split = [t.split() for t in texts]
-        found = self.counts({w for words in split for w in words})
+        # sorted, so that the next word goes on from the path of the last
+        found = self.counts(sorted({w for words in split for w in words}))
         return [(len(words), sum(map(found.__getitem__, words))) for words in split]
 
 
