@@ -3,7 +3,8 @@
 Whether two logs may belong together is an equivalence (same device, else same host, else same file), so the
 search runs for each such subject by itself. Windows are common to all subjects and are found first. Within a
 subject the search is a breadth-first walk with claims, which is order-dependent and runs in one Arrow
-group; only rows that some rule's edge can start from or lead to are sent there.
+group; only rows of modules that rules name are sent there. A subject is cut wherever it is silent for longer than
+a root can explain, so that a group is a few stretches of unrest and not a whole history.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from syslumen.operators.windows import overlapping_windows
@@ -72,6 +73,8 @@ ENTITIES = {
 }
 _RECOVERY = re.compile(r"(_CLEAR|_RECOVER|_UP|_NORMAL|_OK|_RESUME)$|_CLEAR|_RECOVER")
 WINDOW_S, OVERLAP_S, NODES, EVENTS = 300, 60, 500, 2000
+#: Stretches of a subject that begin within so many seconds are searched together.
+GROUP_S = 7 * 86_400
 
 
 def sample(logs: DataFrame, most: int = 100_000) -> DataFrame:
@@ -135,7 +138,15 @@ def analyse(logs: DataFrame, rules: list[Edge] | None = None, most_events: int =
     length = WINDOW_S * 1_000_000
     slot = lambda c: F.floor(F.col(c) / length)
     slotted = windows.withColumn("slot", F.explode(F.array_distinct(F.array(slot("start_us"), slot("end_us")))))
-    placed = own.where(F.col("module").isin(*modules)).withColumn("slot", slot("us")).join(slotted, "slot").where((F.col("us") >= F.col("start_us")) & (F.col("us") <= F.col("end_us"))).drop("slot")
+    rows = own.where(F.col("module").isin(*modules)).withColumn("slot", slot("us"))
+    # a slot without logs is as long as a root reaches, so that no chain crosses it
+    order = Window.partitionBy("subject").orderBy("slot")
+    stretches = rows.select("subject", "slot").distinct().withColumn("new", F.when(F.col("slot") - F.lag("slot").over(order) <= 1, 0).otherwise(1))
+    stretches = stretches.select("subject", "slot", F.sum("new").over(order).alias("stretch"))
+    # short stretches that begin within the same days make one group
+    begins = F.min("slot").over(Window.partitionBy("subject", "stretch"))
+    stretches = stretches.select("subject", "slot", F.floor(begins / (GROUP_S // WINDOW_S)).alias("group"))
+    placed = rows.join(slotted, "slot").where((F.col("us") >= F.col("start_us")) & (F.col("us") <= F.col("end_us"))).join(stretches, ["subject", "slot"]).drop("slot")
     actions = ACTIONS
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -188,7 +199,7 @@ def analyse(logs: DataFrame, rules: list[Edge] | None = None, most_events: int =
             out.append((pdf["subject"].iloc[0], first.rule, root["id"], root["us"], root["module"], root["brief"], row.window, len(found), impact_level(len(found), root["severity"]), confidence(deepest, len(found), delay, signal, agrees), sorted([root["id"], *(h["id"] for h in hit)]), impacts, actions.get(first.rule, "")))
         return pd.DataFrame(out, columns=[f.split(" ", 1)[0] for f in re.sub(r"<[^ ]*>", "", _EVENT).split(", ")])
 
-    return placed.groupBy("subject").applyInPandas(search, _EVENT).orderBy("window", "root_us", "root_id").limit(most_events)
+    return placed.groupBy("subject", "group").applyInPandas(search, _EVENT).orderBy("window", "root_us", "root_id").limit(most_events)
 
 
 def one_hop(logs: DataFrame, edge: Edge, within_s: int = WINDOW_S) -> DataFrame:

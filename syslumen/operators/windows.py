@@ -10,6 +10,8 @@ from syslumen.session import micros
 
 #: Places of a file that are sorted together.
 BLOCK = 1_000_000
+#: Seconds whose distinct times one task follows.
+CHAIN_S = 86_400
 
 
 def align_times(lines: DataFrame, file: str = "source_file", seq: str = "seq", time: str = "timestamp") -> DataFrame:
@@ -66,24 +68,52 @@ def overlapping_windows(stamps: DataFrame, length_s: int = 300, overlap_s: int =
     """``window, start_us, end_us``: windows of ``length_s`` (end included) that begin at the first time and then at the
     first time at or after the last start plus ``length_s - overlap_s``; with no overlap, after the last window.
 
-    The starts form a chain, each found from the one before, and so one task follows it: what it gets are the
-    distinct times alone, eight bytes each. Rows that root causes are looked for in are bounded by ``rca.sample``.
+    The starts form a chain, each found from the one before. Times are cut into blocks of ``CHAIN_S`` seconds, and each
+    block tells for the times where a chain can enter it how many starts that chain has there, and which is its last. One task
+    walks over these answers, of which equal ones are one row, and each block then makes the windows of its own piece.
     """
-    length, step = length_s * 1_000_000, (length_s - overlap_s) * 1_000_000
+    import numpy as np
+    import pandas as pd
 
-    def greedy(pdf):
-        import numpy as np
-        import pandas as pd
+    length, step = length_s * 1_000_000, (length_s - overlap_s) * 1_000_000
+    size, side = CHAIN_S * 1_000_000, "left" if overlap_s else "right"
 
+    def answers(pdf):
         at = np.sort(pdf["us"].to_numpy())
-        starts, k = [], 0
+        block, n = pdf["block"].iloc[0], len(at)
+        following = np.maximum(np.searchsorted(at, at + step, side=side), np.arange(n) + 1)
+        # the last start before the block is followed by a time in the block's first step, or by the first one after it
+        entries = np.arange(min(n, np.searchsorted(at, block * size + step, side=side) + 1))
+        last, starts = entries.copy(), np.ones(len(entries), dtype="int64")
+        while (on := following[last] < n).any():
+            last[on] = following[last[on]]
+            starts[on] += 1
+        ends = np.append((np.diff(last) != 0) | (np.diff(starts) != 0), True)
+        return pd.DataFrame({"block": block, "upto": at[entries[ends]], "last": at[last[ends]], "starts": starts[ends]})
+
+    def walk(pdf):
+        out, since, n = [], None, 0
+        for block, own in pdf.sort_values(["block", "upto"]).groupby("block"):
+            since = block * size - 1 if since is None else since
+            k = int(np.searchsorted(own["upto"].to_numpy(), since, side=side))
+            if k < len(own):
+                out.append((block, since, n))
+                since, n = own["last"].iloc[k] + step, n + own["starts"].iloc[k]
+        return pd.DataFrame(out, columns=["block", "since", "before"])
+
+    def follow(pdf):
+        at = np.sort(pdf["us"].to_numpy())
+        starts, k = [], int(np.searchsorted(at, pdf["since"].iloc[0], side=side))
         while k < len(at):
             starts.append(at[k])
-            k = max(k + 1, int(np.searchsorted(at, at[k] + step, side="left" if overlap_s else "right")))
-        return pd.DataFrame({"window": range(len(starts)), "start_us": starts, "end_us": [s + length for s in starts]})
-
-    distinct = stamps.select(F.col(time).alias("us")).where("us IS NOT NULL").distinct()
-    return distinct.groupBy(F.lit(0).alias("g")).applyInPandas(greedy, "window int, start_us bigint, end_us bigint")
+            k = max(k + 1, int(np.searchsorted(at, at[k] + step, side=side)))
+        before = pdf["before"].iloc[0]
+        return pd.DataFrame({"window": range(before, before + len(starts)), "start_us": starts, "end_us": [s + length for s in starts]})
+
+    times = stamps.select(F.col(time).cast("bigint").alias("us")).where("us IS NOT NULL").distinct().withColumn("block", F.floor(F.col("us") / size))
+    told = times.groupBy("block").applyInPandas(answers, "block bigint, upto bigint, last bigint, starts bigint")
+    entered = told.groupBy(F.lit(0).alias("all")).applyInPandas(walk, "block bigint, since bigint, before bigint")
+    return times.join(entered, "block").groupBy("block").applyInPandas(follow, "window int, start_us bigint, end_us bigint")
 
 
 def newest_per_key(df: DataFrame, key: list[str], recency: list[str], keep: int = 1) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import codecs
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from syslumen.functions import scalar as S
 from syslumen.functions.parameters import parameters
@@ -31,26 +32,32 @@ FILE_VERSION = r"(?i)^#\s*(?:Software\s+)?Version:\s*(.*)"
 def read_lines(spark: SparkSession, paths: list[str], extensions: str = "*", recursive: bool = True) -> DataFrame:
     """``source_file, seq, line`` of all files below the paths; text that isn't UTF-8 is read as GB18030.
 
-    A file is decoded as a whole, as its encoding is a property of all of it; lines are dealt out after that.
+    Files are read in splits, so that a large one is dealt to many tasks (not if it's compressed). Lines are numbered in
+    their split, after those of the file's splits before it. A file is GB18030 if a line that begins in its first ``PROBE`` bytes isn't
+    UTF-8; in others, bytes that aren't UTF-8 are replaced.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", extensions).load(paths)
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                raw = bytes(content).removeprefix(b"\xef\xbb\xbf")
-                try:
-                    # a character that the probe's end cuts is no error
-                    codecs.getincrementaldecoder("utf-8")().decode(raw[:PROBE])
-                    text = raw.decode("utf-8", "replace")
-                except UnicodeDecodeError:
-                    text = raw.decode("gb18030", "replace")
-                lines = text.split("\n")
-                for at in range(0, len(lines), 50_000):
-                    part = lines[at : at + 50_000]
-                    yield pd.DataFrame({"source_file": path.rsplit("/", 1)[-1], "seq": range(at, at + len(part)), "line": [x.rstrip("\r") for x in part]})
-
-    return files.select("path", "content").mapInPandas(decode, "source_file string, seq bigint, line string")
+    text = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", extensions).option("lineSep", "\n").text(paths)
+    about = [F.col("_metadata.file_path").alias("__path"), F.url_decode(F.regexp_replace("_metadata.file_name", r"\+", "%2B")).alias("source_file"), F.col("_metadata.file_block_start").alias("__split")]
+    lines = text.select("value", *about, F.monotonically_increasing_id().alias("__order"))
+    order = Window.partitionBy("__path", "__split").orderBy("__order")
+    length = F.octet_length("value") + 1
+    begins = F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - length
+    placed = lines.withColumns({"__nth": F.row_number().over(order) - 1, "__begins": begins})
+    foreign = (F.col("__split") == 0) & (F.col("__begins") < PROBE) & ~F.is_valid_utf8("value")
+    splits = placed.groupBy("__path", "__split").agg(F.count("*").alias("n"), F.bool_or(foreign).alias("foreign"))
+    file = Window.partitionBy("__path")
+    before = F.sum("n").over(file.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("__path", "__split", F.coalesce(before, F.lit(0)).alias("__before"), F.bool_or("foreign").over(file).alias("__foreign"))
+    own = placed.join(splits, ["__path", "__split"]).withColumn("seq", F.col("__before") + F.col("__nth"))
+    # only lines of such files are handed to Python
+    line = F.when(F.col("__foreign"), _gb18030(F.when(F.col("__foreign"), F.col("value").cast("binary")))).otherwise(F.make_valid_utf8("value"))
+    line = F.when((F.col("seq") == 0) & line.startswith("\ufeff"), F.substring(line, 2, LONGEST_LINE * 2)).otherwise(line)
+    return own.select("source_file", "seq", F.rtrim(line, F.lit("\r")).alias("line"))
+
+
+@F.pandas_udf(StringType())
+def _gb18030(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda raw: bytes(raw).removeprefix(codecs.BOM_UTF8).decode("gb18030", "replace"), na_action="ignore")
 
 
 def from_text(spark: SparkSession, name: str, text: str) -> DataFrame:
@@ -141,8 +148,6 @@ def preview(records: DataFrame) -> DataFrame:
 
 def numbered(records: DataFrame) -> DataFrame:
     """``id`` in the order of files and lines: a file's rows follow those of the files before it, without a sort of all rows."""
-    from pyspark.sql import Window
-
     sizes = records.groupBy("source_file").agg((F.max("seq") + 1).alias("n"))
     # one row a file
     before = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1))

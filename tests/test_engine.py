@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import io
+import random
 import os
 import zipfile
 
@@ -166,6 +168,43 @@ def test_time_alignment_in_blocks(spark, monkeypatch):
     assert [got["a", s] for s in range(12)] == [20, 20, 20, 30, 30, 30, 30, 30, 80, 80, 80, 80] and got["b", 0] is None
 
 
+@pytest.mark.parametrize(("length", "overlap"), [(300, 60), (300, 0), (9000, 60), (60, 60), (10, 20)])
+def test_window_chains_cross_blocks(spark, length, overlap):
+    draw, hour = random.Random(length + overlap), windows.CHAIN_S
+    dense = [draw.randrange(-2 * hour, 2 * hour) for _ in range(600)]
+    times = sorted({*dense, -hour, 0, hour, *(30 * hour + 7 * k for k in range(40)), 40 * hour - 1, 40 * hour})
+    find, step = bisect.bisect_left if overlap else bisect.bisect_right, length - overlap
+    want, k = [], 0
+    while k < len(times):
+        want.append(times[k])
+        k = max(k + 1, find(times, times[k] + step))
+    stamps = spark.createDataFrame([(t * 1_000_000,) for t in times + times[:5]] + [(None,)], "us bigint")
+    found = windows.overlapping_windows(stamps, length, overlap).orderBy("window").collect()
+    assert [tuple(r) for r in found] == [(i, t * 1_000_000, (t + length) * 1_000_000) for i, t in enumerate(want)]
+    assert windows.overlapping_windows(stamps.where("us IS NULL"), length, overlap).count() == 0
+
+
+def test_large_files_are_read_in_splits(spark, tmp_path):
+    want = {"a b.log": ["\ufeff0 x"] + [f"{k} " + "ab界"[: k % 4] * (k % 17) + "\r" for k in range(1, 400)], "c.log": [f"{k} 接口" for k in range(300)], "none.log": []}
+    for name, lines in want.items():
+        (tmp_path / name).write_bytes("".join(x + "\n" for x in lines).encode("gb18030" if name == "c.log" else "utf-8"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = raw.read_lines(spark, [str(tmp_path)], "*.log")
+        assert lines.sparkSession.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        found = sorted(map(tuple, lines.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == sorted((name, k, x.strip("\r\ufeff")) for name, own in want.items() for k, x in enumerate(own))
+
+
+def test_bytes_of_no_encoding_are_replaced(spark, tmp_path):
+    (tmp_path / "x.log").write_bytes(b"ok\n" * 30_000 + b"a\xffb\n")
+    assert raw.read_lines(spark, [str(tmp_path)]).where("seq = 30000").head()["line"] == "a\ufffdb"
+
+
 def test_sessions_go_on_over_midnight(spark):
     rows = [(k, 1, f"2026-01-0{1 + s // 86400} {s % 86400 // 3600:02d}:{s % 3600 // 60:02d}:{s % 60:02d}", "h", "f", "M", "B", 4, "{}") for k, s in enumerate([86390, 86395, 86405, 86466, 86470, 86472, 172799, 172800, 172801])]
     found = windows.correlated_clusters(_logs(spark, rows), timeline_limit=None).orderBy("start_us").collect()
