@@ -168,6 +168,14 @@ def test_time_alignment_in_blocks(spark, monkeypatch):
     assert [got["a", s] for s in range(12)] == [20, 20, 20, 30, 30, 30, 30, 30, 80, 80, 80, 80] and got["b", 0] is None
 
 
+def test_root_causes_cross_weeks(spark):
+    # groups of stretches are dealt by weeks from the epoch, one of which ends at this midnight
+    down, lost = ("IFNET", "IF_DOWN", 3, "{}"), ("BFD", "SESS_DOWN", 4, "{}")
+    at = [("2025-12-31 23:58:00", down), ("2026-01-01 00:01:00", lost), ("2026-01-01 02:00:00", down), ("2026-01-01 02:01:00", lost), ("2026-01-01 03:00:00", down), ("2026-01-01 03:10:00", lost)]
+    rows = [(k, 1, t, "h", "f", *what) for k, (t, what) in enumerate(at, 1)]
+    assert [(r["root_id"], r["correlated_ids"]) for r in rca.analyse(_logs(spark, rows)).collect()] == [(1, [1, 2]), (3, [3, 4])]
+
+
 @pytest.mark.parametrize(("length", "overlap"), [(300, 60), (300, 0), (9000, 60), (60, 60), (10, 20)])
 def test_window_chains_cross_blocks(spark, length, overlap):
     draw, hour = random.Random(length + overlap), windows.CHAIN_S
