@@ -88,16 +88,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
-    """The inner (or left) join of ``rows`` with ``keyed``, which has each key once, and in ``weight`` the rows of it (``total`` together).
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """The inner (or left) join of ``rows`` with ``keyed``, which has each key once, and in ``weight`` the rows of it.
 
     Keys of more than ``HOT_ROWS`` rows, and more than a share of 1 / ``HOT_KEYS``, go to where their rows lie, so that these
     don't meet in one task; by their weight there are fewer than ``HOT_KEYS``. ``keyed`` should be a written table.
     """
-    floor = max(HOT_ROWS, total // HOT_KEYS)
+    total, most = keyed.agg(F.sum(weight), F.max(weight)).head()
+    floor = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= floor:
+        return rows.join(keyed.drop(weight), on, how)
     hot, cold = keyed.where(F.col(weight) > floor).drop(weight), keyed.where(F.col(weight) <= floor).drop(weight)
-    if not hot.limit(1).count():
-        return rows.join(cold, on, how)
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
     return rows.join(F.broadcast(hot), on).unionByName(rest)
 

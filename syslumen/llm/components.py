@@ -13,22 +13,20 @@ from pyspark.sql import functions as F
 from syslumen.llm._common import Shared, hot_join
 
 
-def _lowest(edges: DataFrame, shared: Shared, name: str) -> tuple[DataFrame, int]:
-    """``a, m, n``: the least neighbour of each node and the number of its edges; and that of all edges."""
-    low = shared.write(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
-    return low, low.agg(F.sum("n")).head()[0] or 0
+def _lowest(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
+    """``a, m, n``: the least neighbour of each node and the number of its edges."""
+    return shared.write(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
 
 
 def _large_star(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low, total = _lowest(both, shared, f"{name}-large-low")
-    low = low.select("a", F.least("a", "m").alias("m"), "n")
-    return hot_join(both.where("b > a"), low, ["a"], "n", total).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    low = _lowest(both, shared, f"{name}-large-low").select("a", F.least("a", "m").alias("m"), "n")
+    return hot_join(both.where("b > a"), low, ["a"], "n").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
-    low, total = _lowest(edges, shared, f"{name}-small-low")
-    moved = hot_join(edges, low, ["a"], "n", total).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    low = _lowest(edges, shared, f"{name}-small-low")
+    moved = hot_join(edges, low, ["a"], "n").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 

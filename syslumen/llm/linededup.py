@@ -55,10 +55,6 @@ def _repeated(shared: C.Shared, rows: DataFrame, by: list[str], name: str) -> Da
     return shared.write(counted.repartitionByRange(partitions, *by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()), f"{name}-ranks")
 
 
-def _total(counted: DataFrame) -> int:
-    return counted.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-
-
 def suffix_levels(shared: C.Shared, first: DataFrame, levels: int, name: str = "level") -> list[DataFrame]:
     """Level 0 to ``levels`` of the suffix array: ``d, t, island, pos, rank``, rank null where a stretch occurs once or doesn't fit."""
     out = [first]
@@ -69,7 +65,7 @@ def suffix_levels(shared: C.Shared, first: DataFrame, levels: int, name: str = "
         full = F.col("here").isNotNull() & F.col("next").isNotNull()
         ranks = _repeated(shared, pairs.where(full), ["here", "next"], f"{name}-{j}-names")
         # rows without a pair would all meet under null
-        made = C.hot_join(pairs.where(full), ranks, ["here", "next"], "n", _total(ranks), "left").select(*_DOC, "island", "pos", "rank")
+        made = C.hot_join(pairs.where(full), ranks, ["here", "next"], "n", "left").select(*_DOC, "island", "pos", "rank")
         made = made.union(pairs.where(~full).select(*_DOC, "island", "pos", F.lit(None).cast("bigint")))
         out.append(shared.write(made, f"{name}-{j + 1}"))
         shared.drop(f"{name}-{j}-pairs")
@@ -101,7 +97,7 @@ def deletions(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key
     lines = docs.select("d", "t", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(9), "line").alias("b"), _words(F.col("line")).alias("w"))
     lines = shared.write(lines, "lines")
     ids = _repeated(shared, lines.dropDuplicates(["d", "t", "pos"]), ["a", "b"], "ids")
-    kept = C.hot_join(lines, ids, ["a", "b"], "n", _total(ids)).select("d", "t", "pos", "w", "rank").dropDuplicates(["d", "t", "pos"])
+    kept = C.hot_join(lines, ids, ["a", "b"], "n").select("d", "t", "pos", "w", "rank").dropDuplicates(["d", "t", "pos"])
     along = Window.partitionBy(*_DOC).orderBy("pos")
     kept = shared.write(kept.withColumn("island", F.col("pos") - F.row_number().over(along)), "repeated")
     runs = shared.write(_shortest_runs(kept, min_words), "runs")
@@ -122,7 +118,7 @@ def deletions(df: DataFrame, min_words: int = MIN_WORDS, text: str = "text", key
     place = F.struct("d", "t", "start")
     runs_of = ["n", "first", "last"]
     earliest = named.groupBy(*runs_of).agg(F.min(place).alias("earliest"), F.count("*").alias("copies")).where("copies > 1")
-    later = C.hot_join(named, shared.write(earliest, "earliest"), runs_of, "copies", named.count()).where(place > F.col("earliest"))
+    later = C.hot_join(named, shared.write(earliest, "earliest"), runs_of, "copies").where(place > F.col("earliest"))
     return _united(later.groupBy(*_DOC, "start").agg(F.max(F.col("start") + F.col("n") - 1).alias("end")))
 
 

@@ -333,17 +333,17 @@ def fingerprint_links(fps: DataFrame, radius: int, count: int) -> DataFrame:
         last = k + 1 == len(levels)
         now = sizes if last else sizes.where(F.col("members") <= TREE)
         now = now.withColumn("weight", F.col("members"))
-        found = hot_rows(rows, now, total).withColumn("searches", F.col("members")).withColumn("search", F.lit(True))
+        found = hot_rows(rows, now).withColumn("searches", F.col("members")).withColumn("search", F.lit(True))
         out = out.union(shared.write(_in_shards(_units(found, []), _shards(spark, total)).applyInArrow(lambda t: shard_links(t, radius), "a bigint, b bigint"), f"links-{k}"))
         if last or (largest or 0) <= TREE:
             break
         large = sizes.where(F.col("members") > TREE).withColumn("weight", F.col("members"))
-        left = shared.write(hot_rows(rows, large, total).select("fp").distinct(), f"left-{k}")
+        left = shared.write(hot_rows(rows, large).select("fp").distinct(), f"left-{k}")
     return out
 
 
-def hot_rows(rows: DataFrame, trees: DataFrame, total: int) -> DataFrame:
-    return C.hot_join(rows, trees, ["tree"], "weight", total)
+def hot_rows(rows: DataFrame, trees: DataFrame) -> DataFrame:
+    return C.hot_join(rows, trees, ["tree"], "weight")
 
 
 def _nodes(own: DataFrame, shared: C.Shared, *more: Column) -> DataFrame:
@@ -357,7 +357,7 @@ def _placed(nodes: DataFrame, roots: DataFrame, shared: C.Shared) -> DataFrame:
     tied = nodes.select("node", "copies", "least", "own_first").join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     tied = shared.write(tied, "tied")
     groups = shared.write(tied.groupBy("root").agg(F.count("*").alias("size"), F.min("least").alias("component_id"), F.min("own_first").alias("first")), "roots")
-    return shared.write(C.hot_join(tied, groups, ["root"], "size", tied.count()).select("node", "copies", "component_id", "first"), "placed")
+    return shared.write(C.hot_join(tied, groups, ["root"], "size").select("node", "copies", "component_id", "first"), "placed")
 
 
 def _by_fingerprint(df: DataFrame, radius: int, width: int, text: str, key: str, shared: C.Shared) -> tuple[DataFrame, DataFrame]:
@@ -370,14 +370,13 @@ def _by_fingerprint(df: DataFrame, radius: int, width: int, text: str, key: str,
 def near_duplicates(df: DataFrame, radius: int = 3, width: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id``, ``fp`` (signed) and ``component_id``, the smallest doc_id that links reach."""
     own, placed = _by_fingerprint(df, radius, width, text, key, C.Shared(df.sparkSession))
-    return C.hot_join(own.select("doc_id", "node"), placed, ["node"], "copies", own.count()).select("doc_id", F.col("node").alias("fp"), "component_id")
+    return C.hot_join(own.select("doc_id", "node"), placed, ["node"], "copies").select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
 def _with_text(pairs: DataFrame, texts: DataFrame, side: str, shared: C.Shared, name: str) -> DataFrame:
     """``pairs`` with the text of ``side``. A text of many pairs is dealt out with shares of them."""
     counts = shared.write(pairs.groupBy(side).agg(F.count("*").alias("weight")).withColumn("salts", F.ceil(F.col("weight") / F.lit(SALT)).cast("int")), f"{name}-{side}")
-    total = counts.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
-    dealt = C.hot_join(pairs, counts, [side], "weight", total).withColumn("salt", F.pmod(F.xxhash64(*pairs.columns), F.col("salts")).cast("int"))
+    dealt = C.hot_join(pairs, counts, [side], "weight").withColumn("salt", F.pmod(F.xxhash64(*pairs.columns), F.col("salts")).cast("int"))
     copies = texts.select(F.col("sid").alias(side), F.col("text").alias(f"text_{side}")).join(counts.select(side, "salts"), side)
     copies = copies.select(side, f"text_{side}", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     return dealt.drop("salts").join(copies, [side, "salt"]).drop("salt")
@@ -421,12 +420,12 @@ def _similar(df: DataFrame, similarity: float, width: int, text: str, key: str,
     trees = shared.write(rows.groupBy("tree").agg(F.count("*").alias("weight")).where("weight > 1"), "sizes")
     total = trees.agg(F.coalesce(F.sum("weight"), F.lit(0))).head()[0]
     # how many texts a text shares bands with: in a group of copies, the original has the most
-    members = shared.write(hot_rows(rows, trees.withColumn("size", F.col("weight")), total), "members")
+    members = shared.write(hot_rows(rows, trees.withColumn("size", F.col("weight"))), "members")
     dense = members.groupBy("sid").agg(F.sum("size").alias("dense"))
     members = shared.write(members.select("sid", "fp", "tree", "size").join(dense, "sid"), "dense")
     best = F.max_by("sid", F.struct("dense", "sid"))
     centers = shared.write(members.groupBy("tree").agg(best.alias("center"), F.max("dense").alias("most"), F.count("*").alias("weight")), "centers")
-    first = hot_rows(members.select("sid", "tree"), centers, total).groupBy("sid").agg(F.max_by("center", F.struct("most", "center")).alias("center"))
+    first = hot_rows(members.select("sid", "tree"), centers).groupBy("sid").agg(F.max_by("center", F.struct("most", "center")).alias("center"))
     pairs = first.where("sid <> center").select(F.greatest("sid", "center").alias("a"), F.least("sid", "center").alias("b"))
     check = lambda pairs, name: verified(pairs, df, nodes, similarity, width, text, key, shared, name)
     roots = components(check(pairs, "first"), shared, "groups")
@@ -440,10 +439,10 @@ def _similar(df: DataFrame, similarity: float, width: int, text: str, key: str,
         mixed = shared.write(mixed.where("x < y").select("tree", "members", "main", F.col("members").alias("weight")), f"{name}-mixed")
         if not mixed.limit(1).count():
             break
-        inside = shared.write(hot_rows(named, mixed, total).withColumn("search", F.col("label") != F.col("main")), f"{name}-inside")
+        inside = shared.write(hot_rows(named, mixed).withColumn("search", F.col("label") != F.col("main")), f"{name}-inside")
         asked = inside.where("search").groupBy("tree").agg(F.count("*").alias("searches"), F.max("members").alias("weight"))
         asked = shared.write(asked, f"{name}-asked")
-        inside = hot_rows(inside, asked, total).join(nodes.select(F.col("node").alias("sid"), "sketch"), "sid")
+        inside = hot_rows(inside, asked).join(nodes.select(F.col("node").alias("sid"), "sketch"), "sid")
         units = _units(inside.select("tree", "members", "searches", "search", "fp", "sid", "label", "sketch"), ["sid", "label", "sketch"])
         search = (lambda t: shard_pairs(t, WIDE, least, True)) if every else (lambda t: shard_pairs(t, WIDE, least, False))
         more = _in_shards(units, _shards(df.sparkSession, total)).applyInArrow(search, "a bigint, b bigint, agree bigint")
@@ -457,7 +456,7 @@ def _similar(df: DataFrame, similarity: float, width: int, text: str, key: str,
 def similar(df: DataFrame, similarity: float = 0.8, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``doc_id``, ``sid`` (a digest of the text's set) and ``component_id``, the smallest doc_id that links reach."""
     own, placed = _similar(df, similarity, width, text, key, C.Shared(df.sparkSession))
-    return C.hot_join(own.select("doc_id", "node"), placed, ["node"], "copies", own.count()).select("doc_id", F.col("node").alias("sid"), "component_id")
+    return C.hot_join(own.select("doc_id", "node"), placed, ["node"], "copies").select("doc_id", F.col("node").alias("sid"), "component_id")
 
 
 def keep_one(df: DataFrame, similarity: float | None = 0.8, radius: int = 3, width: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -467,7 +466,7 @@ def keep_one(df: DataFrame, similarity: float | None = 0.8, radius: int = 3, wid
     """
     shared = C.Shared(df.sparkSession)
     own, placed = _by_fingerprint(df, radius, width, text, key, shared) if similarity is None else _similar(df, similarity, width, text, key, shared)
-    here = C.hot_join(own.select("doc_id", "h", "node"), placed, ["node"], "copies", own.count())
+    here = C.hot_join(own.select("doc_id", "h", "node"), placed, ["node"], "copies")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     here = shared.write(here.groupBy("doc_id", "h", stays.alias("stays")).agg(F.count("*").alias("rows")), "here")
     left = C.of_list(df, C.listed(shared, here.where("not stays").select("doc_id", "h"), "gone"), key, text, "left_anti")
