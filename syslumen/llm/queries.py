@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syslumen.llm import _common as C
-from syslumen.llm import bpe, decontaminate, langid, linededup, neighbours, pii, quality, simhash, tokencount, toxicity
+from syslumen.llm import bpe, codebooks, decontaminate, filteraudit, langid, linededup, neighbours, packing, pii, quality, simhash, tokencount, toxicity
 
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,23 @@ def op10_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_kd_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.encode(C.read(spark, sf_dir, "embeddings"))
+    found = codebooks.with_label_error(coded).select("vec_id", "code", "error", "label_error")
+    return found.withColumn("codebooks_sha256", F.lit(codebooks.digest(books)))
+
+
+def op12_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = C.file_bytes(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(C.read(spark, sf_dir, "documents"), model, public_tokenizers.PATTERN)
+
+
+def op13_filter_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_pii": op1_feistel_pii,
     "op2_quality_fourier": op2_quality_fourier,
@@ -74,9 +91,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multiprobe": op8_multiprobe,
     "op9_line_runs": op9_line_runs,
     "op10_simhash_bk": op10_simhash_bk,
+    "op11_kd_codebooks": op11_kd_codebooks,
+    "op12_vector_best_fit": op12_vector_best_fit,
+    "op13_filter_cube": op13_filter_cube,
 }
 
 ORACLES: dict[str, str] = {
     "op7_spaced_seeds": decontaminate.ORACLE_SQL,
     "op9_line_runs": linededup.ORACLE_SQL,
+    "op11_kd_codebooks": codebooks.ORACLE_SQL,
+    "op13_filter_cube": filteraudit.ORACLE_SQL,
 }
