@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syslumen.operators import aggregates as A
-from syslumen.operators import enrich, matching, rca, search, tags, windows
+from syslumen.operators import analysis, enrich, matching, rca, search, tags, windows
 from syslumen.queries import query
 from syslumen.query_filters import WITH
-from syslumen.session import read
+from syslumen.session import read, shared_dir
 from syslumen.sources import logview as L
 
 # A small dimension: exact names, another suffix, templates, a local entry, families that exclude each other.
@@ -206,12 +208,65 @@ def join16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rca.one_hop(L.logs(spark, sf_dir), _HOP, 1800)
 
 
-@query("rca07_root_causes")
+#: Windows, the logs in them and what each may lead to there, as the rules say of the modules and briefs of this table: from IFNET/IF_DOWN to
+#: BFD and BGP, from BFD to BGP. Roots are tried by window and time, and carry on what is claimed; all that a root reaches it reaches at once,
+#: since what BFD leads to the interface does as well. No parameter here names an entity.
+_ROOTS = f"""{WITH.replace("WITH ", "WITH RECURSIVE ", 1)}, t AS (
+  SELECT {_SUBJECT} AS subject, id, upper(module) AS module, upper(brief) AS brief, severity, epoch_us("timestamp") AS us FROM logs
+  WHERE "timestamp" IS NOT NULL AND (knowledge_id > 0 OR severity <= 4) ORDER BY "timestamp", id LIMIT 100000
+), s AS (SELECT DISTINCT us FROM t), c(w, s) AS (
+  SELECT 0, min(us) FROM s UNION ALL
+  SELECT w + 1, (SELECT min(us) FROM s WHERE us >= c.s + 240000000) FROM c WHERE (SELECT min(us) FROM s WHERE us >= c.s + 240000000) IS NOT NULL
+), p AS (SELECT w, t.* FROM t JOIN c ON us BETWEEN c.s AND c.s + 300000000), k AS (
+  SELECT a.subject, a.w, a.id, a.us, a.module, a.brief, a.severity, list({{'m': b.module, 'us': b.us, 'id': b.id, 'b': b.brief}} ORDER BY CASE b.module WHEN 'BFD' THEN 0 ELSE 1 END, b.us, b.id) AS kids
+  FROM p a JOIN p b ON a.subject = b.subject AND a.w = b.w AND (b.us, b.id) > (a.us, a.id)
+  WHERE (a.module = 'IFNET' AND contains(a.brief, 'IF_DOWN') AND ((b.module = 'BFD' AND b.brief IN ('BFD_SESS_DOWN', 'SESS_DOWN')) OR (b.module = 'BGP' AND b.brief = 'PEER_BACKWARD')))
+    OR (a.module = 'BFD' AND contains(a.brief, 'SESS_DOWN') AND b.module = 'BGP' AND b.brief = 'PEER_BACKWARD')
+  GROUP BY ALL
+), o AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY w, us, id) AS n FROM k), walk(subject, n, claimed, id, found) AS (
+  SELECT DISTINCT subject, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST([] AS STRUCT(m VARCHAR, us BIGINT, id BIGINT, b VARCHAR)[]) FROM o UNION ALL
+  SELECT subject, n, CASE WHEN len(f) > 0 THEN list_concat(claimed, list_append(list_transform(f, lambda x: x.id), id)) ELSE claimed END, id, f FROM (
+    SELECT o.subject, o.n, v.claimed, o.id, CASE WHEN list_contains(v.claimed, o.id) THEN [] ELSE list_filter(o.kids, lambda x: NOT list_contains(v.claimed, x.id)) END AS f
+    FROM walk v JOIN o ON o.subject = v.subject AND o.n = v.n + 1)
+), e AS (
+  SELECT o.subject, o.id AS root_id, o.us, o.module, o.brief, o.w, o.severity, v.found, len(v.found) AS n, list_min(list_transform(v.found, lambda x: x.us)) - o.us AS delay
+  FROM walk v JOIN o ON o.subject = v.subject AND o.n = v.n WHERE len(v.found) > 0
+), told AS (
+  SELECT subject, 'LINK_ROUTING_CASCADE' AS rule, root_id, us AS root_us, module AS root_module, brief AS root_brief, CAST(w AS INT) AS "window", CAST(n AS INT) AS n_impacts,
+    CASE WHEN n >= 3 OR severity <= 2 THEN 'CRITICAL' WHEN n >= 2 THEN 'HIGH' WHEN severity <= 4 THEN 'MEDIUM' ELSE 'LOW' END AS impact_level,
+    floor((0.5 + 0.09 + least(0.18, 0.03 * n) + 0.15 * pow(2, -(delay / 1e6) / 150)) * 100 + 0.5) / 100 AS confidence,
+    array_to_string(list_sort(list_append(list_transform(found, lambda x: x.id), root_id)), ',') AS correlated_ids,
+    array_to_string(list_transform(found, lambda x: x.id || '<' || root_id || ' ' || x.m || '/' || x.b || ' ' || ((x.us - us) // 1000)), ';') AS impacts
+  FROM e
+)"""
+_TOLD = 'SELECT * FROM told ORDER BY "window", root_us, root_id LIMIT 2000'
+
+
+def _told(events: DataFrame) -> DataFrame:
+    line = lambda i: F.format_string("%d<%d %s/%s %d", i["log_id"], i["from_log_id"], i["module"], i["brief"], i["delay_ms"])
+    ids = F.array_join(F.col("correlated_ids").cast("array<string>"), ",")
+    return events.select("subject", "rule", "root_id", "root_us", "root_module", "root_brief", "window", "n_impacts", "impact_level", "confidence", ids.alias("correlated_ids"), F.array_join(F.transform("impacts", line), ";").alias("impacts"))
+
+
+@query("rca07_root_causes", f"{_ROOTS} {_TOLD}")
 def rca07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rca.analyse(rca.sample(L.logs(spark, sf_dir)))
+    return _told(rca.analyse(rca.sample(L.logs(spark, sf_dir))))
+
+
+@query("rca11_settled_in_slices", f"{_ROOTS} SELECT *, (SELECT max(us) FROM t) AS analyzed_until FROM told")
+def rca11_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, path = rca.sample(L.logs(spark, sf_dir)), f"{shared_dir(spark)}/analysis-{uuid.uuid4().hex}"
+    # stopped at once, then taken up again
+    analysis.Analysis(spark, path).run(own, limit_s=0.0)
+    found = analysis.Analysis(spark, path, windows=1 << 12).run(own, most_events=None)
+    return _told(found.events).withColumn("analyzed_until", F.lit(found.analyzed_until).cast("bigint"))
 
 
-@query("rca12_enriched")
+@query("rca12_enriched", f"""{_ROOTS}, d AS ({L.DEVICES_SQL}), r AS (SELECT * FROM told ORDER BY "window", root_us, root_id LIMIT 2000),
+x AS (SELECT root_id, CAST(unnest(string_split(correlated_ids, ',')) AS BIGINT) AS id FROM r)
+SELECT r.root_id, any_value(r.rule) AS rule, string_agg(x.id || ' ' || coalesce(d.device_name, '?') || ' ' || l.raw_log, chr(10) ORDER BY x.id) AS logs
+FROM r JOIN x USING (root_id) JOIN logs l ON l.id = x.id LEFT JOIN d ON d.device_id = l.device_id GROUP BY r.root_id""")
 def rca12(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = L.logs(spark, sf_dir)
-    return rca.enriched(rca.analyse(rca.sample(own)), own, L.devices(spark))
+    line = lambda x: F.concat_ws(" ", x["id"].cast("string"), F.coalesce(x["device_name"], F.lit("?")), x["raw_log"])
+    return rca.enriched(rca.analyse(rca.sample(own)), own, L.devices(spark)).select("root_id", "rule", F.array_join(F.transform("logs", line), "\n").alias("logs"))
