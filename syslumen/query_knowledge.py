@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syslumen.operators import aggregates as A
-from syslumen.operators import analysis, enrich, matching, rca, search, tags, windows
+from syslumen.operators import analysis, enrich, indexing, matching, rca, search, tags, windows
 from syslumen.queries import query
 from syslumen.query_filters import WITH
 from syslumen.session import read, shared_dir
@@ -184,6 +184,15 @@ def fts03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "doc", F.round("score", 6).alias("score"), "hits")
 
 
+@query("fts03_published_index", _BM25)
+def fts03_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "benchmark")
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    indexing.rebuild(root, items, "item_id", "text")
+    found = indexing.find(spark, root, items.select(F.col("item_id").alias("query"), "text"), 3)
+    return found.select("query", "doc", F.round("score", 6).alias("score"), "hits")
+
+
 @query("fts03_filtered_search", f"{KB} SELECT id FROM k WHERE regexp_matches(lower(concat_ws(' ', brief, message, description, cause, action)), '(^|[^a-z0-9])(interface|peer)([^a-z0-9]|$)') AND entry_type = 'LOG'")
 def fts03_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(knowledge(spark), "Interface peer", entry_type="log").select("id")
@@ -194,6 +203,29 @@ def fts04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select("item_id", search.highlight(F.col("text"), "the de").alias("marked"))
 
 
+#: Words of the query at their places in the document, stretches between two of them, and the best of each hit: most different words, shortest, first.
+_FRAGMENTS = f"""{_BM25.rsplit("SELECT query", 1)[0].rstrip()}, h AS (SELECT query, doc FROM o WHERE r <= 3), d AS (SELECT item_id AS doc, lower(text) AS low, text FROM benchmark),
+w AS (SELECT doc, low, regexp_extract_all(low, '[a-z0-9]+') AS ws, string_split_regex(low, '[a-z0-9]+') AS gaps FROM d),
+u AS (SELECT doc, ws, gaps, unnest(range(1, len(ws) + 1)) AS i FROM w),
+x AS (SELECT doc, i, ws[i] AS word, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ws[1:i-1], lambda g: length(g))), 0) AS a FROM u),
+m AS (SELECT query, doc, i, word, a, a + length(word) AS b FROM h JOIN x USING (doc) JOIN (SELECT query, token AS word FROM a) USING (query, word)),
+g AS (SELECT l.query, l.doc, l.a AS a, r.b AS b FROM m l JOIN m r ON l.query = r.query AND l.doc = r.doc AND l.i <= r.i AND (r.b - l.a <= 200 OR l.i = r.i)),
+z AS (SELECT g.query, g.doc, g.a, g.b, count(DISTINCT m.word) AS n FROM g JOIN m ON m.query = g.query AND m.doc = g.doc AND m.a >= g.a AND m.b <= g.b GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY query, doc ORDER BY n DESC, b - a, a) AS r FROM z)
+SELECT query, doc, CAST(n AS BIGINT) AS words, substr(text, CAST(a AS BIGINT) + 1, CAST(b - a AS BIGINT)) AS stretch FROM best JOIN d USING (doc) WHERE r = 1"""
+
+
+@query("fts04_fragments", _FRAGMENTS)
+def fts04_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = read(spark, sf_dir, "benchmark")
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    indexing.rebuild(root, items, "item_id", "text")
+    asked = items.select(F.col("item_id").alias("query"), F.col("text").alias("asked"))
+    hits = indexing.find(spark, root, asked.withColumnRenamed("asked", "text"), 3).join(items.select(F.col("item_id").alias("doc"), "text"), "doc").join(asked, "query")
+    marked = F.regexp_extract_all(F.lower("fragment"), F.lit("<mark>(.*?)</mark>"), F.lit(1))
+    return search.fragments(hits).select("query", "doc", F.size(F.array_distinct(marked)).cast("bigint").alias("words"), F.regexp_replace("fragment", "</?mark>", "").alias("stretch"))
+
+
 _SUBJECT = "CASE WHEN device_id > 0 THEN 'd:' || device_id WHEN hostname <> '' THEN 'h:' || hostname ELSE 'f:' || source_file END"
 _HOP = rca.Edge("x", ("IFNET",), ("IF_DOWN",), ("BFD",), ("BFD_SESS_DOWN",))
 

@@ -40,6 +40,30 @@ def fts06_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexing.current(spark, root).select("doc", "token", "tf")
 
 
+def _deltas(spark: SparkSession, items: DataFrame) -> str:
+    """An index of items by way of older texts, additions and deletions; those of every seventh item are gone in the end."""
+    root = _root(spark)
+    indexing.rebuild(root, items.withColumn("text", F.when(F.col("item_id") % 3 == 0, F.lit("an older text")).otherwise(F.col("text"))).where("item_id % 5 <> 0"), "item_id", "text")
+    indexing.delete(root, items.where("item_id % 7 = 0 OR item_id % 11 = 0").select("item_id"))
+    indexing.add(root, items.where("item_id % 7 <> 0 AND (item_id % 3 = 0 OR item_id % 5 = 0 OR item_id % 11 = 0)"), "item_id", "text")
+    return root
+
+
+_LEFT = _POSTINGS.replace("FROM benchmark", "FROM benchmark WHERE item_id % 7 <> 0")
+
+
+@query("fts05_additions_and_deletions", _LEFT)
+def fts05_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexing.current(spark, _deltas(spark, read(spark, sf_dir, "benchmark"))).select("doc", "token", "tf")
+
+
+@query("fts05_compacted", _LEFT)
+def fts05_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _deltas(spark, read(spark, sf_dir, "benchmark"))
+    indexing.compact(spark, root)
+    return indexing.current(spark, root).select("doc", "token", "tf")
+
+
 @query("fts07_mapping_versions", "SELECT FALSE AS stale_as_built, TRUE AS stale_for_the_next, count(*) AS documents, CAST(0 AS BIGINT) AS of_other_versions FROM benchmark WHERE regexp_matches(lower(text), '[a-z0-9]')")
 def fts07(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, root = read(spark, sf_dir, "benchmark"), _root(spark)
