@@ -14,7 +14,10 @@ hot passages don't meet in one task. Whole lines of words are then compared for
 Items with the same words are one class, named by its smallest id. The number of
 hits of a text follows its length times the items that it resembles.
 
-Defined cases: a null text has no words; items of fewer than ``WINDOW`` words and items with a null id
+Items of fewer than ``WINDOW`` words, ``LEAST`` at least, leak where all their words stand in line in a text: places of texts and these items are
+joined by their first ``LEAST`` words, and the rest is compared there. Where a benchmark has none, nothing is done for them.
+
+Defined cases: a null text has no words; items of fewer than ``LEAST`` words (they are ordinary phrases) and items with a null id
 give no leaks; repeated rows of a document give its leaks once; a null doc_id may have leaks, under null;
 empty tables give none; other columns are not looked at. ``drop_leaking`` tells rows by doc_id (null too) and text, so that a row
 stays whose id another, leaking row has.
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from syslumen.llm import _common as C
 
-WINDOW, MISMATCHES = 13, 2
+WINDOW, MISMATCHES, LEAST = 13, 2, 5
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 #: Words of a text that are looked at together.
 PIECE = 512
@@ -60,8 +63,8 @@ def _seeds(df: DataFrame, coded: str, name: str, low: Column, high: Column) -> D
     return rows.withColumn("seed", F.explode(F.array(*fits))).where("seed is not null")
 
 
-def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts in pieces of ``PIECE`` words with a margin of ``WINDOW`` words on either side, so that no row carries a whole long text.
+def _pieces(docs: DataFrame, key: str, text: str, least: int = WINDOW) -> DataFrame:
+    """Texts of ``least`` words or more in pieces of ``PIECE`` words with a margin of ``WINDOW`` words on either side, so that no row carries a whole long text.
 
     ``doc_id``, ``h`` (a hash of the text), ``words``, ``base`` (the place of the first of them), ``low`` and ``high`` (the piece without margins, from the base).
     """
@@ -73,7 +76,7 @@ def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
         return F.struct(base.alias("base"), (at - base).alias("low"), F.slice("all", base + 1, PIECE + 2 * WINDOW).alias("words"))
 
     # no filter on the number of words: it would be pushed below the cutting and cut the text again
-    starts = F.when(F.size("all") >= WINDOW, F.sequence(F.lit(0), F.size("all") - 1, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
+    starts = F.when(F.size("all") >= least, F.sequence(F.lit(0), F.size("all") - 1, F.lit(PIECE))).otherwise(F.array().cast("array<int>"))
     rows = words.select("doc_id", "h", F.explode(F.transform(starts, piece)).alias("p")).select("doc_id", "h", "p.*")
     return rows.withColumn("high", F.least(F.col("low") + PIECE, F.size("words")))
 
@@ -90,10 +93,11 @@ def _close_by() -> Column:
     return out
 
 
-def items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id`` (the smallest of equal items) and ``item``, its words as numbers."""
+def items(benchmark: DataFrame, key: str = "item_id", text: str = "text", short: bool = False) -> DataFrame:
+    """``item_id`` (the smallest of equal items) and ``item``, its words as numbers; of long items, or of short ones."""
     rows = benchmark.select(F.col(f"`{key}`").alias("item_id"), _coded(F.col(f"`{text}`")).alias("item"))
-    return rows.where((F.size("item") >= WINDOW) & F.col("item_id").isNotNull()).groupBy("item").agg(F.min("item_id").alias("item_id"))
+    size = F.size("item")
+    return rows.where(((size >= LEAST) & (size < WINDOW) if short else size >= WINDOW) & F.col("item_id").isNotNull()).groupBy("item").agg(F.min("item_id").alias("item_id"))
 
 
 def _around(coded: str, at: str) -> Column:
@@ -117,9 +121,31 @@ def _hits(docs: DataFrame, known: DataFrame, key: str, text: str, shared: C.Shar
     return found.distinct()
 
 
+def _whole(docs: DataFrame, known: DataFrame, total: int, key: str, text: str) -> DataFrame:
+    """``doc_id, h, item_id, item_words, matched`` of short items whose words all stand in line."""
+    first = lambda coded, at: F.xxhash64(F.lit(-1), *(F.get(F.col(coded), at + k) for k in range(LEAST)))
+    blocks, pieces, found = max(1, -(-total // SEEDS)), _pieces(docs, key, text, LEAST), None
+    places = pieces.withColumn("i", F.explode(F.when(F.col("high") > F.col("low"), F.sequence(F.col("low"), F.col("high") - 1)).otherwise(F.array().cast("array<int>"))))
+    places = places.where(F.col("i") + LEAST <= F.size("words")).withColumn("seed", first("words", F.col("i")))
+    for block in range(blocks):
+        own = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).withColumn("seed", first("item", F.lit(0)))
+        part = places.join(F.broadcast(own), "seed").where(F.slice("words", F.col("i") + 1, F.size("item")) == F.col("item"))
+        part = part.select("doc_id", "h", "item_id", F.size("item").alias("item_words"), F.size("item").alias("matched"))
+        found = part if found is None else found.union(part)
+    return found.distinct()
+
+
 def _matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str) -> DataFrame:
     """``doc_id, h, item_id, item_words, matched`` for the alignments that are leaks."""
-    shared, own = C.Shared(docs.sparkSession), F.col(f"`{text}`")
+    shared = C.Shared(docs.sparkSession)
+    long, short = _long(docs, benchmark, key, text, shared), shared.write(items(benchmark, short=True), "short")
+    total = short.count()
+    return long.unionByName(_whole(docs, short, total, key, text)) if total else long
+
+
+def _long(docs: DataFrame, benchmark: DataFrame, key: str, text: str, shared: C.Shared) -> DataFrame:
+    """The leaks of items of ``WINDOW`` words or more."""
+    own = F.col(f"`{text}`")
     known = shared.write(items(benchmark), "items")
     hits = shared.write(_hits(docs, known, key, text, shared), "hits")
     asked = C.listed(shared, hits.select("doc_id", "h").distinct(), "texts")
@@ -166,4 +192,9 @@ SELECT b.doc_id, b.item_id, CAST(b.item_words AS INT) AS item_words, CAST(max(ma
 FROM back b JOIN (SELECT doc_id, len(w) AS doc_words FROM d) x USING (doc_id)
 WHERE (n >= {WINDOW - MISMATCHES} OR m >= {WINDOW - MISMATCHES}) AND least(item_words, doc_words - shift) - greatest(-shift, 0) >= {WINDOW}
 GROUP BY ALL
+UNION ALL
+-- short items: all words in line
+SELECT DISTINCT doc_id, item_id, CAST(len(s.w) AS INT), CAST(len(s.w) AS INT)
+FROM (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark) GROUP BY w HAVING len(w) BETWEEN {LEAST} AND {WINDOW - 1} AND min(item_id) IS NOT NULL) s
+JOIN dp ON dp.word = s.w[1] JOIN d USING (doc_id) WHERE d.w[dp.i : dp.i + len(s.w) - 1] = s.w
 """
