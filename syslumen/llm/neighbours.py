@@ -10,8 +10,8 @@ neighbours, which a scan of all rows gives. So data without structure get larger
 vectors in double precision.
 
 Rows and probes meet by a hash of table and bucket in groups of about ``GROUP`` rows, so that a group
-fits a task; a bucket that is larger is split over several groups, each of which its probes visit, and
-no candidate is dropped. Rows with the same vector are hashed once: only the ``k + 1`` smallest ids of
+fits a task; a bucket that is larger is split over several groups, each of which its probes visit, and one that more than
+``ASKED`` queries visit meets them in as many parts: a task has one split and one part, and no candidate is dropped. Rows with the same vector are hashed once: only the ``k + 1`` smallest ids of
 them can be an answer. A query for which the tables give fewer than ``k`` candidates is compared with
 all rows instead, ``BLOCK`` such queries at a time.
 
@@ -44,9 +44,11 @@ WIDTH = 1.5
 #: Rows that a bucket holds on average at least, from which the most projections follow.
 BUCKET = 24
 GROUP = 20_000
+#: Queries of a bucket that meet its rows in one task.
+ASKED = 4096
 BLOCK = 4096
 #: Pairs of a query and a row whose distance a task works out at a time.
-PAIRS = 1 << 17
+PAIRS = 1 << 15
 
 
 class Hasher:
@@ -266,12 +268,17 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
     large = points.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("bucket", F.ceil(F.col("n") / F.lit(GROUP)).cast("int").alias("splits"))
     large = shared.write(large, "large")
     groups = max(1, -(-count * TABLES // GROUP))
-    group = lambda split: F.pmod(F.xxhash64("bucket", split.cast("int")), F.lit(groups))
-    left = points.join(large, "bucket", "left").withColumn("split", F.pmod(F.xxhash64("v"), F.coalesce("splits", F.lit(1)))).select(group(F.col("split")).alias("g"), "bucket", "v", "ids")
-    right = asked.mapInArrow(probe, f"id bigint, v {kind}, buckets array<bigint>").select("id", "v", F.explode("buckets").alias("bucket"))
-    right = right.join(large, "bucket", "left").withColumn("split", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)))
+    group = lambda: F.pmod(F.xxhash64("bucket", "split", "part"), F.lit(groups))
+    visits = shared.write(asked.mapInArrow(probe, f"id bigint, v {kind}, buckets array<bigint>"), "visits")
+    busy = visits.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > ASKED)
+    busy = shared.write(busy.select("bucket", F.ceil(F.col("n") / F.lit(ASKED)).cast("int").alias("parts")), "busy")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    dealt = lambda n, by: F.pmod(F.xxhash64(by), F.coalesce(n, F.lit(1))).cast("int")
+    # rows go to one split and all parts of their bucket, queries to one part and all splits
+    left = points.join(large, "bucket", "left").join(busy, "bucket", "left").withColumn("split", dealt("splits", "v")).withColumn("part", every("parts")).select(group().alias("g"), "bucket", "v", "ids")
+    right = visits.select("id", "v", F.explode("buckets").alias("bucket")).join(large, "bucket", "left").join(busy, "bucket", "left").withColumn("part", dealt("parts", "id")).withColumn("split", every("splits"))
     # of a query's probes into one group, its vector goes along once
-    right = right.groupBy(group(F.col("split")).alias("g"), "id").agg(F.first("v").alias("v"), F.collect_set("bucket").alias("buckets"))
+    right = right.groupBy(group().alias("g"), "id").agg(F.first("v").alias("v"), F.collect_set("bucket").alias("buckets"))
 
     def meet(x: pa.Table, q: pa.Table) -> pa.Table:
         best = Best(q.column("id").to_numpy(), _vectors(q.column("v"), dim), x.column("ids").combine_chunks() if x.num_rows else pa.array([], pa.list_(pa.int64())), _vectors(x.column("v"), dim), k)

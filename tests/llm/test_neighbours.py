@@ -40,8 +40,10 @@ def test_recall_on_clustered_and_on_random_vectors(spark):
             assert [s for *_, s in answers] == sorted((s for *_, s in answers), reverse=True)
 
 
-def test_large_groups_of_equal_vectors_and_split_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("asked", [2, 4096])
+def test_large_groups_of_equal_vectors_and_split_buckets(spark, monkeypatch, asked):
     monkeypatch.setattr(N, "GROUP", 16)
+    monkeypatch.setattr(N, "ASKED", asked)
     rng = random.Random(3)
     same = [1.0, 2.0, 3.0, 4.0]
     rows = [(i, same if i % 3 == 0 else [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)]
