@@ -7,14 +7,22 @@ from pyspark.sql import functions as F
 
 from syslumen.functions import scalar as S
 from syslumen.queries import query
+from syslumen.query_columns import NAMES
 from syslumen.query_filters import WITH
 from syslumen.session import micros, read
 from syslumen.sources import logview as L
 from syslumen.sources import package, raw
 
 
+#: Literal cases of functions, by query: rows, columns, the function, results.
+CASES: dict[str, tuple] = {}
+
+
 def _table(name: str, columns: str, rows: list[tuple], make, want: list[tuple]) -> None:
-    """A query over literal rows, whose results are literal rows as well; its oracle lists them."""
+    """Literal rows with literal results: cases of a query over a whole table, or else a query of their own, whose oracle lists them."""
+    CASES[name] = (rows, columns, make, want)
+    if name in NAMES:
+        return
     shown = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in want)
     first = columns.split()[0]
 
