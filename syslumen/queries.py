@@ -12,15 +12,26 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Cases over a few literal rows, by the name of the query over whole tables that stands for them; tests run these.
+LITERAL: dict[str, tuple[Query, str | None]] = {}
+_WHOLE: set[str] = set()
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query and, if SQL can express it, its oracle."""
+def query(name: str, sql: str | None = None, whole: bool = False) -> Callable[[Query], Query]:
+    """Registers a query and, if SQL can express it, its oracle; ``whole`` ones stand for those of their name over literal rows."""
 
     def keep(f: Query) -> Query:
-        if name in QUERIES:
+        run = lambda spark, sf_dir: f(configure(spark), sf_dir)
+        if name in _WHOLE and name not in LITERAL:
+            LITERAL[name] = (run, sql)
+            return f
+        if name in QUERIES and not (whole and name not in _WHOLE):
             raise ValueError(f"{name} is there already")
-        QUERIES[name] = lambda spark, sf_dir: f(configure(spark), sf_dir)
+        if whole:
+            _WHOLE.add(name)
+            if name in QUERIES:
+                LITERAL[name] = (QUERIES[name], ORACLES.pop(name, None))
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return f
@@ -29,6 +40,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from syslumen import query_aggregates, query_filters, query_knowledge, query_more, query_rest, query_services, query_text  # noqa: F401
+    from syslumen import query_columns, query_filters, query_lines  # noqa: F401, I001
+    from syslumen import query_aggregates, query_knowledge, query_more, query_rest, query_services, query_text  # noqa: F401
 
     return QUERIES, ORACLES

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,3 +20,12 @@ def test_literal_cases(spark, name):
     names = [c.strip().split()[0] for c in columns.split(",")]
     got = configure(spark).createDataFrame(rows, columns).select(F.col(names[0]), make(*(F.col(n) for n in names)).alias("result")).collect()
     assert [tuple(r) for r in got] == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.LITERAL))
+def test_literal_queries(spark, name):
+    run, sql = queries.LITERAL[name]
+    got = run(spark, "/no/such/folder")
+    want = duckdb.connect().execute(sql)
+    places = [[d[0] for d in want.description].index(c) for c in got.columns]
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(tuple(r[k] for k in places)) for r in want.fetchall())
