@@ -240,7 +240,7 @@ def win02_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.correlated_clusters(L.logs(spark, sf_dir), gap_s=900, timeline_limit=None)
 
 
-_CHAIN = """WITH RECURSIVE t AS (SELECT DISTINCT epoch_us(ts) AS us FROM events WHERE event_id % 101 <> 0), c(w, s) AS (SELECT 0, min(us) FROM t UNION ALL SELECT w + 1, (SELECT min(us) FROM t WHERE us {cmp} c.s + {step}000000) FROM c WHERE (SELECT min(us) FROM t WHERE us {cmp} c.s + {step}000000) IS NOT NULL) SELECT w AS "window", s AS start_us, s + 300000000 AS end_us FROM c"""
+_CHAIN = """WITH RECURSIVE t AS (SELECT DISTINCT epoch_us(ts) AS us FROM events WHERE event_id % 101 <> 0), c(w, s) AS (SELECT 0, min(us) FROM t UNION ALL SELECT w + 1, (SELECT min(us) FROM t WHERE us {cmp} c.s + {step}000000) FROM c WHERE c.s + 300000000 < (SELECT max(us) FROM t)) SELECT w AS "window", s AS start_us, s + 300000000 AS end_us FROM c"""
 
 
 @query("win03_overlapping_windows", _CHAIN.format(cmp=">=", step=240))

@@ -177,13 +177,16 @@ def test_root_causes_cross_weeks(spark):
 
 
 @pytest.mark.parametrize(("length", "overlap"), [(300, 60), (300, 0), (9000, 60), (60, 60), (10, 20)])
-def test_window_chains_cross_blocks(spark, length, overlap):
+@pytest.mark.parametrize("fan", [2, 64])
+def test_window_chains_cross_blocks(spark, monkeypatch, length, overlap, fan):
+    monkeypatch.setattr(windows, "FAN", fan)
     draw, hour = random.Random(length + overlap), windows.CHAIN_S
     dense = [draw.randrange(-2 * hour, 2 * hour) for _ in range(600)]
     times = sorted({*dense, -hour, 0, hour, *(30 * hour + 7 * k for k in range(40)), 40 * hour - 1, 40 * hour})
-    find, step = bisect.bisect_left if overlap else bisect.bisect_right, length - overlap
+    # an overlap as long as the window is half of it; none begins after a window that holds the last time
+    find, step = bisect.bisect_left if overlap else bisect.bisect_right, length - (length // 2 if overlap >= length else overlap)
     want, k = [], 0
-    while k < len(times):
+    while k < len(times) and (not want or want[-1] + length < times[-1]):
         want.append(times[k])
         k = max(k + 1, find(times, times[k] + step))
     stamps = spark.createDataFrame([(t * 1_000_000,) for t in times + times[:5]] + [(None,)], "us bigint")
@@ -273,3 +276,28 @@ def test_streams_agree_with_batches(spark, logs, tmp_path):
     _run(ingest.align(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows"))), "aligned")
     batch = windows.align_times(rows.withColumnRenamed("us", "timestamp")).select("source_file", "seq", F.col("timestamp").alias("us"))
     assert sorted(map(tuple, spark.table("aligned").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_a_dense_day_is_cut_into_even_tasks(spark):
+    # a thousand times a second on one day, for an hour and a half: three blocks, and answers that don't merge
+    stamps = spark.range(0, 5_400_000).selectExpr("id * 1000 + 1700000000000000 AS us")
+    found = windows.overlapping_windows(stamps).orderBy("window").collect()
+    want = [1700000000000000 + k * 240_000_000 for k in range(23)]
+    assert [r["start_us"] for r in found] == [w for k, w in enumerate(want) if not k or want[k - 1] + 300_000_000 < 1700000000000000 + 5_399_999_000]
+
+
+def test_sessions_over_slots_equal_sessions_over_events(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randint(0, 3), rng.choice("abc"), rng.randint(0, 400) * 997_000 + rng.choice([0, 86_400_000_000])) for k in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, device_id bigint, module string, us bigint").withColumn("timestamp", F.timestamp_micros("us").cast("timestamp_ntz"))
+    for gap in (0, 1, 3, 60):
+        own = sorted((us, k, d, m.upper()) for k, d, m, us in rows if d > 0)
+        groups, last = [], None
+        for e in own:
+            if last is None or e[0] - last > gap * 1_000_000:
+                groups.append([])
+            groups[-1].append(e)
+            last = e[0]
+        want = sorted((g[0][0], g[-1][0], len(g), len({e[2] for e in g}), ",".join(map(str, sorted({e[2] for e in g}))), ",".join(dict.fromkeys(e[3] for e in g))) for g in groups if len({e[2] for e in g}) >= 2 or len(g) >= 3)
+        found = windows.correlated_clusters(df, gap_s=gap, timeline_limit=None).collect()
+        assert sorted(tuple(r) for r in found) == want
