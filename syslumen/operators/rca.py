@@ -77,8 +77,8 @@ ENTITIES = {
 }
 _RECOVERY = re.compile(r"(_CLEAR|_RECOVER|_UP|_NORMAL|_OK|_RESUME)$|_CLEAR|_RECOVER")
 WINDOW_S, OVERLAP_S, NODES, EVENTS = 300, 60, 500, 2000
-#: Windows of a block in the first round.
-BLOCK = 16
+#: Windows of a block in the first round at least, and rows of a subject there at most if it is longer.
+BLOCK, ROWS = 16, 20_000
 
 
 def sample(logs: DataFrame, most: int | None = 100_000) -> DataFrame:
@@ -281,7 +281,9 @@ def settled(rows: DataFrame, rules: list[Edge], most_nodes: int | None = NODES,
     own = F.filter("windows", lambda w: asked(w["window"]))
     dealt = lambda size: rows.withColumn("block", F.explode(F.array_distinct(F.transform(own, lambda w: F.floor(w["window"] / size)))))
     outer = before.select("subject", "id", "window", F.lit(-1).alias("by")) if before is not None else None
-    size, k, known = BLOCK, 0, None
+    # sparse logs are searched in longer blocks, as each is a task's call of its own
+    densest = dealt(BLOCK).groupBy("subject", "block").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).head()["n"] or 1
+    size, k, known = BLOCK * max(1, ROWS // densest), 0, None
     changed = None
     while known is None or changed is not None:
         if known is None:

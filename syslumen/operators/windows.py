@@ -12,8 +12,8 @@ from syslumen.session import micros, shared_dir
 
 #: Places of a file that are sorted together.
 BLOCK = 1_000_000
-#: Seconds whose distinct times one task follows, and blocks (of blocks) whose answers are composed in one.
-CHAIN_S, FAN = 3600, 64
+#: Seconds whose distinct times one task follows at least, times of a longer block at most, and blocks (of blocks) whose answers are composed in one.
+CHAIN_S, TIMES, FAN = 3600, 1_000_000, 64
 
 
 _ANSWER = "block bigint, upto bigint, last bigint, starts bigint"
@@ -145,10 +145,13 @@ def overlapping_windows(stamps: DataFrame, length_s: int = 300, overlap_s: int =
         return pd.DataFrame({"window": range(before, before + len(starts)), "start_us": starts, "end_us": [s + length for s in starts]})
 
     times = stamps.select(F.col(time).cast("bigint").alias("us")).where("us IS NOT NULL").distinct()
-    ends = times.agg(F.min("us").alias("first"), F.max("us").alias("last")).head()
+    hours = times.groupBy(F.floor(F.col("us") / size)).agg(F.count("*").alias("n"), F.min("us").alias("a"), F.max("us").alias("b"))
+    ends = hours.agg(F.min("a").alias("first"), F.max("b").alias("last"), F.max("n").alias("most")).head()
     if ends["first"] is None:
         return times.select(F.lit(0).alias("window"), F.col("us").alias("start_us"), F.col("us").alias("end_us"))
     origin, latest = ends["first"], ends["last"]
+    # blocks of sparse times are longer: any of this length meets one hour more than it has
+    size *= max(1, TIMES // ends["most"] - 1)
     times = times.withColumn("block", F.floor((F.col("us") - origin) / size))
     above = lambda df: df.withColumn("above", F.floor(F.col("block") / FAN))
     blocks, spark = (latest - origin) // size + 1, times.sparkSession

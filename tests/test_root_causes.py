@@ -72,6 +72,7 @@ def unrest(n, seconds, seed, devices=3):
 @pytest.mark.parametrize(("n", "seconds", "nodes", "block"), [(300, 6000, 500, 16), (260, 3000, 3, 1), (300, 4000, None, 1), (300, 20000, None, 2)])
 def test_blocks_give_what_one_walk_gives(spark, monkeypatch, n, seconds, nodes, block):
     monkeypatch.setattr(rca, "BLOCK", block)
+    monkeypatch.setattr(rca, "ROWS", 0)
     rows = unrest(n, seconds, n + seconds)
     want = plain(rows, nodes=nodes)
     assert len(want) > 5
@@ -81,6 +82,7 @@ def test_blocks_give_what_one_walk_gives(spark, monkeypatch, n, seconds, nodes,
 def test_claims_that_pass_through_all_windows(spark, monkeypatch):
     """Each window's only root is claimed by the one before it unless that was claimed itself."""
     monkeypatch.setattr(rca, "BLOCK", 1)
+    monkeypatch.setattr(rca, "ROWS", 0)
     rules = rca.rule("r", ("A", "X", "B", "Y"), ("B", "Y", "A", "Z"), ("A", "Z", "B", "Y"))
     rows = [(k + 1, 200 * k, 1, *(("A", "X") if k == 0 else ("B", "Y") if k % 2 else ("A", "Z")), 4, "{}") for k in range(60)]
     assert told(rca.analyse(logs(spark, rows), rules)) == sorted(plain(rows, rules))
