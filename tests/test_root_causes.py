@@ -111,8 +111,8 @@ def test_partial_results_are_a_prefix_and_go_on(spark, tmp_path, monkeypatch):
         calls.append(k)
         if len(calls) == 3:
             # a job that runs is interrupted by its tag
-            threading.Timer(2.0, work.cancel, ("TIMEOUT",)).start()
-            spark.range(1 << 50).selectExpr("sum(id % 7)").collect()
+            threading.Timer(0.5, work.cancel, ("TIMEOUT",)).start()
+            spark.range(1 << 34).selectExpr("sum(id % 7)").collect()
         return settle(k, until)
 
     monkeypatch.setattr(work, "_settle", stop_after_two)
