@@ -319,8 +319,8 @@ def page_with_total(logs: DataFrame, **asked) -> DataFrame:
     return page(logs, **asked).crossJoin(F.broadcast(logs.agg(F.count("*").alias("total"))))
 
 
-def export_rows(logs: DataFrame, most: int = 100_000) -> DataFrame:
-    """All rows in log order; more than ``most`` are an error."""
-    if logs.limit(most + 1).count() > most:
+def export_rows(logs: DataFrame, most: int | None = None) -> DataFrame:
+    """All rows in log order, however many; with ``most``, more of them are an error."""
+    if most is not None and logs.limit(most + 1).count() > most:
         raise FilterError(f"more than {most} rows; narrow the filter")
     return order(logs)
