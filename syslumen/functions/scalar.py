@@ -121,7 +121,7 @@ def clean_title(c: Column, most: int = 60) -> Column:
     out = F.trim(F.regexp_replace(c, r"<[^>]*>", ""))
     out = F.regexp_extract(out, r"^([^。\n]*)", 1)
     out = F.regexp_replace(out, r"[，,](?:可能|由于).*$", "")
-    return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most), F.lit("..."))).otherwise(out)
+    return let(out, lambda t: F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit("..."))).otherwise(t))
 
 
 # ---- times

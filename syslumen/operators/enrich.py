@@ -29,19 +29,26 @@ def role(normal: Column, name: str) -> Column:
 
 def context(parameters: Column, most: int = 3) -> Column:
     """Up to three of the roles' values, the reason cut at 30 characters, an address only without a peer."""
-    normal = S.normalized_map(parameters)
-    value = {k: role(normal, k) for k in ROLES}
-    value["reason"] = F.when(F.length(value["reason"]) > 30, F.concat(F.substring(value["reason"], 1, 30), F.lit("..."))).otherwise(value["reason"])
-    value["ip"] = F.when(value["peer"].isNull(), value["ip"])
-    listed = F.filter(F.array(*(F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in value.items())), lambda x: x.isNotNull())
-    return F.array_join(F.slice(listed, 1, most), " | ")
+    names = list(ROLES)
+
+    def listed(values: Column) -> Column:
+        value = {k: F.get(values, F.lit(i)) for i, k in enumerate(names)}
+        value["reason"] = F.when(F.length(value["reason"]) > 30, F.concat(F.substring(value["reason"], 1, 30), F.lit("..."))).otherwise(value["reason"])
+        value["ip"] = F.when(value["peer"].isNull(), value["ip"])
+        told = F.filter(F.array(*(F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v)) for k, v in value.items())), lambda x: x.isNotNull())
+        return F.array_join(F.slice(told, 1, most), " | ")
+
+    looked_up = lambda normal: S.let(F.array(*(role(normal, k) for k in names)), listed)
+    # the map is normalised once a row, not for each name, and each role is looked up once; most maps have none of the names
+    known = F.map_filter(S.normalized_map(parameters), lambda k, v: k.isin(*(n for own in ROLES.values() for n in own)))
+    return S.let(known, lambda normal: F.when(F.size(normal) > 0, looked_up(normal)).otherwise(""))
 
 
 def summary(logs: DataFrame) -> Column:
     """A line that tells an event: what knowledge says, filled with values, else the comment or the event's name and parameters."""
     title = S.clean_title(F.coalesce("description", F.lit("")))
-    about = context(F.col("parameters"))
-    told = F.when(title != "", F.concat(title, F.when(about != "", F.concat(F.lit(" ("), about, F.lit(")"))).otherwise("")))
+    line = lambda x: F.when(x["title"] != "", F.concat(x["title"], F.when(x["about"] != "", F.concat(F.lit(" ("), x["about"], F.lit(")"))).otherwise("")))
+    told = S.let(F.struct(title.alias("title"), context(F.col("parameters")).alias("about")), line)
     plain = F.concat(F.col("module"), F.lit("/"), F.col("brief"), F.when(F.size("parameters") > 0, F.concat(F.lit(": "), S.top_parameters(F.col("parameters"), 3))).otherwise(""))
     return F.concat(S.severity_prefix(F.col("severity")), F.when(F.col("module") == "COMMENT", F.substring("message_body", 1, 200)).otherwise(F.coalesce(told, plain)))
 
