@@ -156,22 +156,24 @@ def parse_time(c: Column, zone_minutes: int = 0, as_of: str | None = None) -> Co
     """
     now = F.lit(as_of).cast("timestamp_ntz") if as_of else F.localtimestamp()
     try_ = lambda t, form: F.try_to_timestamp(t, F.lit(form)).cast("timestamp_ntz")
-    plain = lambda t: F.coalesce(*(try_(t, form) for form in _FORMS))
+    # a form that can't fit costs an exception a row: only that of a month's name begins with a letter
+    plain = lambda t: F.when(t.rlike(r"^\p{L}"), try_(t, _FORMS[1])).otherwise(try_(t, _FORMS[0]))
 
     def read(text: Column) -> Column:
         offset = F.regexp_extract(text, r"([+-]\d{2}:\d{2})$", 1)
-        minutes = F.when(offset == "", F.lit(zone_minutes)).otherwise((F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int")) * F.when(offset.startswith("-"), -1).otherwise(1))
         bare = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s?[+-]\d{2}:\d{2}$", "")), r"(\.\d{6})\d+$", "$1")
-        shift = lambda t: F.timestamp_add("MINUTE", -minutes.cast("bigint"), t)
 
-        def stamped(b: Column) -> Column:
+        def stamped(x: Column) -> Column:
+            o, b = x["offset"], x["bare"]
+            minutes = F.when(o == "", F.lit(zone_minutes)).otherwise((F.substring(o, 2, 2).try_cast("int") * 60 + F.substring(o, 5, 2).try_cast("int")) * F.when(o.startswith("-"), -1).otherwise(1))
+            shift = lambda t: F.timestamp_add("MINUTE", -minutes.cast("bigint"), t)
             # MMM d HH:mm:ss: the year goes in after the day
             with_year = lambda k: F.regexp_replace(b, r"^(\w{3} \d{1,2}) ", F.concat(F.lit("$1 "), (F.year(now) - k).cast("string"), F.lit(" ")))
             guesses = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: shift(plain(with_year(k))))
             near = F.filter(guesses, lambda t: t <= F.timestamp_add("HOUR", F.lit(24), now))
             return F.when(b.rlike(r"^\w{3} \d{1,2} \d{2}:"), F.get(near, F.lit(0))).otherwise(shift(plain(b)))
 
-        return let(bare, stamped)
+        return let(F.struct(offset.alias("offset"), bare.alias("bare")), stamped)
 
     return let(normalized_time(c), read)
 

@@ -68,7 +68,8 @@ def clean_lines(lines: DataFrame, mask: bool = True) -> DataFrame:
     """Without garbage lines and without files that have a line over ``LONGEST_LINE`` bytes; the rest sanitised."""
     long = lines.where(F.octet_length("line") > LONGEST_LINE).select("source_file").distinct()
     kept = lines.where(~S.is_garbage(F.col("line")))
-    return kept.join(long, "source_file", "left_anti").withColumn("line", S.sanitize(F.col("line"), mask))
+    # one name for each MiB of input at most; a shuffle would put all lines of a file into one task
+    return kept.join(F.broadcast(long), "source_file", "left_anti").withColumn("line", S.sanitize(F.col("line"), mask))
 
 
 def _comment(line: Column) -> dict[str, Column]:
@@ -126,7 +127,8 @@ def parse(lines: DataFrame, zone_minutes: int = 0, as_of: str | None = None, wit
         F.when(parsed & ~comment, F.trim(at(8))).otherwise(line).alias("message_body"),
         F.when(comment, c["parameters"]).alias("__about"),
     )
-    own = F.when(F.col("__about").isNull() & (F.col("brief") != "UNPARSED"), parameters("message_body")) if with_parameters else F.lit(None).cast("map<string,string>")
+    # other lines don't go to Python
+    own = parameters(F.when(F.col("__about").isNull() & (F.col("brief") != "UNPARSED"), F.col("message_body"))) if with_parameters else F.lit(None).cast("map<string,string>")
     for _, test, columns in PARSERS:
         made = made.withColumns({k: F.when(test(F.col("raw_log")), v).otherwise(F.col(k)) for k, v in columns(F.col("raw_log")).items()})
     made = made.withColumn("timestamp", S.parse_time(F.col("__time"), zone_minutes, as_of)).withColumn("parameters", F.coalesce("__about", own, F.create_map().cast("map<string,string>")))

@@ -27,3 +27,16 @@ def test_all_texts_of_a_log_at_once(spark):
     rows = enrich.with_knowledge(L.logs(spark, SF), knowledge(spark)).select("id", "event_summary", "message_text", "cause_text").collect()
     told = {r["id"]: r["event_summary"] for r in QUERIES["str14_event_summaries"](spark, SF).collect()}
     assert {r["id"]: r["event_summary"] for r in rows} == told and any(r["message_text"] for r in rows)
+
+
+def test_a_times_offset_is_looked_for_once_a_row(spark):
+    assert optimized(QUERIES["prs01_line_forms"](spark, SF)).count(r"([+-]\d{2}:\d{2})$") == 1
+
+
+def test_lines_of_a_file_are_not_gathered_to_be_cleaned(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "SortMergeJoin" not in QUERIES["prs01_line_forms"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
