@@ -2,6 +2,7 @@
 
 Logs repeat, so tiers run over distinct signatures (module, brief, product, version, what the body says of
 its medium; for tiers that read the body, the body and severity too) and their results are joined back.
+The bodies of a common signature are dealt over many tasks, each of which gets the signature's answers.
 Knowledge is a dimension: it is broadcast where its counted size allows, else joined by shuffle. Each tier
 sees only what the tiers before it left.
 """
@@ -114,6 +115,8 @@ def consistency() -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - gap - unlike)
 
 
+#: Logs of one signature in a part: the bodies of a commoner one are dealt over several.
+PART = 50_000
 _SIG = ["module_u", "brief_u", "product", "version", "wireless", "wired"]
 _BODY = [*_SIG, "severity", "message_body"]
 
@@ -161,53 +164,63 @@ def template_candidates(rows: DataFrame, known: DataFrame, how: str = "inner") -
 _TARGET = ["product_u", "version_u", "version_n", "family_t"]
 
 
+def _dealt(bodies: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Bodies with their ``part`` of the ``parts`` of their signature. Signatures of several parts are broadcast: one for each ``PART`` logs at most."""
+    common = F.broadcast(sizes.where(F.col("parts") > 1))
+    return bodies.join(common, _SIG, "left").withColumn("part", F.pmod(F.xxhash64("severity", "message_body"), F.coalesce("parts", F.lit(1)))).drop("parts")
+
+
+def _outcome(name: str, tier: str, confidence: Column) -> Column:
+    """What a log of ``_target`` gets from the entry in column ``name``, or null without one."""
+    suspect = conflicts(F.col(f"{name}.family"), F.col("wireless"), F.col("wired")) & F.lit(not tier.startswith("LOCAL"))
+    scored = F.array_min(F.transform(f"{name}.v", lambda v: F.struct((-_score(v)).alias("s"), v["mapping_id"].alias("m"), v["document_id"].alias("d"))))
+    conf = confidence.cast("double")
+    made = F.struct(F.col(f"{name}.k_id").alias("knowledge_id"), F.when(suspect, "FAMILY_SUSPECT").otherwise(tier).alias("match_tier"), F.when(suspect, F.least(conf, F.lit(SUSPECT))).otherwise(conf).alias("match_confidence"), F.coalesce(scored["d"], F.lit(0)).alias("matched_document_id"))
+    return F.when(F.col(name).isNotNull(), made)
+
+
 def match(logs: DataFrame, knowledge: DataFrame, overrides: DataFrame | None = None, with_search: bool = True) -> DataFrame:
     """``logs`` (with id) with ``knowledge_id, match_tier, match_confidence, matched_document_id``; ``knowledge`` comes from ``prepare``.
 
-    Each tier is one left join that adds its answer beside those of the tiers before it; a row that has one
-    joins with nothing more, as its key is null then.
+    Tiers 0 to 2 depend on the signature alone: their answers are found once for each, and joined with the bodies part by part.
+    The tiers after them are left joins that add their answers beside those; a row that has one joins with nothing more, as its
+    key is null then.
     """
     known = broadcast_if_small(knowledge.drop("description", "cause", "action"))
     own = signatures(logs)
     bodies = own.select(*_BODY).distinct()
-    sigs = _target(bodies.select(*_SIG).distinct())
+    sized = [*_SIG, "parts"]
+    sizes = own.groupBy(*_SIG).agg(F.ceil(F.count("*") / PART).alias("parts"))
+    sigs = _target(sizes)
     answer = lambda name, *more: F.struct("k_id", F.col("k_family").alias("family"), F.col("versions").alias("v"), *more).alias(name)
     # tier 0: overrides and local entries
     tier0 = known.where("k_local").groupBy(F.col("k_module").alias("module_u"), F.col("k_brief").alias("brief_u")).agg(F.min_by(answer("x"), "k_id").alias("t_local"))
-    rows = bodies.join(tier0, ["module_u", "brief_u"], "left")
+    by_name = sizes.join(tier0, ["module_u", "brief_u"], "left")
     if overrides is not None:
         bound = overrides.where("enabled").groupBy(F.upper("module").alias("module_u"), F.upper("brief").alias("brief_u")).agg(F.max("knowledge_id").alias("k_id")).join(known, "k_id").select("module_u", "brief_u", answer("t_bound"))
-        rows = rows.join(bound, ["module_u", "brief_u"], "left")
+        by_name = by_name.join(bound, ["module_u", "brief_u"], "left")
     else:
-        rows = rows.withColumn("t_bound", F.when(F.lit(False), F.col("t_local")))
+        by_name = by_name.withColumn("t_bound", F.when(F.lit(False), F.col("t_local")))
     # tier 1: the best entry of the same name, if it is consistent with the body
-    exact = best(exact_candidates(sigs, known), _SIG).select(*_SIG, answer("t_exact", "k_severity", "k_pattern"))
+    exact = best(exact_candidates(sigs, known), _SIG).select(*sized, answer("t_exact", "k_severity", "k_pattern"))
     # tier 2: the same event under another suffix, the bare one first
-    akin = best(stem_candidates(sigs, known), _SIG, (F.col("k_brief") == F.col("stem")).desc()).select(*_SIG, answer("t_akin"))
-    rows = rows.join(exact, _SIG, "left").join(akin, _SIG, "left")
+    akin = best(stem_candidates(sigs, known), _SIG, (F.col("k_brief") == F.col("stem")).desc()).select(*sized, answer("t_akin"))
+    by_name = by_name.join(exact, sized, "left").join(akin, sized, "left")
+    rows = _dealt(bodies, sizes).join(by_name.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).drop("parts"), [*_SIG, "part"], "left")
     rows = rows.withColumns({"k_severity": F.col("t_exact.k_severity"), "k_pattern": F.col("t_exact.k_pattern")}).withColumn("consistency", F.when(F.col("t_exact").isNotNull(), consistency())).drop("k_severity", "k_pattern")
-    open_ = F.col("t_local").isNull() & F.col("t_bound").isNull() & F.col("t_akin").isNull() & (F.coalesce("consistency", F.lit(0.0)) < LEAST_EXACT)
+    sure = F.col("consistency") >= LEAST_EXACT
+    named = F.coalesce(_outcome("t_bound", "LOCAL_MAPPING", F.lit(LOCAL_MAPPING)), _outcome("t_local", "LOCAL_EXACT", F.lit(LOCAL_EXACT)), F.when(sure, _outcome("t_exact", "EXACT", F.col("consistency"))), _outcome("t_akin", "MNEMONIC", F.lit(MNEMONIC)))
+    rows = _target(rows).withColumn("named", named).select(*_BODY, "part", "named", F.when(F.col("named").isNull(), _outcome("t_exact", "EXACT", F.col("consistency"))).alias("spare"))
     # tier 3: a template of the module that the body is like; the first word narrows it, templates that begin with a place are tried too
-    heads = F.when(open_, F.array_distinct(F.array(head(F.col("message_body")), F.lit("")))).otherwise(F.array(F.lit(None).cast("string")))
-    tried = template_candidates(_target(rows).withColumn("h", F.explode(heads)), known, "left")
-    rows = best(tried, _BODY, F.col("k_id").isNull().asc()).withColumn("t_like", F.when(F.col("k_id").isNotNull(), answer("x"))).select(*rows.columns, "t_like")
+    heads = F.when(F.col("named").isNull(), F.array_distinct(F.array(head(F.col("message_body")), F.lit("")))).otherwise(F.array(F.lit(None).cast("string")))
+    tried = template_candidates(_target(rows).withColumn("h", F.explode(heads)), known, "left").withColumn("t_like", F.when(F.col("k_id").isNotNull(), answer("x")))
+    rows = best(tried.withColumn("like", _outcome("t_like", "TEMPLATE", F.lit(TEMPLATE))), [*_BODY, "part"], F.col("k_id").isNull().asc()).select(*rows.columns, "like")
     if with_search:
-        found = _searched(_target(rows.where(open_ & F.col("t_like").isNull())), knowledge, known, answer)
-        rows = rows.join(found, _BODY, "left")
+        found = _searched(_target(rows.where("named is null and like is null")), knowledge, known, answer)
+        rows = _target(rows.join(found, _BODY, "left")).withColumn("found", _outcome("t_found", "BLEVE", F.col("found_conf")))
     else:
-        rows = rows.withColumns({"t_found": F.when(F.lit(False), F.col("t_akin")), "found_conf": F.lit(None).cast("double")})
-    tier = lambda c, name, conf: F.when(c, F.struct(F.lit(name).alias("tier"), conf.cast("double").alias("conf")))
-    sure = F.col("consistency") >= LEAST_EXACT
-    choice = F.coalesce(
-        tier(F.col("t_bound").isNotNull(), "LOCAL_MAPPING", F.lit(LOCAL_MAPPING)), tier(F.col("t_local").isNotNull(), "LOCAL_EXACT", F.lit(LOCAL_EXACT)), tier(sure, "EXACT", F.col("consistency")), tier(F.col("t_akin").isNotNull(), "MNEMONIC", F.lit(MNEMONIC)),
-        tier(F.col("t_like").isNotNull(), "TEMPLATE", F.lit(TEMPLATE)), tier(F.col("t_found").isNotNull(), "BLEVE", F.col("found_conf")), tier(F.col("t_exact").isNotNull(), "EXACT", F.col("consistency")),
-    )
-    short = lambda c: F.struct(F.col(f"{c}.k_id").alias("k_id"), F.col(f"{c}.family").alias("family"), F.col(f"{c}.v").alias("v"))
-    at = F.when(F.col("t_bound").isNotNull(), short("t_bound")).when(F.col("t_local").isNotNull(), short("t_local")).when(sure, short("t_exact")).when(F.col("t_akin").isNotNull(), short("t_akin")).when(F.col("t_like").isNotNull(), short("t_like")).when(F.col("t_found").isNotNull(), short("t_found")).otherwise(short("t_exact"))
-    won = _target(rows).withColumns({"c": choice, "w": at}).where(F.col("c").isNotNull())
-    suspect = conflicts(F.col("w.family"), F.col("wireless"), F.col("wired")) & ~F.col("c.tier").startswith("LOCAL")
-    scored = F.array_min(F.transform("w.v", lambda v: F.struct((-_score(v)).alias("s"), v["mapping_id"].alias("m"), v["document_id"].alias("d"))))
-    won = won.select(*_BODY, F.col("w.k_id").alias("knowledge_id"), F.when(suspect, "FAMILY_SUSPECT").otherwise(F.col("c.tier")).alias("match_tier"), F.when(suspect, F.least("c.conf", F.lit(SUSPECT))).otherwise(F.col("c.conf")).alias("match_confidence"), F.coalesce(scored["d"], F.lit(0)).alias("matched_document_id"))
+        rows = rows.withColumn("found", F.when(F.lit(False), F.col("spare")))
+    won = rows.select(*_BODY, F.coalesce("named", "like", "found", "spare").alias("w")).where("w is not null").select(*_BODY, "w.*")
     matched = own.select("id", *_BODY).join(won, _BODY).select("id", "knowledge_id", "match_tier", "match_confidence", "matched_document_id")
     out = logs.drop("knowledge_id", "match_tier", "match_confidence", "matched_document_id").join(matched, "id", "left")
     return out.withColumns({"knowledge_id": F.coalesce("knowledge_id", F.lit(0)).cast("bigint"), "match_tier": F.coalesce("match_tier", F.lit("UNMATCHED")), "match_confidence": F.coalesce("match_confidence", F.lit(0.0)), "matched_document_id": F.coalesce("matched_document_id", F.lit(0)).cast("bigint")})
